@@ -113,7 +113,9 @@ def dash_cpu_overload_newest_100(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dash_memory_monotone(spark: SparkSession, sf: str) -> DataFrame:
-    return report.memory_monotone(V.tel(spark, sf))
+    rising, falling = (report.memory_monotone(V.tel(spark, sf), way).withColumn("direction", F.lit(way))
+                       for way in ("rising", "falling"))
+    return rising.unionByName(falling)
 
 
 def raw_table_preview(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,7 +229,7 @@ def alerts_newest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alert_by_id(spark: SparkSession, sf: str) -> DataFrame:
-    return report.alert_detail(L.alert_table(_episodes(spark, sf)), "cpu_threshold_breach_8_0")
+    return report.alert_detail(L.alert_table(_episodes(spark, sf)), "disk_threshold_breach_8_0")
 
 
 def alerts_apply_resolutions(spark: SparkSession, sf: str) -> DataFrame:
@@ -491,7 +493,7 @@ FROM alerts WHERE status = 'active' AND severity = 'high' ORDER BY first_seen DE
     "alert_by_id": (alert_by_id, sql(f"""
 WITH {_EPISODES.strip()}
 SELECT alert_id, agent_id, alert_type AS title, description, severity, status, {_ISO.format('first_seen')} AS timestamp
-FROM alerts WHERE alert_id = 'cpu_threshold_breach_8_0'""", "anomaly_events", "resolve_events")),
+FROM alerts WHERE alert_id = 'disk_threshold_breach_8_0'""", "anomaly_events", "resolve_events")),
     "alerts_apply_resolutions": (alerts_apply_resolutions, sql(f"""
 WITH {_EPISODES.strip()},
 req AS (SELECT concat('memory_threshold_breach_', CAST(agent_id AS VARCHAR), '_0') AS alert_id, max(ts) AS at FROM conn_events WHERE kind = 'connect' GROUP BY agent_id)
@@ -519,10 +521,11 @@ WHERE n.res = 0 AND n.severity = 'critical'""", "anomaly_events", "resolve_event
     "dash_cpu_overload_newest_100": (dash_cpu_overload_newest_100, None),
     "dash_memory_monotone": (dash_memory_monotone, sql("""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, event_id DESC) AS rn FROM tel),
-s AS (SELECT *, memory_usage > lag(memory_usage) OVER (PARTITION BY agent_id ORDER BY rn DESC) AS up FROM r WHERE rn <= 5)
+s AS (SELECT *, memory_usage - lag(memory_usage) OVER (PARTITION BY agent_id ORDER BY rn DESC) AS step FROM r WHERE rn <= 5),
+d AS (SELECT agent_id, bool_and(coalesce(step, 1) > 0) AS up, bool_and(coalesce(step, -1) < 0) AS down FROM s GROUP BY agent_id HAVING count(*) >= 5)
 SELECT agent_id, 'Memory Leak' AS type, 'Medium' AS probability, '6-12 hours' AS time_estimate,
-       'Investigate memory-intensive processes and consider restart' AS recommendation
-FROM s GROUP BY agent_id HAVING count(*) >= 5 AND bool_and(coalesce(up, true))""", "tel")),
+       'Investigate memory-intensive processes and consider restart' AS recommendation, CASE WHEN up THEN 'rising' ELSE 'falling' END AS direction
+FROM d WHERE up OR down""", "tel")),
     "raw_table_preview": (raw_table_preview, sql("""
 SELECT event_id, ts, agent_id, cpu_usage, memory_usage, disk_usage, network_latency FROM tel ORDER BY ts DESC, event_id DESC LIMIT 20""", "tel")),
     "raw_json_preview": (raw_json_preview, sql("""

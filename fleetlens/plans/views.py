@@ -18,11 +18,11 @@ def _hundredths(value: Column, modulus: int) -> Column:
     return (value % modulus) / F.lit(100.0)
 
 
-def tel(spark: SparkSession, sf: str) -> DataFrame:
+def telemetry(events: DataFrame) -> DataFrame:
+    """One snapshot per event, batch or stream."""
     v = F.col("v")
     return (
-        table(spark, sf, "events")
-        .select(
+        events.select(
             "event_id", "ts", F.col("user_id").alias("agent_id"), "event_type",
             F.round(F.col("value") * 100).cast("bigint").alias("v"),
         )
@@ -36,6 +36,10 @@ def tel(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def tel(spark: SparkSession, sf: str) -> DataFrame:
+    return telemetry(table(spark, sf, "events"))
+
+
 def tel_gap(spark: SparkSession, sf: str) -> DataFrame:
     return tel(spark, sf).select(
         "event_id", "ts", "agent_id",
@@ -54,7 +58,11 @@ def agents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conn_events(spark: SparkSession, sf: str) -> DataFrame:
-    return tel(spark, sf).where(F.col("event_type").isin("signup", "error")).select(
+    return connections_of(tel(spark, sf))
+
+
+def connections_of(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("event_type").isin("signup", "error")).select(
         "event_id", "ts", "agent_id",
         F.when(F.col("event_type") == "signup", "connect").otherwise("disconnect").alias("kind"),
     )
