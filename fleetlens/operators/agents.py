@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import constants as C
 from fleetlens.functions.text import iso
+from fleetlens.sources.tables import constant_table
 
 
 def agent_snapshot(conn_events: DataFrame, platforms: DataFrame | None = None, previous: DataFrame | None = None) -> DataFrame:
@@ -74,8 +75,8 @@ def command_envelopes(commands: DataFrame) -> DataFrame:
 
 def _script_paths(commands: DataFrame, agents: DataFrame) -> DataFrame:
     spark = commands.sparkSession
-    keys = spark.createDataFrame(C.ISSUE_SCRIPTS, "issue_type string, script_key string")
-    paths = spark.createDataFrame(C.SCRIPT_PATHS, "script_key string, os string, script_path string")
+    keys = constant_table(spark, C.ISSUE_SCRIPTS, "issue_type string, script_key string")
+    paths = constant_table(spark, C.SCRIPT_PATHS, "script_key string, os string, script_path string")
     hosts = agents.select("agent_id", F.lower("platform").alias("os"))
     return (
         commands.join(hosts, "agent_id", "left")

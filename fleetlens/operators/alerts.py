@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import constants as C
 from fleetlens.operators.slices import AGENT_SERIES, Order, micros, running
+from fleetlens.sources.tables import constant_table
 
 ALERT_ORDER = Order(keys=("type", "agent_id"), ident="_order")
 # At equal times anomalies come before resolutions.
@@ -113,8 +114,8 @@ def notifications(anomalies: DataFrame, resolves: DataFrame, channels: list[str]
 
 
 def rules(spark) -> DataFrame:
-    return spark.createDataFrame(
-        C.ALERT_RULES, "rule string, metric string, threshold double, duration_s int, severity string"
+    return constant_table(
+        spark, C.ALERT_RULES, "rule string, metric string, threshold double, duration_s int, severity string"
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetlens import constants as C
 from fleetlens.functions.text import fixed
 from fleetlens.operators.slices import AGENT_SERIES, Order, trailing
+from fleetlens.sources.tables import constant_table
 
 IDS = ("event_id", "ts", "agent_id")
 
@@ -35,6 +36,13 @@ def _threshold_checks(limits: dict[str, float]) -> list[tuple[Column, Column]]:
     return checks
 
 
+def threshold_lists(df: DataFrame, limits: dict[str, float] = C.DETECTOR_LIMITS) -> DataFrame:
+    """The threshold anomalies of each snapshot as one array, for snapshots that have any."""
+    checks = _threshold_checks(limits)
+    found = F.array_compact(F.array(*[F.when(holds, record) for holds, record in checks]))
+    return df.where(reduce(lambda a, b: a | b, [holds for holds, _ in checks])).select(*IDS, found.alias("anomalies"))
+
+
 def _emit(df: DataFrame, checks: list[tuple[Column, Column]]) -> DataFrame:
     """One row per check that holds. Rows on which none holds are dropped before the explode."""
     candidates = F.array(*[F.when(holds, record) for holds, record in checks])
@@ -111,8 +119,8 @@ def all_anomalies(df: DataFrame, limits: dict[str, float] = C.DETECTOR_LIMITS, o
 
 
 def catalogue(spark) -> DataFrame:
-    return spark.createDataFrame(
-        C.REMEDIATION_CATALOGUE, "type string, actions array<string>, scripts array<string>, priority string"
+    return constant_table(
+        spark, C.REMEDIATION_CATALOGUE, "type string, actions array<string>, scripts array<string>, priority string"
     )
 
 

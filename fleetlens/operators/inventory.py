@@ -53,9 +53,13 @@ def mean_latency(probes: DataFrame) -> DataFrame:
 def interface_addresses(interfaces: DataFrame, addresses: DataFrame) -> DataFrame:
     """Every interface with each of its addresses, interfaces without one included.
 
-    The result stays flat: a nested list per interface would grow without bound.
+    The result stays flat, because a nested list per interface would grow without bound. An
+    inner join plus the interfaces left over, so that an interface with very many addresses
+    can be split over tasks.
     """
-    return interfaces.join(addresses, "if_id", "left")
+    matched = interfaces.join(addresses, "if_id")
+    bare = interfaces.join(addresses.select("if_id").distinct(), "if_id", "left_anti")
+    return matched.unionByName(bare, allowMissingColumns=True)
 
 
 def address_counts(interfaces: DataFrame, addresses: DataFrame) -> DataFrame:

@@ -29,9 +29,9 @@ def count_by(df: DataFrame, key: str, missing: str = "unknown") -> DataFrame:
 
 
 def share_by(df: DataFrame, key: str, missing: str = "unknown") -> DataFrame:
-    """Counts with their share in percent. The total runs over the grouped rows only."""
+    """Counts with their share in percent. The total is summed over the grouped rows."""
     counts = count_by(df, key, missing)
-    total = df.agg(F.count("*").alias("n")).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("share", F.round(F.col("n") / total * 100, 6))
 
 

@@ -132,7 +132,7 @@ def json_quarantine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def anomaly_envelopes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = routing.anomaly_envelopes(detect.threshold_anomalies(V.tel(spark, sf)))
+    rows = routing.anomaly_envelopes(detect.threshold_lists(V.tel(spark, sf)))
     body = F.from_json("message", "type string, timestamp string, anomalies array<struct<type:string>>")
     return rows.select("event_id", "agent_id", F.size(body["anomalies"]).alias("n"), body["type"].alias("type"),
                        F.concat_ws(",", body["anomalies"]["type"]).alias("kinds"))
@@ -232,7 +232,7 @@ SELECT event_id, ts, agent_id, substr(concat('{"agent_id":"agent-', CAST(agent_i
        CASE agent_id % 3 WHEN 0 THEN 'Linux' WHEN 1 THEN 'Windows' ELSE 'Darwin' END, '"'), 1, 40) AS value
 FROM tel WHERE event_id % 50 = 49""", "tel")),
     "anomaly_envelopes": (anomaly_envelopes, sql("""
-SELECT event_id, agent_id, count(*) AS n, 'anomaly_detected' AS type, string_agg(type, ',' ORDER BY type) AS kinds FROM anomaly_events GROUP BY event_id, agent_id""", "anomaly_events")),
+SELECT event_id, agent_id, count(*) AS n, 'anomaly_detected' AS type, string_agg(type, ',' ORDER BY CASE type WHEN 'cpu_threshold_breach' THEN 1 WHEN 'memory_threshold_breach' THEN 2 WHEN 'disk_threshold_breach' THEN 3 ELSE 4 END) AS kinds FROM anomaly_events GROUP BY event_id, agent_id""", "anomaly_events")),
     "metric_envelopes": (metric_envelopes, sql(f"""
 SELECT event_id, agent_id, concat('{{"type":"metrics_update","agent_id":', CAST(agent_id AS VARCHAR), ',"metrics":{{"event_type":"', event_type, '","v":', CAST(v AS VARCHAR),
        '}},"timestamp":"', {_ISO.format('ts')}, '"}}') AS message FROM tel""", "tel")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def constant_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few fixed rows, kept in the plan itself."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(columns, r)) for r in rows]), schema)
+
+
 def jdbc_table(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int) -> DataFrame:
     """A database table read in parallel key ranges (needs the database's driver jar)."""
     return (
