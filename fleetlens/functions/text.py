@@ -26,15 +26,3 @@ def probe_latency(output: str | Column) -> Column:
     """Milliseconds in a probe's text output, -1 when the probe failed."""
     found = F.regexp_extract(output, r"time=([0-9.]+) ?ms", 1)
     return F.coalesce(found.try_cast("double"), F.lit(-1.0))
-
-
-def json_number(raw: str, key: str, default: float = 0.0) -> Column:
-    return F.coalesce(F.get_json_object(raw, f"$.{key}").try_cast("double"), F.lit(default))
-
-
-def json_text(raw: str, key: str, default: str) -> Column:
-    return F.coalesce(F.get_json_object(raw, f"$.{key}"), F.lit(default))
-
-
-def json_flag(raw: str, key: str) -> Column:
-    return F.coalesce(F.get_json_object(raw, f"$.{key}").try_cast("boolean"), F.lit(False))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.text import json_flag, json_number, json_text
 from fleetlens.functions.units import in_section
 
 HEADLINE = {
@@ -57,14 +56,19 @@ def platform_columns(df: DataFrame) -> DataFrame:
     return df.select("event_id", "ts", "agent_id", "platform.*")
 
 
+# Columns of a stored metric row inside its JSON text: type and default.
+STORED = {
+    **{name: ("double", 0.0) for name in HEADLINE},
+    "is_anomaly": ("boolean", False), "anomaly_score": ("double", 0.0), "severity": ("string", "normal"),
+}
+
+
 def stored_metrics(df: DataFrame, raw: str = "raw_data") -> DataFrame:
-    """Seven typed columns out of the stored JSON, each with its default."""
-    return df.withColumns({
-        **{name: json_number(raw, name) for name in HEADLINE},
-        "is_anomaly": json_flag(raw, "is_anomaly"),
-        "anomaly_score": json_number(raw, "anomaly_score"),
-        "severity": json_text(raw, "severity", "normal"),
-    })
+    """Seven typed columns out of the stored JSON, parsed once, each with its default."""
+    doc = F.from_json(raw, ", ".join(f"{name} {kind}" for name, (kind, _) in STORED.items()))
+    return df.withColumn("_doc", doc).withColumns({
+        name: F.coalesce(F.col(f"_doc.{name}"), F.lit(default)) for name, (_, default) in STORED.items()
+    }).drop("_doc")
 
 
 def feature_columns(df: DataFrame, slots: list[tuple[str, str, str]]) -> DataFrame:

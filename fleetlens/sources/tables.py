@@ -37,7 +37,8 @@ def decode(messages: DataFrame, value: str = "value", sections: tuple[str, ...]
     fields = [f for f in SNAPSHOT.fields if sections is None or f.name in sections]
     schema = T.StructType([*fields, T.StructField("_corrupt", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    return messages.withColumn("doc", F.from_json(value, schema, options))
+    # Parsing inside a generator runs once per message, also when filters on the result follow.
+    return messages.withColumn("doc", F.explode(F.array(F.from_json(value, schema, options))))
 
 
 def corrupt() -> Column:

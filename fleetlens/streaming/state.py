@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 HISTORY = 20
@@ -31,35 +31,40 @@ class RecentHistory(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState("recent", "cpu double, memory double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         history = [(r[0], r[1]) for r in self.recent.get()]
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        found = []
-        for event_id, ts, cpu, memory in batch[["event_id", "ts", "cpu_usage", "memory_usage"]].itertuples(index=False):
-            history = (history + [(cpu, memory)])[-HISTORY:]
+        for row in sorted(rows, key=lambda r: (r.ts, r.event_id)):
+            history = (history + [(row.cpu_usage, row.memory_usage)])[-HISTORY:]
             for kind, text, action in patterns(history):
-                found.append((key[0], event_id, ts, kind, "high", text, action))
-        self.recent.put([(None if pd.isna(c) else float(c), None if pd.isna(m) else float(m)) for c, m in history])
-        yield pd.DataFrame(found, columns=["agent_id", "event_id", "ts", "type", "severity", "description", "suggested_action"])
+                yield Row(agent_id=key[0], event_id=row.event_id, ts=row.ts, type=kind, severity="high",
+                          description=text, suggested_action=action)
+        self.recent.put(history)
 
     def close(self) -> None:
         pass
 
 
-def patterns(history: list[tuple[float, float]]) -> list[tuple[str, str, str]]:
+def _mean(values: list[float]) -> float:
+    # Plain addition from left to right, as in the batch operator (sum() would compensate).
+    return reduce(add, values) / len(values)
+
+
+def patterns(history: list[tuple[float | None, float | None]]) -> list[tuple[str, str, str]]:
     """The pattern anomalies of the newest entry: type, text, action."""
     if len(history) < HISTORY:
         return []
     out = []
-    cpu = np.array([c for c, _ in history if not pd.isna(c)])
+    cpu = [c for c, _ in history if c is not None]
     if len(cpu) >= 15:
-        older, recent = cpu[-15:-10].mean(), cpu[-5:].mean()
+        older, recent = _mean(cpu[-15:-10]), _mean(cpu[-5:])
         if recent > older + 30:
-            out.append(("cpu_trend_anomaly", f"Rapid CPU increase detected: {older:.1f}% → {recent:.1f}%", "investigate_cpu_spike"))
-    memory = np.array([m for _, m in history[-15:] if not pd.isna(m)])
+            text = f"Rapid CPU increase detected: {older:.1f}% → {recent:.1f}%"
+            out.append(("cpu_trend_anomaly", text, "investigate_cpu_spike"))
+    memory = [m for _, m in history[-15:] if m is not None]
     if len(memory) >= 10:
-        x = np.arange(len(memory)) - (len(memory) - 1) / 2
-        slope = (x * memory).sum() / (x * x).sum()
+        middle = (len(memory) - 1) / 2
+        offsets = [i - middle for i in range(len(memory))]
+        slope = sum(x * y for x, y in zip(offsets, memory)) / sum(x * x for x in offsets)
         if slope > 2:
             text = f"Potential memory leak detected (trend: +{slope:.1f}% per interval)"
             out.append(("memory_leak_pattern", text, "investigate_memory_leak"))
@@ -75,29 +80,27 @@ class OpenAlert(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.alert = handle.getValueState("alert", _ALERT_STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.alert.get() if self.alert.exists() else None
-        episode, is_open, *alert = stored if stored is not None else (0, False, None, None, None, None, None, 0)
-        batch = pd.concat(list(rows)).sort_values(["ts", "resolve", "event_id"])
-        versions = []
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        episode, is_open, *alert = self.alert.get() or (0, False, None, None, None, None, None, 0)
 
-        def version(status: str, at) -> tuple:
+        def version(status: str, at) -> Row:
             severity, description, action, first, last, count = alert
-            return (key[0], key[1], f"{key[0]}_{key[1]}", episode, severity, description, action, first, last, count, status, at)
+            return Row(type=key[0], agent_id=key[1], alert_id=f"{key[0]}_{key[1]}", episode=episode,
+                       severity=severity, description=description, suggested_action=action,
+                       first_seen=first, last_seen=last, count=count, status=status, resolved_at=at)
 
-        for r in batch.itertuples(index=False):
-            if r.resolve:
+        for row in sorted(rows, key=lambda r: (r.ts, r.resolve, r.event_id)):
+            if row.resolve:
                 if is_open:
-                    versions.append(version("resolved", r.ts))
+                    yield version("resolved", row.ts)
                 episode, is_open = episode + 1, False
             elif is_open:
-                alert[4], alert[5] = r.ts, alert[5] + 1
+                alert[4], alert[5] = row.ts, alert[5] + 1
             else:
-                is_open, alert = True, [r.severity, r.description, r.suggested_action, r.ts, r.ts, 1]
+                is_open, alert = True, [row.severity, row.description, row.suggested_action, row.ts, row.ts, 1]
         if is_open:
-            versions.append(version("active", pd.NaT))
-        self.alert.update((int(episode), bool(is_open), *alert))
-        yield pd.DataFrame(versions, columns=[c.split()[0] for c in ALERTS.split(", ")])
+            yield version("active", None)
+        self.alert.update((episode, is_open, *alert))
 
     def close(self) -> None:
         pass
@@ -106,10 +109,10 @@ class OpenAlert(StatefulProcessor):
 def pattern_stream(telemetry: DataFrame) -> DataFrame:
     """Needs the RocksDB state store."""
     rows = telemetry.select("agent_id", "event_id", "ts", "cpu_usage", "memory_usage")
-    return rows.groupBy("agent_id").transformWithStateInPandas(RecentHistory(), PATTERNS, "append", "none")
+    return rows.groupBy("agent_id").transformWithState(RecentHistory(), PATTERNS, "append", "none")
 
 
 def alert_stream(events: DataFrame) -> DataFrame:
     """``events`` holds anomalies and resolutions (``resolve`` = 1) with equal columns."""
     rows = events.select("type", "agent_id", "event_id", "ts", "resolve", "severity", "description", "suggested_action")
-    return rows.groupBy("type", "agent_id").transformWithStateInPandas(OpenAlert(), ALERTS, "append", "none")
+    return rows.groupBy("type", "agent_id").transformWithState(OpenAlert(), ALERTS, "append", "none")
