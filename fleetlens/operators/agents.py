@@ -97,15 +97,19 @@ def script_missing(commands: DataFrame, agents: DataFrame) -> DataFrame:
     return missing.select("event_id", "agent_id", "issue_type", "os")
 
 
-def fleet_status(agents: DataFrame, online: DataFrame, anomalies: DataFrame, asof: Column) -> DataFrame:
-    """One row for the fleet: connected and healthy agents, and anomalies of the last 24 hours."""
+def fleet_status(agents: DataFrame, online: DataFrame, dashboards: DataFrame, anomalies: DataFrame,
+                 health: DataFrame, asof: Column) -> DataFrame:
+    """One row for the fleet: connected clients, healthy agents, anomalies of the last 24 hours, worst health."""
     recent = F.col("ts") > asof - F.expr("INTERVAL 24 HOURS")
-    counts = anomalies.agg(F.count_if(recent).alias("n"))
+    has = {level: F.bool_or(F.col("status") == level) for level in ("critical", "warning")}
+    worst = F.when(has["critical"], "critical").when(has["warning"], "warning").otherwise("healthy")
     return agents.agg(
         F.count("*").alias("agents"), F.count_if(F.col("status") == "healthy").alias("healthy_agents")
     ).select(
         "*",
-        online.agg(F.count("*").alias("n")).scalar().alias("connected_agents"),
-        counts.scalar().alias("anomalies_24h"),
         (F.col("healthy_agents") / F.nullif("agents", F.lit(0)) * 100).alias("healthy_share"),
+        online.agg(F.count("*")).scalar().alias("connected_agents"),
+        dashboards.agg(F.count("*")).scalar().alias("active_dashboards"),
+        anomalies.agg(F.count_if(recent)).scalar().alias("anomalies_24h"),
+        health.agg(worst).scalar().alias("system_health"),
     )

@@ -70,6 +70,14 @@ def present_index(metric: str, w: WindowSpec) -> Column:
     return F.count(metric).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
+def slope(metric: str, index: str, frame: WindowSpec) -> Column:
+    """Least-squares slope per entry.
+
+    Rounded to 9 decimals, so that limits and texts do not depend on the order of additions.
+    """
+    return F.round(F.regr_slope(metric, index).over(frame), 9)
+
+
 def pattern_inputs(df: DataFrame, w: WindowSpec) -> DataFrame:
     """Trailing values the pattern detectors read; absent sections do not count as entries."""
     last20, last15 = w.rowsBetween(-19, 0), w.rowsBetween(-14, 0)
@@ -80,7 +88,7 @@ def pattern_inputs(df: DataFrame, w: WindowSpec) -> DataFrame:
         "_x": present_index("memory_usage", w),
     })
     return df.withColumns({
-        "_slope": F.regr_slope("memory_usage", "_x").over(last15),
+        "_slope": slope("memory_usage", "_x", last15),
         "_older": _mean_from_end(F.col("_cpu"), 15, 11),
         "_recent": _mean_from_end(F.col("_cpu"), 5, 1),
     })
@@ -94,8 +102,8 @@ def _jump_check(delta: float) -> tuple[Column, Column]:
     return holds, _anomaly("cpu_trend_anomaly", F.lit("high"), text, "investigate_cpu_spike")
 
 
-def _leak_check(slope: float) -> tuple[Column, Column]:
-    holds = (F.col("_history") >= 20) & (F.col("_memory_n") >= 10) & (F.col("_slope") > slope)
+def _leak_check(least: float) -> tuple[Column, Column]:
+    holds = (F.col("_history") >= 20) & (F.col("_memory_n") >= 10) & (F.col("_slope") > least)
     text = F.concat(
         F.lit("Potential memory leak detected (trend: +"), fixed(F.col("_slope"), 1), F.lit("% per interval)")
     )
@@ -107,9 +115,9 @@ def cpu_jump(df: DataFrame, delta: float = 30.0, order: Order = AGENT_SERIES) ->
     return _emit(trailing(df, 20, pattern_inputs, order), [_jump_check(delta)])
 
 
-def memory_leak(df: DataFrame, slope: float = 2.0, order: Order = AGENT_SERIES) -> DataFrame:
+def memory_leak(df: DataFrame, least: float = 2.0, order: Order = AGENT_SERIES) -> DataFrame:
     """Least-squares slope of the last 15 memory values above a limit per interval."""
-    return _emit(trailing(df, 20, pattern_inputs, order), [_leak_check(slope)])
+    return _emit(trailing(df, 20, pattern_inputs, order), [_leak_check(least)])
 
 
 def all_anomalies(df: DataFrame, limits: dict[str, float] = C.DETECTOR_LIMITS, order: Order = AGENT_SERIES) -> DataFrame:

@@ -49,43 +49,56 @@ def _uniform(seed: np.ndarray, node: np.ndarray, salt: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
-def grow(points: np.ndarray, tree: np.ndarray, seeds: np.ndarray, limits: np.ndarray):
+def grow(points: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, limits: np.ndarray):
     """Split the points of many trees level by level.
 
-    ``tree`` numbers the tree of each point; ``seeds`` and ``limits`` are per tree. Returns
-    the path length per point and the nodes (tree, node, feature, split, path); the children
-    of node ``k`` are ``2k`` and ``2k + 1``, leaves have feature -1.
+    The points of a tree follow each other; ``sizes``, ``seeds`` and ``limits`` are per tree.
+    Returns the path length per point and the nodes (tree, node, feature, split, path); the
+    children of node ``k`` are ``2k`` and ``2k + 1``, leaves have feature -1.
     """
-    paths = np.zeros(len(points))
-    rows = np.arange(len(points))
-    node = np.ones(len(points), dtype=np.int64)
+    paths, rows = np.zeros(len(points)), np.arange(len(points))
+    tree, node = np.arange(len(sizes)), np.ones(len(sizes), dtype=np.int64)
     found: list[tuple[np.ndarray, ...]] = []
     depth = 0
     while len(rows):
-        order = np.lexsort((node, tree[rows]))
-        rows, node = rows[order], node[order]
-        fresh = np.r_[True, (np.diff(node) != 0) | (np.diff(tree[rows]) != 0)]
-        starts, member = np.flatnonzero(fresh), np.cumsum(fresh) - 1
-        sizes = np.diff(np.r_[starts, len(rows)])
-        group_tree, group_node = tree[rows][starts], node[starts]
-        values = points[rows]
-        low, high = np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
-        varies = high > low
-        usable = varies.sum(axis=1)
-        splits = (usable > 0) & (depth < limits[group_tree])
-        # A feature drawn among those that vary, and a cut drawn between its extremes.
-        seed = seeds[group_tree]
-        pick = np.floor(_uniform(seed, group_node, 0) * usable)
-        feature = ((np.cumsum(varies, axis=1) > pick[:, None]) & varies).argmax(axis=1)
-        lo, hi = low[np.arange(len(starts)), feature], high[np.arange(len(starts)), feature]
-        cut = np.minimum(lo + _uniform(seed, group_node, 1) * (hi - lo), np.nextafter(hi, lo))
+        starts, member = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+        seed = seeds[tree]
+        may_split = (sizes > 1) & (depth < limits[tree])
+        feature = np.floor(_uniform(seed, node, 0) * points.shape[1]).astype(int)
+        value = points[rows, feature[member]]
+        low, high = np.minimum.reduceat(value, starts), np.maximum.reduceat(value, starts)
+        constant = may_split & (low == high)
+        if constant.any():
+            # Draw again, among the features that vary within the node.
+            inside, n = constant[member], sizes[constant]
+            values, at = points[rows[inside]], np.cumsum(n) - n
+            lows, highs = np.minimum.reduceat(values, at), np.maximum.reduceat(values, at)
+            varies = highs > lows
+            pick = np.floor(_uniform(seed[constant], node[constant], 2) * varies.sum(axis=1))
+            chosen = ((np.cumsum(varies, axis=1) > pick[:, None]) & varies).argmax(axis=1)
+            one = np.arange(len(chosen))
+            feature[constant], low[constant], high[constant] = chosen, lows[one, chosen], highs[one, chosen]
+            value[inside] = values[np.arange(len(values)), np.repeat(chosen, n)]
+        splits = may_split & (high > low)
+        cut = np.minimum(low + _uniform(seed, node, 1) * (high - low), np.nextafter(high, low))
         path = depth + average_path(sizes)
-        found.append((group_tree, group_node, np.where(splits, feature, -1), np.where(splits, cut, 0.0), path))
-        leaf = ~splits[member]
-        paths[rows[leaf]] = path[member][leaf]
-        kept = ~leaf
-        right = values[np.arange(len(rows)), feature[member]] > cut[member]
-        rows, node = rows[kept], (2 * node + right)[kept]
+        found.append((tree, node, np.where(splits, feature, -1), np.where(splits, cut, 0.0), path))
+        kept = splits[member]
+        paths[rows[~kept]] = path[member[~kept]]
+        if not kept.any():
+            break
+        # Both children of a node are never empty. Left points move before right ones.
+        left, rows, n = (value <= cut[member])[kept], rows[kept], sizes[splits]
+        starts, member = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+        seen = np.cumsum(left)
+        lefts = seen - (seen - left)[starts][member]
+        n_left = np.add.reduceat(left.astype(int), starts)
+        place = np.arange(len(rows)) - starts[member]
+        target = starts[member] + np.where(left, lefts - 1, n_left[member] + place - lefts)
+        moved = np.empty_like(rows)
+        moved[target] = rows
+        rows, sizes = moved, np.column_stack([n_left, n - n_left]).ravel()
+        tree, node = np.repeat(tree[splits], 2), np.column_stack([2 * node[splits], 2 * node[splits] + 1]).ravel()
         depth += 1
     return paths, [np.concatenate(column) for column in zip(*found)]
 
@@ -129,9 +142,8 @@ def fit_forest(df: DataFrame, features: list[str], trees: int, sample: int = SAM
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(ident)
         number = int(rows["tree"].iloc[0])
-        zeros = np.zeros(len(rows), dtype=int)
-        key = np.array([seed * 1_000_003 + number])
-        _, nodes = grow(rows[features].to_numpy(float), zeros, key, _depth_limit(np.array([min(sample, n)])))
+        size, key = np.array([len(rows)]), np.array([seed * 1_000_003 + number])
+        _, nodes = grow(rows[features].to_numpy(float), size, key, _depth_limit(size))
         _, node, feature, split, path = nodes
         return pd.DataFrame({"tree": number, "node": node, "feature": feature, "split": split, "path": path})
 
@@ -173,7 +185,8 @@ def score_forest(df: DataFrame, nodes: DataFrame, features: list[str], sample: i
 
     whole = _complete(features)
     inputs = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
-    return df.withColumn("score", F.when(whole, score(*inputs)))
+    # Declared nondeterministic so that later uses of the column do not score again.
+    return df.withColumn("score", score.asNondeterministic()(*inputs)).withColumn("score", F.when(whole, F.col("score")))
 
 
 def forest_offset(scored: DataFrame, contamination: float) -> float:
@@ -197,9 +210,14 @@ def forest_anomalies(decided: DataFrame, kind: str, description: str, action: st
 
 
 def detect_with_forest(df: DataFrame, features: list[str], trees: int, contamination: float) -> DataFrame:
-    """Fit on ``df`` and decide on every row of it. Scores are stored once and read twice."""
-    nodes = written(fit_forest(df, features, trees), "forest")
-    scored = written(score_forest(df, nodes, features).select(*IDS, "score"), "scores")
+    """Fit on ``df`` and decide on every row of it.
+
+    The features are read for the fit and again for the scores, and the scores twice, so
+    both are stored instead of computed anew.
+    """
+    rows = written(df.select(*IDS, *features), "features")
+    nodes = written(fit_forest(rows, features, trees), "forest")
+    scored = written(score_forest(rows, nodes, features).select(*IDS, "score"), "scores")
     return decide(scored, forest_offset(scored, contamination))
 
 
@@ -238,10 +256,9 @@ def per_message_decision(df: DataFrame, features: list[str], trees: int, depth:
             windows = [np.asarray(e, dtype=float).reshape(-1, width) for e in entries[start:start + 16]]
             sizes = np.array([len(w) for w in windows])
             points = np.concatenate([np.tile(w, (trees, 1)) for w in windows])
-            tree = np.repeat(np.arange(len(windows) * trees), np.repeat(sizes, trees))
             keys = ident.to_numpy()[start:start + 16].astype(np.int64)
             seeds = (keys[:, None] * 1009 + np.arange(trees) + seed).ravel()
-            paths, _ = grow(points, tree, seeds, np.repeat(_depth_limit(sizes), trees))
+            paths, _ = grow(points, np.repeat(sizes, trees), seeds, np.repeat(_depth_limit(sizes), trees))
             first = 0
             for n in sizes:
                 mean = paths[first:first + trees * n].reshape(trees, n).mean(axis=0)
@@ -255,4 +272,4 @@ def per_message_decision(df: DataFrame, features: list[str], trees: int, depth:
     # Fitting costs far more than moving the rows, so spread them evenly, whatever their agent.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = rows.where(ready).select(*IDS, F.flatten("_entries").alias("_entries")).repartition(parts, "event_id")
-    return spread.select(*IDS, decision("_entries", "event_id").alias("decision"))
+    return spread.select(*IDS, decision.asNondeterministic()("_entries", "event_id").alias("decision"))

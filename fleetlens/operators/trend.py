@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from fleetlens import constants as C
-from fleetlens.operators.detect import IDS, present_index
+from fleetlens.operators.detect import IDS, present_index, slope
 from fleetlens.operators.slices import AGENT_SERIES, Order, micros, trailing
 
 TEN = 10
@@ -24,7 +24,7 @@ def _forecast_inputs(metrics: list[str]):
         df = df.withColumns({f"_x_{m}": present_index(m, w) for m in metrics})
         return df.withColumns({
             **{f"_n_{m}": F.count(m).over(last) for m in metrics},
-            **{f"_slope_{m}": F.regr_slope(m, f"_x_{m}").over(last) for m in metrics},
+            **{f"_slope_{m}": slope(m, f"_x_{m}", last) for m in metrics},
         })
 
     return build
@@ -32,17 +32,17 @@ def _forecast_inputs(metrics: list[str]):
 
 def _forecast(metric: str) -> tuple[Column, dict[str, Column]]:
     ceiling, least, horizon, cap, factor = FORECASTS[metric]
-    slope, current = F.col(f"_slope_{metric}"), F.col(metric)
-    left = (F.lit(ceiling) - current) / F.nullif(slope, F.lit(0.0))
+    rise, current = F.col(f"_slope_{metric}"), F.col(metric)
+    left = (F.lit(ceiling) - current) / F.nullif(rise, F.lit(0.0))
     due = (
         (F.col("_history") >= TEN) & current.isNotNull() & (F.col(f"_n_{metric}") >= 5)
-        & (slope > least) & (left < horizon)
+        & (rise > least) & (left < horizon)
     )
     return due, {
         "time_to_failure": left.cast("int"),
-        "confidence": F.least(F.lit(cap), slope * factor),
+        "confidence": F.least(F.lit(cap), rise * factor),
         "current_usage": current,
-        "trend": slope,
+        "trend": rise,
     }
 
 

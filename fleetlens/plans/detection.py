@@ -133,7 +133,7 @@ mem AS (
   FROM {t} WINDOW w20 AS (PARTITION BY agent_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW),
                   w15 AS (PARTITION BY agent_id ORDER BY ts, event_id ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)),
 leak AS (
-  SELECT *, regr_slope(memory_usage, x) OVER (PARTITION BY agent_id ORDER BY ts, event_id ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS slope
+  SELECT *, round(regr_slope(memory_usage, x) OVER (PARTITION BY agent_id ORDER BY ts, event_id ROWS BETWEEN 14 PRECEDING AND CURRENT ROW), 9) AS slope
   FROM mem)"""
 _LEAK_SELECT = """
 SELECT event_id, ts, agent_id, 'memory_leak_pattern' AS type, 'high' AS severity,
@@ -178,7 +178,7 @@ def _forecast_cte(metric: str) -> str:
     return f"""
 x_{metric} AS (SELECT event_id, ts, agent_id, {metric} AS m, count(*) OVER {w} AS history, count({metric}) OVER {w} AS n,
              count({metric}) OVER (PARTITION BY agent_id ORDER BY ts, event_id) AS x FROM tel_gap),
-s_{metric} AS (SELECT *, regr_slope(m, x) OVER {w} AS slope FROM x_{metric})"""
+s_{metric} AS (SELECT *, round(regr_slope(m, x) OVER {w}, 9) AS slope FROM x_{metric})"""
 
 
 def _forecast_sql(metric: str, ceiling: float, least: float, horizon: int, cap: float, factor: float) -> str:

@@ -279,7 +279,9 @@ def agent_status_share(spark: SparkSession, sf: str) -> DataFrame:
 
 def fleet_status(spark: SparkSession, sf: str) -> DataFrame:
     agents, online = agents_liveness(spark, sf), A.connected(V.conn_events(spark, sf))
-    row = A.fleet_status(agents, online, _anomalies(spark, sf), last_ts(V.tel(spark, sf)))
+    dashboards = A.connected(V.dashboard_events(spark, sf))
+    checks = health.health_check(health.latest_per_agent(V.tel(spark, sf)))
+    row = A.fleet_status(agents, online, dashboards, _anomalies(spark, sf), checks, last_ts(V.tel(spark, sf)))
     return row.withColumn("healthy_share", F.round("healthy_share", 6))
 
 
@@ -544,10 +546,15 @@ WITH {_LIVE.strip()}
 SELECT status, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM live) AS DOUBLE) * 100, 6) AS share FROM live GROUP BY status""", "tel")),
     "fleet_status": (fleet_status, sql(f"""
 WITH {_LIVE.strip()},
-{_ONLINE}
-SELECT count(*) AS agents, count_if(status = 'healthy') AS healthy_agents, (SELECT count(*) FROM online) AS connected_agents,
+{_ONLINE},
+{_LATEST_TEL},
+dash AS (SELECT agent_id FROM dashboard_events GROUP BY agent_id HAVING arg_max(kind, (ts, event_id)) = 'connect')
+SELECT count(*) AS agents, count_if(status = 'healthy') AS healthy_agents, round(count_if(status = 'healthy') / CAST(count(*) AS DOUBLE) * 100, 6) AS healthy_share,
+       (SELECT count(*) FROM online) AS connected_agents, (SELECT count(*) FROM dash) AS active_dashboards,
        (SELECT count(*) FROM anomaly_events WHERE ts > (SELECT max(ts) FROM tel) - INTERVAL 24 HOUR) AS anomalies_24h,
-       round(count_if(status = 'healthy') / CAST(count(*) AS DOUBLE) * 100, 6) AS healthy_share FROM live""", "conn_events", "anomaly_events")),
+       (SELECT CASE WHEN bool_or(cpu_usage > 95 OR memory_usage > 95 OR disk_usage > 98) THEN 'critical'
+                    WHEN bool_or(cpu_usage > 80 OR memory_usage > 85 OR disk_usage > 90) THEN 'warning' ELSE 'healthy' END FROM latest) AS system_health
+FROM live""", "conn_events", "dashboard_events", "anomaly_events")),
     "commands_deliverable": (commands_deliverable, sql(
         f"WITH {_ONLINE}\nSELECT event_id, ts, agent_id, issue_type FROM commands WHERE agent_id IN (SELECT agent_id FROM online)", "conn_events", "commands")),
     "commands_undeliverable": (commands_undeliverable, sql(

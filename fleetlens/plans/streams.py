@@ -85,6 +85,14 @@ def stream_anomalies_24h(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows").withColumn("hour_end", F.col("hour_end").cast("timestamp_ntz"))
 
 
+def stream_without_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Every snapshot arrives twice and is kept once."""
+    path = shared_dir(spark, "unique")
+    rows = event_stream(spark, sf).select("event_id", "ts", "agent_id", "v")
+    _finished(jobs.append_table(jobs.deduplicated(rows.union(rows)), path, jobs.ALL_NOW))
+    return spark.read.parquet(f"{path}/rows").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 def stream_critical_feed(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_dir(spark, "critical")
     _finished(jobs.critical_feed(event_stream(spark, sf), path, jobs.ALL_NOW))
@@ -137,7 +145,7 @@ def forest_network_per_message(spark: SparkSession, sf: str) -> DataFrame:
 
 def forest_reloaded(spark: SparkSession, sf: str) -> DataFrame:
     """Fit, save, load again, score: what a later job does with a stored forest."""
-    rows = _network_rows(spark, sf)
+    rows = written(_network_rows(spark, sf), "features")
     nodes = written(forest.fit_forest(rows, NETWORK, C.NETWORK_FOREST["trees"]), "forest")
     scored = written(forest.score_forest(rows, nodes, NETWORK).select("score"), "scores")
     path = shared_dir(spark, "model")
@@ -180,5 +188,9 @@ FROM conn_events WHERE kind = 'connect' GROUP BY agent_id""", "conn_events")),
     "stream_anomalies_24h": (stream_anomalies_24h, sql("""
 WITH hours AS (SELECT date_trunc('hour', ts) + to_hours(CAST(h AS BIGINT)) AS hour_end FROM anomaly_events, (SELECT unnest(range(1, 25)) AS h) r)
 SELECT hour_end, count(*) AS n FROM hours GROUP BY hour_end HAVING hour_end <= (SELECT max(ts) FROM anomaly_events) - INTERVAL 10 MINUTE""", "anomaly_events")),
-    "stream_critical_feed": (stream_critical_feed, None),
+    "stream_without_repeats": (stream_without_repeats, sql("SELECT event_id, ts, agent_id, v FROM tel", "tel")),
+    "stream_critical_feed": (stream_critical_feed, sql("""
+WITH latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, event_id DESC) AS rn FROM tel) WHERE rn = 1)
+SELECT agent_id, CAST(cpu_usage > 95 AS INT) + CAST(memory_usage > 95 AS INT) + CAST(disk_usage > 98 AS INT) AS n_issues FROM latest
+WHERE cpu_usage > 95 OR memory_usage > 95 OR disk_usage > 98""", "tel")),
 }

@@ -68,6 +68,14 @@ def connections_of(rows: DataFrame) -> DataFrame:
     )
 
 
+def dashboard_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Dashboards that open and close, in the form of connection events."""
+    return tel(spark, sf).where(F.col("event_type").isin("view", "purchase")).select(
+        "event_id", "ts", "agent_id",
+        F.when(F.col("event_type") == "view", "connect").otherwise("disconnect").alias("kind"),
+    )
+
+
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     kind = (
         F.when(F.col("event_type") == "signup", "pong")
@@ -274,6 +282,9 @@ FROM tel"""),
     "conn_events": (("tel",), """
 SELECT event_id, ts, agent_id, CASE WHEN event_type = 'signup' THEN 'connect' ELSE 'disconnect' END AS kind
 FROM tel WHERE event_type IN ('signup', 'error')"""),
+    "dashboard_events": (("tel",), """
+SELECT event_id, ts, agent_id, CASE WHEN event_type = 'view' THEN 'connect' ELSE 'disconnect' END AS kind
+FROM tel WHERE event_type IN ('view', 'purchase')"""),
     "messages": (("tel",), """
 SELECT event_id, ts, agent_id, cpu_usage,
        CASE event_type WHEN 'signup' THEN 'pong' WHEN 'error' THEN 'remediation_result'

@@ -64,7 +64,7 @@ def patterns(history: list[tuple[float | None, float | None]]) -> list[tuple[str
     if len(memory) >= 10:
         middle = (len(memory) - 1) / 2
         offsets = [i - middle for i in range(len(memory))]
-        slope = sum(x * y for x, y in zip(offsets, memory)) / sum(x * x for x in offsets)
+        slope = round(sum(x * y for x, y in zip(offsets, memory)) / sum(x * x for x in offsets), 9)
         if slope > 2:
             text = f"Potential memory leak detected (trend: +{slope:.1f}% per interval)"
             out.append(("memory_leak_pattern", text, "investigate_memory_leak"))
