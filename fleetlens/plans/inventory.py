@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.functions.units import mib
+from fleetlens.functions.units import gib, mib
 from fleetlens.operators import detect, flatten, health, inventory, routing
 from fleetlens.plans import views as V
 from fleetlens.plans.views import sql
@@ -16,10 +16,12 @@ from fleetlens.sources.tables import corrupt, decode, export_csv
 FILES_ASOF = "2000-01-01"
 
 
-def unit_columns(spark: SparkSession, sf: str) -> DataFrame:
-    rows = inventory.load_and_uptime(V.snapshots(spark, sf))
-    sizes = V.processes(spark, sf).select(F.col("pid").alias("event_id"), mib("rss_bytes").alias("memory_mb"))
-    return rows.join(sizes, "event_id")
+def load_and_uptime(spark: SparkSession, sf: str) -> DataFrame:
+    return inventory.load_and_uptime(V.snapshots(spark, sf))
+
+
+def memory_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return V.processes(spark, sf).select("pid", mib("rss_bytes").alias("memory_mb"), gib("rss_bytes").alias("memory_gb"))
 
 
 def uptime_seconds(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,11 +174,12 @@ WHERE rank <= 10""", "processes")
 
 
 QUERIES = {
-    "unit_columns": (unit_columns, sql("""
+    "load_and_uptime": (load_and_uptime, sql("""
 SELECT event_id, agent_id, CASE WHEN event_id % 6 <> 0 THEN (v % 401) / CAST(100 AS DOUBLE) ELSE 0 END AS load_1m,
        CASE WHEN event_id % 6 <> 0 THEN ((v * 3) % 401) / CAST(100 AS DOUBLE) ELSE 0 END AS load_5m,
-       CASE WHEN event_id % 6 <> 0 THEN ((v * 5) % 401) / CAST(100 AS DOUBLE) ELSE 0 END AS load_15m, v + 86400 AS uptime,
-       CAST(v AS DOUBLE) AS memory_mb FROM tel""", "tel")),
+       CASE WHEN event_id % 6 <> 0 THEN ((v * 5) % 401) / CAST(100 AS DOUBLE) ELSE 0 END AS load_15m, v + 86400 AS uptime FROM tel""", "tel")),
+    "memory_sizes": (memory_sizes, sql("""
+SELECT pid, round(rss_bytes / CAST(1048576 AS DOUBLE), 2) AS memory_mb, round(rss_bytes / CAST(1073741824 AS DOUBLE), 2) AS memory_gb FROM processes""", "processes")),
     "uptime_seconds": (uptime_seconds, sql("""
 SELECT event_id, CAST(floor(epoch_us(ts) / CAST(1000000 AS DOUBLE) - (1704067200 - v)) AS BIGINT) AS uptime FROM tel""", "tel")),
     "partition_usage": (partition_usage, sql(

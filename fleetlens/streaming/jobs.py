@@ -14,6 +14,7 @@ from fleetlens.streaming.state import alert_stream, pattern_stream
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ALL_NOW = {"availableNow": True}
 EVERY_30_S = {"processingTime": "30 seconds"}
+KEPT_VERSIONS = 4
 EVERY_5_S = {"processingTime": "5 seconds"}
 
 
@@ -91,13 +92,18 @@ def keep_registry(conn_events: DataFrame, path: str, trigger: dict = EVERY_30_S)
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = _version(spark, path, number - 1)
-        agents.agent_snapshot(batch, None, before).write.mode("overwrite").parquet(f"{path}/v{number}")
+        agents.agent_snapshot(batch, None, before).write.mode("overwrite").parquet(_slot(path, number))
 
     return each_batch(conn_events, upsert, path, trigger)
 
 
+def _slot(path: str, number: int) -> str:
+    """Where batch ``number`` puts its version; only the last few versions are kept."""
+    return f"{path}/v{number % KEPT_VERSIONS}"
+
+
 def _version(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    return None if number < 0 else spark.read.parquet(f"{path}/v{number}")
+    return None if number < 0 else spark.read.parquet(_slot(path, number))
 
 
 def _merge(batch: DataFrame, number: int, path: str, reduce_rows: Callable[[DataFrame], DataFrame]) -> None:
@@ -106,11 +112,11 @@ def _merge(batch: DataFrame, number: int, path: str, reduce_rows: Callable[[Data
     rows = reduce_rows(batch)
     if before is not None:
         rows = reduce_rows(before.unionByName(rows))
-    rows.write.mode("overwrite").parquet(f"{path}/v{number}")
+    rows.write.mode("overwrite").parquet(_slot(path, number))
 
 
 def newest_version(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{query.lastProgress['batchId']}")
+    return _version(spark, path, query.lastProgress["batchId"])
 
 
 def anomalies_last_day(anomalies: DataFrame, path: str, trigger: dict = EVERY_30_S) -> StreamingQuery:
