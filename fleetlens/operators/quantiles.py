@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.operators.slices import fits_one_task
+from fleetlens.sources.tables import constant_table
 
 RANGES = 1000
 
 
 def exact_quantiles(df: DataFrame, metrics: list[str], probabilities: dict[str, float]) -> DataFrame:
-    """One row per metric with one column per named probability.
+    """One row per metric that has values, with one column per named probability.
 
     Large input: values are counted first, then ranked within value ranges whose bounds
     come from a sketch. The bounds only balance the work; the ranks are exact.
@@ -22,40 +23,49 @@ def exact_quantiles(df: DataFrame, metrics: list[str], probabilities: dict[str,
             F.struct(F.lit(m).alias("metric"), F.percentile(m, wanted).alias("q")).alias(m) for m in metrics
         ]).select(F.explode(F.array(*metrics)).alias("r"))
         return found.select("r.metric", *[F.col("r.q")[i].alias(name) for i, name in enumerate(probabilities)])
-    out = None
-    for metric in metrics:
-        one = _ranked_quantiles(df, metric, probabilities)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _ranked_quantiles(df, metrics, probabilities)
 
 
-def _ranked_quantiles(df: DataFrame, metric: str, probabilities: dict[str, float]) -> DataFrame:
-    spark = df.sparkSession
+def _ranked_quantiles(df: DataFrame, metrics: list[str], probabilities: dict[str, float]) -> DataFrame:
     grid = [i / RANGES for i in range(1, RANGES)]
-    first = df.agg(F.percentile_approx(metric, grid, 10 * RANGES).alias("b"), F.count(metric).alias("n")).first()
-    bounds, n = sorted(set(first["b"] or [])), first["n"]
-    # The value at a bound belongs to the range it opens.
+    sketch = df.agg(*[
+        F.struct(F.percentile_approx(m, grid, 10 * RANGES).alias("bounds"), F.count(m).alias("n")).alias(m) for m in metrics
+    ]).first()
+
+    # A value belongs to the range opened by the last bound that it reaches.
     opened = F.lit(0)
-    counted = df.where(F.col(metric).isNotNull()).groupBy(F.col(metric).alias("value")).agg(F.count("*").alias("c"))
-    edges = F.array(*[F.lit(b) for b in bounds])
-    opened = F.size(F.filter(edges, lambda b: b <= F.col("value")))
+    for m in metrics:
+        edges = F.array(*[F.lit(b) for b in sorted(set(sketch[m]["bounds"] or []))])
+        reached = F.size(F.filter(edges.cast("array<double>"), lambda b: b <= F.col("value")))
+        opened = F.when(F.col("metric") == m, reached).otherwise(opened)
+    long = df.select([F.col(m).cast("double").alias(m) for m in metrics]).unpivot([], metrics, "metric", "value")
+    counted = long.where(F.col("value").isNotNull()).groupBy("metric", "value").agg(F.count("*").alias("c"))
     counted = counted.withColumn("range", opened)
-    # At most RANGES rows, so one task can rank them.
-    ranges = counted.groupBy("range").agg(F.sum("c").alias("rows"))
-    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+
+    # At most RANGES rows per metric.
+    ranges = counted.groupBy("metric", "range").agg(F.sum("c").alias("rows"))
+    earlier = Window.partitionBy("metric").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).drop("rows")
-    within = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("metric", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        counted.withColumn("_to", F.sum("c").over(within))
-        .join(F.broadcast(ranges), "range")
-        .withColumn("_to", F.col("_to") + F.col("before"))
-        .withColumn("_from", F.col("_to") - F.col("c"))
+        counted.withColumn("upto", F.sum("c").over(within))
+        .join(ranges, ["metric", "range"])
+        .withColumn("upto", F.col("upto") + F.col("before"))
+        .withColumn("after", F.col("upto") - F.col("c"))
     )
-    columns = []
-    for name, p in probabilities.items():
-        position = p * (n - 1)
-        low = int(position)
-        high, part = min(low + 1, n - 1), position - low
-        at = lambda i: F.max(F.when((F.col("_from") <= i) & (F.col("_to") > i), F.col("value")))
-        columns.append((at(low) * (1 - part) + at(high) * part).alias(name))
-    return ranked.agg(*columns).select(F.lit(metric).alias("metric"), *probabilities)
+
+    targets = []
+    for m in metrics:
+        last = max(sketch[m]["n"] - 1, 0)
+        for name, p in probabilities.items():
+            low = int(p * last)
+            targets.append((m, name, low, min(low + 1, last), p * last - low))
+    table = constant_table(df.sparkSession, targets, "metric string, name string, low bigint, high bigint, part double")
+    found = ranked.join(F.broadcast(table), "metric").where((F.col("after") <= F.col("high")) & (F.col("upto") > F.col("low")))
+
+    def value_at(rank: str) -> Column:
+        return F.max(F.when((F.col("after") <= F.col(rank)) & (F.col("upto") > F.col(rank)), F.col("value")))
+
+    quantile = value_at("low") * (1 - F.first("part")) + value_at("high") * F.first("part")
+    points = found.groupBy("metric", "name").agg(quantile.alias("q"))
+    return points.groupBy("metric").agg(*[F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in probabilities])

@@ -163,7 +163,7 @@ def running(df: DataFrame, sums: dict[str, Column], order: Order = AGENT_SERIES)
     return (
         within.join(totals, [*keys, SLICE], "left")
         .withColumns({name: F.col(name) + F.coalesce(F.col(f"_before_{name}"), F.lit(0)) for name in sums})
-        .drop(SLICE, *[f"_before_{name}" for name in sums])
+        .select(*df.columns, *sums)
     )
 
 
