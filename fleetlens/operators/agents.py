@@ -110,6 +110,6 @@ def fleet_status(agents: DataFrame, online: DataFrame, dashboards: DataFrame, an
         (F.col("healthy_agents") / F.nullif("agents", F.lit(0)) * 100).alias("healthy_share"),
         online.agg(F.count("*")).scalar().alias("connected_agents"),
         dashboards.agg(F.count("*")).scalar().alias("active_dashboards"),
-        anomalies.agg(F.count_if(recent)).scalar().alias("anomalies_24h"),
+        anomalies.where(recent).agg(F.count("*")).scalar().alias("anomalies_24h"),
         health.agg(worst).scalar().alias("system_health"),
     )

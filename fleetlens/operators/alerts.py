@@ -121,11 +121,11 @@ def rules(spark) -> DataFrame:
 
 def rule_matches(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """Every snapshot value above the threshold of a rule on the same metric."""
-    table = rules(df.sparkSession) if table is None else table
+    table = F.broadcast(rules(df.sparkSession)) if table is None else table
     long = df.unpivot(
         ["event_id", "ts", "agent_id"], ["cpu_usage", "memory_usage", "disk_usage"], "metric", "value"
     )
-    return long.join(F.broadcast(table), "metric").where(F.col("value") > F.col("threshold"))
+    return long.join(table, "metric").where(F.col("value") > F.col("threshold"))
 
 
 def sustained_breaches(df: DataFrame, table: list[tuple] = C.ALERT_RULES, order: Order = AGENT_SERIES) -> DataFrame:

@@ -133,10 +133,13 @@ def catalogue(spark) -> DataFrame:
 
 
 def with_remediation(anomalies: DataFrame, table: DataFrame | None = None) -> DataFrame:
-    """Advice per anomaly type; unknown types get a manual investigation."""
-    table = catalogue(anomalies.sparkSession) if table is None else table
+    """Advice per anomaly type; unknown types get a manual investigation.
+
+    The built-in catalogue of five rows is broadcast; for another one Spark decides by its size.
+    """
+    table = F.broadcast(catalogue(anomalies.sparkSession)) if table is None else table
     default = F.array(*map(F.lit, C.DEFAULT_ACTIONS))
-    return anomalies.join(F.broadcast(table), "type", "left").withColumns({
+    return anomalies.join(table, "type", "left").withColumns({
         "actions": F.coalesce("actions", default),
         "scripts": F.coalesce("scripts", F.array().cast("array<string>")),
         "priority": F.coalesce("priority", F.lit(C.DEFAULT_PRIORITY)),

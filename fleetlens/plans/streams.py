@@ -42,6 +42,15 @@ def stream_threshold_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows").select("event_id", "ts", "agent_id", "type", "severity", "value", "priority")
 
 
+def stream_envelopes(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_dir(spark, "feeds")
+    for query in jobs.fan_out(event_stream(spark, sf), ["event_type", "v"], path, jobs.ALL_NOW):
+        _finished(query)
+    feeds = [spark.read.parquet(f"{path}/{name}/rows") for name in ("anomalies", "metrics")]
+    kind = F.get_json_object("message", "$.type")
+    return feeds[0].unionByName(feeds[1]).select("event_id", "agent_id", kind.alias("type"))
+
+
 def stream_pattern_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_dir(spark, "patterns")
     _finished(jobs.detect_patterns(event_stream(spark, sf), path, jobs.ALL_NOW))
@@ -154,6 +163,20 @@ def forest_reloaded(spark: SparkSession, sf: str) -> DataFrame:
     return _network_anomalies(forest.decide(forest.score_forest(rows, again, features), offset))
 
 
+def stream_forest_network(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream scored with a forest that a batch job has fitted and saved."""
+    rows = written(_network_rows(spark, sf), "features")
+    nodes = written(forest.fit_forest(rows, NETWORK, C.NETWORK_FOREST["trees"]), "forest")
+    scored = written(forest.score_forest(rows, nodes, NETWORK).select("score"), "scores")
+    model, path = shared_dir(spark, "model"), shared_dir(spark, "scored")
+    forest.save_forest(nodes, forest.forest_offset(scored, C.NETWORK_FOREST["contamination"]), NETWORK, model)
+    live = flatten.network_features(V.snapshots_of(event_stream(spark, sf))).select("event_id", "ts", "agent_id", *NETWORK)
+    _finished(jobs.detect_with_saved_forest(
+        live, model, path, "network_anomaly", "Unusual network behavior detected", "check_network_connectivity",
+        C.NETWORK_FOREST["high_below"], jobs.ALL_NOW))
+    return spark.read.parquet(f"{path}/rows").drop("batch")
+
+
 def anomalies_four_detectors(spark: SparkSession, sf: str) -> DataFrame:
     """Both forests, the thresholds and the patterns over one table, with advice."""
     values = flatten.detector_values(V.snapshots(spark, sf))
@@ -170,6 +193,10 @@ QUERIES = {
     "forest_network_per_message": (forest_network_per_message, None),
     "forest_reloaded": (forest_reloaded, None),
     "anomalies_four_detectors": (anomalies_four_detectors, None),
+    "stream_forest_network": (stream_forest_network, None),
+    "stream_envelopes": (stream_envelopes, sql("""
+SELECT event_id, agent_id, 'metrics_update' AS type FROM tel
+UNION ALL SELECT DISTINCT event_id, agent_id, 'anomaly_detected' FROM anomaly_events""", "anomaly_events")),
     "stream_landing": (stream_landing, sql(
         "SELECT event_id, ts, agent_id, v, strftime(ts, '%Y-%m-%d') AS date FROM tel", "tel")),
     "stream_threshold_anomalies": (stream_threshold_anomalies, sql("""

@@ -175,6 +175,10 @@ def agent_logs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshots_of(tel(spark, sf))
+
+
+def snapshots_of(rows: DataFrame) -> DataFrame:
     """One nested snapshot document per event; sections and keys are missing in places."""
     e, v, a = F.col("event_id"), F.col("v"), F.col("agent_id")
     service = F.element_at(F.array(F.lit("error"), F.lit("stopped"), F.lit("running"), F.lit("running")),
@@ -229,7 +233,7 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
         system.alias("system"), F.concat(F.lit("host-"), a.cast("string")).alias("node"),
         F.concat(F.lit("6."), (a % 7).cast("string")).alias("release"), F.lit("x86_64").alias("machine"),
     )
-    return tel(spark, sf).select(
+    return rows.select(
         "event_id", "ts", "agent_id", platform.alias("platform"),
         F.when(e % 7 != 0, cpu).alias("cpu"), F.when(e % 5 != 0, memory).alias("memory"),
         disk.alias("disk"), network.alias("network"), health.alias("health"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,16 @@ def land_raw(messages: DataFrame, path: str) -> None:
     messages.withColumn("date", F.to_date("ts")).write.mode("append").partitionBy("date").parquet(path)
 
 
+def landed(spark: SparkSession, path: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    """Landed snapshots from ``start`` up to but not including ``end``; other days are not read."""
+    rows = spark.read.parquet(path)
+    if start is not None:
+        rows = rows.where((F.col("date") >= F.lit(start.date())) & (F.col("ts") >= F.lit(start)))
+    if end is not None:
+        rows = rows.where((F.col("date") <= F.lit(end.date())) & (F.col("ts") < F.lit(end)))
+    return rows
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 

@@ -39,6 +39,15 @@ def detect_thresholds(telemetry: DataFrame, path: str, trigger: dict = EVERY_30_
     return append_table(detect.with_remediation(detect.threshold_anomalies(telemetry)), path, trigger)
 
 
+def fan_out(telemetry: DataFrame, metrics: list[str], path: str, trigger: dict = EVERY_30_S) -> list[StreamingQuery]:
+    """The two message feeds: anomalies per snapshot, and the metric values of every snapshot."""
+    feeds = {
+        "anomalies": routing.anomaly_envelopes(detect.threshold_lists(telemetry)),
+        "metrics": routing.metric_envelopes(telemetry, metrics),
+    }
+    return [append_table(rows, f"{path}/{name}", trigger) for name, rows in feeds.items()]
+
+
 def detect_patterns(telemetry: DataFrame, path: str, trigger: dict = EVERY_30_S) -> StreamingQuery:
     use_rocksdb(telemetry.sparkSession)
     return append_table(pattern_stream(telemetry.withColumn("ts", F.col("ts").cast("timestamp"))), path, trigger)

@@ -1,5 +1,7 @@
 """A stream over many small files gives what the batch query gives."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from fleetlens.operators import alerts, detect, flatten, forest, health
 from fleetlens.plans import streams
 from fleetlens.plans import views as V
 from fleetlens.session import shared_dir
-from fleetlens.sources.tables import decode, land_raw
+from fleetlens.sources.tables import decode, land_raw, landed
 from fleetlens.streaming import jobs
 from fleetlens.streaming.sources import json_stream, table_stream
 
@@ -119,3 +121,15 @@ def test_json_messages_and_landing(spark, tmp_path):
     land_raw(messages, landed)
     assert spark.read.parquet(landed).count() == 2 * messages.count()
     assert "date" in spark.read.parquet(landed).columns
+
+
+def test_landed_days_are_pruned(spark, telemetry, tmp_path):
+    path = str(tmp_path / "landed")
+    land_raw(telemetry, path)
+    start, end = datetime(2024, 1, 10, 6), datetime(2024, 1, 11, 12)
+    got = landed(spark, path, start, end)
+    want = telemetry.where((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end)))
+    assert got.count() == want.count() > 0
+    assert "PartitionFilters: [isnotnull(date" in got._jdf.queryExecution().executedPlan().toString()
+    files = got.select(F.input_file_name().alias("f")).distinct().collect()
+    assert {f["f"].split("date=")[1][:10] for f in files} == {"2024-01-10", "2024-01-11"}
