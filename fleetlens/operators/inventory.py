@@ -62,6 +62,13 @@ def interface_addresses(interfaces: DataFrame, addresses: DataFrame) -> DataFram
     return matched.unionByName(bare, allowMissingColumns=True)
 
 
+def nested_addresses(snapshots: DataFrame, interfaces: str = "interfaces") -> DataFrame:
+    """The interfaces inside a snapshot with each of their addresses; no address reads NULL."""
+    rows = snapshots.select("event_id", "agent_id", F.explode(interfaces).alias("i"))
+    return rows.select("event_id", "agent_id", "i.name", "i.is_up", F.explode_outer("i.addresses").alias("a")).select(
+        "event_id", "agent_id", "name", "is_up", F.col("a.family").alias("family"), F.col("a.address").alias("address"))
+
+
 def address_counts(interfaces: DataFrame, addresses: DataFrame) -> DataFrame:
     counts = addresses.groupBy("if_id").agg(F.count("*").alias("addresses"))
     return interfaces.join(counts, "if_id", "left").withColumn("addresses", F.coalesce("addresses", F.lit(0)))

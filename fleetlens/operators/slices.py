@@ -10,7 +10,7 @@ per (key, slice):
 * ``running``: sums from the start of a key. Each slice adds the total of the slices
   before it.
 
-Both give exactly the result of the plain window. Keys must not be NULL and the
+Both give exactly the result of the plain window. Keys and times must not be NULL and the
 identifier must be an integer column.
 """
 

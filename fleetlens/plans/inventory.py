@@ -103,6 +103,10 @@ def nested_device_io(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.device_io(V.snapshots(spark, sf))
 
 
+def nested_interfaces(spark: SparkSession, sf: str) -> DataFrame:
+    return inventory.nested_addresses(V.host_interfaces(spark, sf))
+
+
 def mounts_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.mounts(V.snapshots(spark, sf))
 
@@ -222,6 +226,10 @@ SELECT host, round(avg(CASE WHEN l > 0 THEN l END), 6) AS latency_ms, count_if(l
     "nested_device_io": (nested_device_io, sql("""
 SELECT agent_id, 'sda' AS device, max(v) AS read_bytes, max(v) * 2 AS write_bytes FROM tel GROUP BY agent_id
 UNION ALL SELECT agent_id, 'sdb', max(v) * 3, max(v) * 6 FROM tel GROUP BY agent_id""", "tel")),
+    "nested_interfaces": (nested_interfaces, sql("""
+SELECT event_id, agent_id, 'lo' AS name, true AS is_up, NULL AS family, NULL AS address FROM tel
+UNION ALL SELECT event_id, agent_id, 'eth0', v % 2 = 0, 'AF_INET', concat('10.0.0.', CAST(v % 250 AS VARCHAR)) FROM tel
+UNION ALL SELECT event_id, agent_id, 'eth0', true, 'AF_INET6', concat('fe80::', CAST(v % 250 AS VARCHAR)) FROM tel WHERE v % 2 = 0""", "tel")),
     "mounts_distinct": (mounts_distinct, sql("""
 SELECT DISTINCT agent_id, 'sda' AS device, '/' AS mountpoint FROM tel UNION ALL SELECT DISTINCT agent_id, 'sdb', '/data' FROM tel""", "tel")),
     "log_levels": (log_levels, sql("SELECT agent_id, level, count(*) AS n FROM agent_logs GROUP BY agent_id, level", "agent_logs")),

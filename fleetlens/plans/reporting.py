@@ -34,10 +34,6 @@ def _episodes(spark: SparkSession, sf: str) -> DataFrame:
     return L.alert_episodes(_anomalies(spark, sf), V.resolve_events(spark, sf))
 
 
-def _registry(spark: SparkSession, sf: str) -> DataFrame:
-    return A.agent_snapshot(V.conn_events(spark, sf), V.agents(spark, sf))
-
-
 # Health -------------------------------------------------------------------------------------
 
 def health_check(spark: SparkSession, sf: str) -> DataFrame:

@@ -136,6 +136,23 @@ def addresses(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def host_interfaces(spark: SparkSession, sf: str) -> DataFrame:
+    """The interfaces section of a snapshot: one without addresses, one with up to two."""
+    digit = (F.col("v") % 250).cast("string")
+    address = lambda family, text: F.struct(F.lit(family).alias("family"), text.alias("address"))
+    v4 = address("AF_INET", F.concat(F.lit("10.0.0."), digit))
+    v6 = address("AF_INET6", F.concat(F.lit("fe80::"), digit))
+    nic = lambda name, up, found: F.struct(F.lit(name).alias("name"), up.alias("is_up"), found.alias("addresses"))
+    none = F.array().cast("array<struct<family:string,address:string>>")
+    return tel(spark, sf).select(
+        "event_id", "agent_id",
+        F.array(
+            nic("lo", F.lit(True), none),
+            nic("eth0", F.col("v") % 2 == 0, F.when(F.col("v") % 2 == 0, F.array(v4, v6)).otherwise(F.array(v4))),
+        ).alias("interfaces"),
+    )
+
+
 def files(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("file_id"), F.col("o_orderdate").alias("ctime"),

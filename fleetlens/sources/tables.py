@@ -1,4 +1,4 @@
-"""Reading and writing stored tables, raw JSON messages, CSV and JSON exports."""
+"""Reading and writing stored tables, raw JSON messages and CSV exports."""
 
 from __future__ import annotations
 
@@ -64,7 +64,3 @@ def landed(spark: SparkSession, path: str, start: datetime | None = None, end: d
 
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
-
-
-def as_json(df: DataFrame, name: str = "json") -> DataFrame:
-    return df.select(F.to_json(F.struct("*")).alias(name))

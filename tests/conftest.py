@@ -12,7 +12,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", 8)
+    session = local_session("8", 4)
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     yield session
     session.stop()
