@@ -108,6 +108,10 @@ def dash_cpu_overload_newest_100(spark: SparkSession, sf: str) -> DataFrame:
     return report.cpu_overload(report.newest(V.tel(spark, sf), 100))
 
 
+def dash_cpu_overload_newest_1000(spark: SparkSession, sf: str) -> DataFrame:
+    return report.cpu_overload(report.newest(V.tel(spark, sf), 1000))
+
+
 def dash_memory_monotone(spark: SparkSession, sf: str) -> DataFrame:
     rising, falling = (report.memory_monotone(V.tel(spark, sf), way).withColumn("direction", F.lit(way))
                        for way in ("rising", "falling"))
@@ -515,8 +519,6 @@ SELECT n.event_id, n.ts, e.alert_id, n.agent_id, e.description, channel
 FROM numbered n JOIN episodes e ON n.type = e.type AND n.agent_id = e.agent_id AND n.episode = e.episode,
      (SELECT 'webhook' AS channel UNION ALL SELECT 'email' UNION ALL SELECT 'slack') c
 WHERE n.res = 0 AND n.severity = 'critical'""", "anomaly_events", "resolve_events")),
-    "dash_cpu_overload": (dash_cpu_overload, None),
-    "dash_cpu_overload_newest_100": (dash_cpu_overload_newest_100, None),
     "dash_memory_monotone": (dash_memory_monotone, sql("""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, event_id DESC) AS rn FROM tel),
 s AS (SELECT *, memory_usage - lag(memory_usage) OVER (PARTITION BY agent_id ORDER BY rn DESC) AS step FROM r WHERE rn <= 5),
@@ -569,5 +571,6 @@ SELECT agent_id, 'CPU Overload' AS type, 'High' AS probability, '2-4 hours' AS t
        'Consider scaling up CPU resources or optimizing running processes' AS recommendation, newest, oldest
 FROM p WHERE n >= 5 AND newest > oldest + 20"""
 QUERIES["dash_cpu_overload"] = (dash_cpu_overload, sql("WITH " + _FIVE.format(t="tel").strip(), "tel"))
-QUERIES["dash_cpu_overload_newest_100"] = (dash_cpu_overload_newest_100, sql(
-    "WITH recent AS (SELECT * FROM tel ORDER BY ts DESC, event_id DESC LIMIT 100),\n" + _FIVE.format(t="recent").strip(), "tel"))
+for _limit, _query in ((100, dash_cpu_overload_newest_100), (1000, dash_cpu_overload_newest_1000)):
+    QUERIES[_query.__name__] = (_query, sql(
+        f"WITH recent AS (SELECT * FROM tel ORDER BY ts DESC, event_id DESC LIMIT {_limit}),\n" + _FIVE.format(t="recent").strip(), "tel"))
