@@ -1,6 +1,6 @@
 """Named queries of the training-data operators, each with its SQL twin or None."""
 
-from fleetlens.llm import exact_dedup, packing, token_counts, url_filter, warc
+from fleetlens.llm import decontaminate, exact_dedup, ngram_join, packing, token_counts, url_filter, warc
 
-TOPICS = [exact_dedup, packing, token_counts, warc, url_filter]
+TOPICS = [ngram_join, exact_dedup, decontaminate, packing, token_counts, warc, url_filter]
 QUERIES = {name: entry for topic in TOPICS for name, entry in topic.QUERIES.items()}
