@@ -92,7 +92,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def find_words(column: pa.Array, table: np.ndarray = WORD_BYTES) -> Words:
+def find_words(column: pa.Array, table: np.ndarray = WORD_BYTES, collapse: bool = False) -> Words:
+    """Runs of bytes that ``table`` does not map to 0, hashed by their mapped bytes; with ``collapse``, equal neighbours count once."""
     raw, at = text_bytes(column)
     n = len(at) - 1
     low = table[raw]
@@ -111,13 +112,21 @@ def find_words(column: pa.Array, table: np.ndarray = WORD_BYTES) -> Words:
     # A word ends where its run of inside bytes does, or where the next word starts.
     rank = np.cumsum(inside, dtype=np.int64)[start] - 1
     length = np.diff(rank, append=len(kept))
+    ends = start + length
+    if collapse:
+        changed = np.ones(len(kept), bool)
+        changed[1:] = kept[1:] != kept[:-1]
+        changed[rank] = True
+        rank = np.cumsum(changed)[rank] - 1
+        kept = kept[changed]
+        length = np.diff(rank, append=len(kept))
     place = np.arange(len(kept), dtype=np.int64) - np.repeat(rank, length)
     weight = _PLACE_RANDOM[place & (len(_PLACE_RANDOM) - 1)]
     if length.max() > len(_PLACE_RANDOM):
         weight = weight * (splitmix(place >> 12) | np.uint64(1))
     hashed = splitmix(np.add.reduceat(_BYTE_RANDOM[kept] * weight, rank) + length.astype(np.uint64))
     text = np.searchsorted(at, start, "right") - 1
-    return Words(low, start, start + length, text, hashed, np.searchsorted(text, np.arange(n + 1)))
+    return Words(low, start, ends, text, hashed, np.searchsorted(text, np.arange(n + 1)))
 
 
 def pieces(batch: pa.RecordBatch, text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
