@@ -36,7 +36,7 @@ LABELLERS = (
 
 
 def _shape_table() -> np.ndarray:
-    """Bytes to the shape of their character: letters to a or A, digits to 0, other marks to themselves, white space to nothing."""
+    """Bytes to the shape of their character: letters to a or A, digits to 0, other marks to themselves, white space to a blank."""
     out = np.arange(256).astype(np.uint8)
     for b in range(256):
         if b >= 0x80:
@@ -45,8 +45,7 @@ def _shape_table() -> np.ndarray:
             out[b] = ord("A") if chr(b).isupper() else ord("a")
         elif chr(b).isdigit():
             out[b] = ord("0")
-    out[SPACE_BYTES == 0] = 0
-    out[0] = 1
+    out[SPACE_BYTES == 0x20] = 0x20
     return out
 
 
@@ -87,7 +86,7 @@ def votes(column: pa.Array) -> np.ndarray:
     fresh = np.ones(len(order), bool)
     fresh[1:] = (words.hash[order][1:] != words.hash[order][:-1]) | (words.text[order][1:] != words.text[order][:-1])
     distinct = _per_text(fresh, words.first) / some
-    length = _per_text(np.ones(len(raw), bool) & (SPACE_BYTES[raw] != 0), at) / some
+    length = _per_text(np.ones(len(raw), bool) & (SPACE_BYTES[raw] != 0x20), at) / some
 
     def vote(bad, good, enough=5) -> np.ndarray:
         return np.where(n < enough, 0, np.where(bad, -1, np.where(good, 1, 0)))

@@ -42,16 +42,14 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 
 
 def _byte_map(word: bool) -> np.ndarray:
-    """Each byte to its lower-cased form, or to 0 where it separates."""
+    """Each byte to its lower-cased form; all that separate to one and the same, that of the blank."""
     out = np.zeros(256, np.uint8)
     for b in range(256):
         if word:
             inside = b >= 0x80 or chr(b).isascii() and chr(b).isalnum()
         else:
             inside = b != 0x20 and not 0x09 <= b <= 0x0D
-        out[b] = (b + 32 if 0x41 <= b <= 0x5A else b) if inside else 0
-    if not word:
-        out[0] = 1  # the byte 0 is no white space; it shares the code of byte 1
+        out[b] = (b + 32 if 0x41 <= b <= 0x5A else b) if inside else (0 if word else 0x20)
     return out
 
 
@@ -93,11 +91,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def find_words(column: pa.Array, table: np.ndarray = WORD_BYTES, collapse: bool = False) -> Words:
-    """Runs of bytes that ``table`` does not map to 0, hashed by their mapped bytes; with ``collapse``, equal neighbours count once."""
+    """Runs of bytes that ``table`` does not map like the blank, hashed by their mapped bytes; with ``collapse``, equal neighbours count once."""
     raw, at = text_bytes(column)
     n = len(at) - 1
     low = table[raw]
-    inside = low != 0
+    inside = low != table[0x20]
     before = np.empty(len(low), bool)
     if len(low):
         before[0] = False
