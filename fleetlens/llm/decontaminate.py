@@ -195,7 +195,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     judged = contamination(docs, items).where(contaminated()).select(F.col("digest").alias("_digest")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
     rows = rows.withColumn("_key", F.md5(F.coalesce(F.col("_row.text"), F.lit(""))))
-    return rows.join(judged, rows["_key"] == judged["_digest"], "left_anti").select("_row.*")
+    return rows.join(judged.hint("shuffle_hash"), rows["_key"] == judged["_digest"], "left_anti").select("_row.*")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.rows import without_rows
 from fleetlens.llm.session import documents, stored
 from fleetlens.llm.words import lower_az, sql_lower_az
 
@@ -56,16 +57,10 @@ def copy_groups(
 def without_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """``docs`` with one row of each group of equal texts and all its columns; of rows that repeat id and text, one stays."""
     groups = stored(copy_groups(docs, keep=keep), "exact-decisions")
-    gone = groups.where("NOT kept").select("doc_id", "text_sha256").distinct()
-    again = groups.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_n")).where("_n > 1")
-    marks = gone.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.lit(False).alias("_first")).union(
-        again.select("doc_id", "text_sha256", F.lit(True))
-    )
-    rows = docs.select(F.struct(*docs.columns).alias("_row"))  # own columns of any name stay apart
-    rows = rows.withColumn("_key", F.sha2(lower_az(F.col("_row.text")), 256))
-    marked = rows.join(marks, F.col("_row.doc_id").eqNullSafe(marks["_id"]) & (rows["_key"] == marks["_sha"]), "left")
-    single = marked.where("_first IS NULL").select("_row.*")
-    return single.union(marked.where("_first").dropDuplicates(["_id", "_key"]).select("_row.*"))
+    gone = groups.where("NOT kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("key")).distinct()
+    again = groups.where("kept").groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("key")).agg(F.count("*").alias("_n"))
+    single = stored(again.where("_n > 1").select("id", "key"), "exact-repeats")
+    return without_rows(docs, gone, single, F.sha2(lower_az(F.col("_row.text")), 256))
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

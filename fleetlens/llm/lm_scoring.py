@@ -31,7 +31,7 @@ from fleetlens.llm.session import documents, stored
 from fleetlens.llm.words import SPACE_BYTES, find_words, pieces
 
 KNOWN = recurrent.HEAD << (recurrent.BANDS - 1)  # words that every task knows: the model's head and its bands
-ROUNDS, BLOCK_TOKENS, SLICE = 3, 2_000_000, 4096
+ROUNDS, BLOCK_TOKENS, SLICE = 3, 4_000_000, 4096
 END_KEY = -1  # the end of a document among the counts
 
 

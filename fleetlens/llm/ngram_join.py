@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.components import components
+from fleetlens.llm.rows import without_rows
 from fleetlens.llm.session import documents, stored
 from fleetlens.llm.words import find_words, pieces, shingles, splitmix
 
@@ -348,21 +349,13 @@ def one_of_each_class(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class and all its columns: the row of the smallest id, one of them if it repeats."""
     found = stored(similar_documents(docs), "similar")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
-    stay = found.groupBy("component").agg(F.min(order).alias("o")).select("o.uid")
-    stay = found.select("uid", "doc_id", "digest").join(stay, "uid").select(
-        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")
-    )
-    # Documents without words are classes of their own, so equal rows among them may be listed more than once.
-    stay = stay.groupBy("_id", "_digest").agg(F.count("*").alias("_n"))
-    again = found.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count("*").alias("_rows"))
-    stay = stay.join(again, stay["_id"].eqNullSafe(again["_id"]) & (stay["_digest"] == again["_digest"])).select(
-        again["_id"], again["_digest"], (F.col("_rows") > F.col("_n")).alias("_one")
-    )
-    rows = docs.select(F.struct(*docs.columns).alias("_row"))
-    rows = rows.withColumn("_key", F.md5(F.coalesce(F.col("_row.text"), F.lit(""))))
-    kept = rows.join(stay, F.col("_row.doc_id").eqNullSafe(stay["_id"]) & (rows["_key"] == stay["_digest"]))
-    single = kept.where("NOT _one").select("_row.*")
-    return single.union(kept.where("_one").dropDuplicates(["_id", "_key"]).select("_row.*"))
+    stay = found.groupBy("component").agg(F.min(order).alias("o")).select("o.uid", F.lit(1).alias("_stays"))
+    by_row = found.select("uid", F.col("doc_id").alias("id"), F.col("digest").alias("key")).join(stay, "uid", "left")
+    # Documents without words are classes of their own, so of rows that repeat id and text, any number may stay.
+    decided = by_row.groupBy("id", "key").agg(F.count("*").alias("_rows"), F.count("_stays").alias("_stay"))
+    decided = stored(decided.where("_stay < _rows"), "near-decisions")
+    gone, single = (decided.where(c).select("id", "key") for c in ("_stay = 0", "_stay > 0"))
+    return without_rows(docs, gone, single, F.md5(F.coalesce(F.col("_row.text"), F.lit(""))))
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

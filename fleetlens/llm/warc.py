@@ -108,21 +108,26 @@ class WarcWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, folder = pafs.FileSystem.from_uri(self.path)
-        store.create_dir(folder, recursive=True)
         name = f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip
-        size, records, splits = 0, 0, [0]
-        with store.open_output_stream(f"{folder}/{name}", compression=None) as out:
-            for batch in iterator:
-                place = batch.schema.get_field_index("payload")
-                batch = batch.set_column(place, "payload", batch.column(place).cast(pa.binary()))
-                for row in batch.to_pylist():
-                    data = record(row, self.date)
-                    data = gzip_member(data) if self.gzip else data
-                    if size - splits[-1] >= SPLIT_BYTES:
-                        splits.append(size)
-                    out.write(data)
-                    size += len(data)
-                    records += 1
+        size, records, splits, out = 0, 0, [0], None
+        for batch in iterator:
+            if not batch.num_rows:
+                continue
+            if out is None:  # a task without rows leaves no file
+                store.create_dir(folder, recursive=True)
+                out = store.open_output_stream(f"{folder}/{name}", compression=None)
+            place = batch.schema.get_field_index("payload")
+            batch = batch.set_column(place, "payload", batch.column(place).cast(pa.binary()))
+            for row in batch.to_pylist():
+                data = record(row, self.date)
+                data = gzip_member(data) if self.gzip else data
+                if size - splits[-1] >= SPLIT_BYTES:
+                    splits.append(size)
+                out.write(data)
+                size += len(data)
+                records += 1
+        if out is not None:
+            out.close()
         return Written(name, size, records, splits)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -135,7 +140,7 @@ class WarcWriter(DataSourceArrowWriter):
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         store, folder = pafs.FileSystem.from_uri(self.path)
         for m in messages:
-            if m is not None:
+            if m is not None and m.records:
                 store.delete_file(f"{folder}/{m.name}")
 
 
