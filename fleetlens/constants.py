@@ -125,5 +125,9 @@ COMMAND_TYPES = ["restart", "remediate", "update_config", "run_script", "ping"]
 SYSTEM_FOREST = {"trees": 100, "window": 50, "contamination": 0.1, "high_below": -0.5}
 NETWORK_FOREST = {"trees": 50, "window": 30, "contamination": 0.05, "high_below": -0.3}
 
+# What the forests find (type, description, action).
+SYSTEM_ANOMALY = ("system_anomaly", "Unusual system behavior detected by ML model", "investigate_system_resources")
+NETWORK_ANOMALY = ("network_anomaly", "Unusual network behavior detected", "check_network_connectivity")
+
 # Seconds between two snapshots of an agent.
 SNAPSHOT_INTERVAL_S = 30

@@ -38,6 +38,7 @@ def alert_id() -> Column:
 
 
 def _collapse(rows: DataFrame) -> DataFrame:
+    """One row per episode, also those of resolutions without an open alert, which have count 0."""
     is_anomaly = F.col("_resolve") == 0
     first = F.when(is_anomaly, F.struct("ts", "event_id"))
     opening = F.min_by(F.struct("severity", "description", "suggested_action"), first)
@@ -50,12 +51,14 @@ def _collapse(rows: DataFrame) -> DataFrame:
             F.count_if(is_anomaly).alias("count"),
             F.min(F.when(~is_anomaly, F.col("ts"))).alias("resolved_at"),
         )
-        # A resolution without an open alert changes nothing.
-        .where(F.col("count") > 0)
-        .select(
-            alert_id().alias("alert_id"), "type", "agent_id", "episode", "o.*", "first_seen", "last_seen", "count",
-            F.when(F.col("resolved_at").isNull(), "active").otherwise("resolved").alias("status"), "resolved_at",
-        )
+    )
+
+
+def _listed(collapsed: DataFrame) -> DataFrame:
+    # A resolution without an open alert changes nothing.
+    return collapsed.where(F.col("count") > 0).select(
+        alert_id().alias("alert_id"), "type", "agent_id", "episode", "o.*", "first_seen", "last_seen", "count",
+        F.when(F.col("resolved_at").isNull(), "active").otherwise("resolved").alias("status"), "resolved_at",
     )
 
 
@@ -64,7 +67,42 @@ def alert_episodes(anomalies: DataFrame, resolves: DataFrame) -> DataFrame:
 
     Severity and text are those of the first anomaly.
     """
-    return _collapse(_with_episodes(anomalies, resolves))
+    return _listed(_collapse(_with_episodes(anomalies, resolves)))
+
+
+def continue_episodes(anomalies: DataFrame, resolves: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Episodes that end with these rows, and the state after them, given the state before them.
+
+    The state has a row per type and agent: the number of its current episode, and the alert if one is open. All rows
+    are later than those that led to the state.
+    """
+    keys = ["type", "agent_id"]
+    now = _collapse(_with_episodes(anomalies, resolves))
+    if before is not None:
+        held = before.select(*keys, F.struct("episode", "o", "first_seen", "last_seen", "count").alias("_b"))
+        now = now.join(held, keys, "full_outer")
+        held, base = F.coalesce("_b.count", F.lit(0)), F.coalesce("_b.episode", F.lit(0))
+        local = F.coalesce("episode", F.lit(0))
+        goes_on = (local == 0) & (held > 0)
+        now = now.select(
+            *keys, (base + local).alias("episode"),
+            F.when(goes_on, F.col("_b.o")).otherwise(F.col("o")).alias("o"),
+            F.when(goes_on, F.col("_b.first_seen")).otherwise(F.col("first_seen")).alias("first_seen"),
+            F.when(goes_on, F.coalesce("last_seen", "_b.last_seen")).otherwise(F.col("last_seen")).alias("last_seen"),
+            (F.coalesce("count", F.lit(0)) + F.when(goes_on, held).otherwise(0)).alias("count"), "resolved_at",
+        )
+    closed = _listed(now.where(F.col("resolved_at").isNotNull()))
+    is_open = F.col("resolved_at").isNull() & (F.col("count") > 0)
+    last = F.max(F.col("episode") + F.col("resolved_at").isNotNull().cast("bigint")).alias("episode")
+    pick = lambda c: F.max_by(c, F.when(is_open, F.col("episode"))).alias(c)
+    state = now.groupBy(*keys).agg(
+        last, pick("o"), pick("first_seen"), pick("last_seen"), F.coalesce(F.max(F.when(is_open, F.col("count"))), F.lit(0)).alias("count"))
+    return closed, state
+
+
+def open_episodes(state: DataFrame) -> DataFrame:
+    """The open alerts of a state, as episodes."""
+    return _listed(state.withColumn("resolved_at", F.lit(None).cast(state.schema["last_seen"].dataType)))
 
 
 def active(episodes: DataFrame) -> DataFrame:
@@ -105,7 +143,7 @@ def notifications(anomalies: DataFrame, resolves: DataFrame, channels: list[str]
     """Every critical anomaly, once per channel, with the text of the episode it belongs to."""
     rows = _with_episodes(anomalies, resolves)
     keys = ["type", "agent_id", "episode"]
-    texts = _collapse(rows).select(*keys, "alert_id", "description")
+    texts = _listed(_collapse(rows)).select(*keys, "alert_id", "description")
     critical = rows.where((F.col("_resolve") == 0) & (F.col("severity") == "critical")).select(*keys, "event_id", "ts")
     return critical.join(texts, keys).select(
         "event_id", "ts", "alert_id", "agent_id", "description",

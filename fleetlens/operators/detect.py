@@ -120,6 +120,11 @@ def memory_leak(df: DataFrame, least: float = 2.0, order: Order = AGENT_SERIES)
     return _emit(trailing(df, 20, pattern_inputs, order), [_leak_check(least)])
 
 
+def pattern_anomalies(df: DataFrame, order: Order = AGENT_SERIES) -> DataFrame:
+    """CPU jumps and memory leaks from one windowed pass."""
+    return _emit(trailing(df, 20, pattern_inputs, order), [_jump_check(30.0), _leak_check(2.0)])
+
+
 def all_anomalies(df: DataFrame, limits: dict[str, float] = C.DETECTOR_LIMITS, order: Order = AGENT_SERIES) -> DataFrame:
     """Threshold and pattern anomalies from one windowed pass over the snapshots."""
     checks = [*_threshold_checks(limits), _jump_check(30.0), _leak_check(2.0)]

@@ -27,9 +27,8 @@ from fleetlens.operators.slices import AGENT_SERIES, Order, trailing
 from fleetlens.session import written
 
 SAMPLE = 256
-NODES = "tree int, node int, feature int, split double, path double"
+NODES = "tree int, node int, feature int, split double, path double, size int"
 EULER = 0.5772156649015329
-HASH_RANGE = 1 << 30
 
 
 def average_path(n: np.ndarray) -> np.ndarray:
@@ -39,14 +38,26 @@ def average_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2.0 * (np.log(many) + EULER) - 2.0 * many / (many + 1.0), np.where(n == 2, 1.0, 0.0))
 
 
-def _uniform(seed: np.ndarray, node: np.ndarray, salt: int) -> np.ndarray:
-    """Numbers in [0, 1) from integer keys (the splitmix64 mixing function)."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 mixing function."""
     with np.errstate(over="ignore"):
-        x = seed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + node.astype(np.uint64) * np.uint64(2) + np.uint64(salt)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        x = x ^ (x >> np.uint64(31))
-    return (x >> np.uint64(11)).astype(float) / float(1 << 53)
+        return x ^ (x >> np.uint64(31))
+
+
+def _uniform(seed: np.ndarray, node: np.ndarray, salt: int) -> np.ndarray:
+    """Numbers in [0, 1) from integer keys."""
+    with np.errstate(over="ignore"):
+        x = seed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + node.astype(np.uint64) * np.uint64(2) + np.uint64(salt)
+    return (_mixed(x) >> np.uint64(11)).astype(float) / float(1 << 53)
+
+
+def _draw(ident: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """The lot of each row for a tree: 62 bits, whatever the number of rows."""
+    with np.errstate(over="ignore"):
+        x = ident.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 1_000_003 + tree) % (1 << 64))
+    return (_mixed(_mixed(x)) >> np.uint64(2)).astype(np.int64)
 
 
 def grow(points: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, limits: np.ndarray):
@@ -116,27 +127,34 @@ def _complete(features: list[str]) -> Column:
 
 def fit_forest(df: DataFrame, features: list[str], trees: int, sample: int = SAMPLE, seed: int = 42,
                ident: str = "event_id") -> DataFrame:
-    """The node table of a forest: each tree grows on ``sample`` random rows."""
-    usable = df.where(_complete(features)).select(ident, *features)
-    n = usable.count()
-    if n == 0:
-        return df.sparkSession.createDataFrame([], NODES)
-    # About four times the sample is drawn per tree, then cut to the exact size.
-    keep = min(1.0, 4.0 * sample / n)
-
-    def draw(tree: Column) -> Column:
-        return F.pmod(F.xxhash64(F.col(ident), tree, F.lit(seed)), F.lit(HASH_RANGE))
-
-    threshold = int(keep * HASH_RANGE)
-    if keep * trees < 0.1:
-        # Large input: a row serves at most one tree, so two hashes per row are enough.
-        one = F.pmod(F.xxhash64(F.col(ident), F.lit(seed), F.lit("tree")), F.lit(trees)).cast("int")
-        chance = F.pmod(F.xxhash64(F.col(ident), F.lit(seed)), F.lit(HASH_RANGE))
-        drawn = usable.where(chance < threshold * trees).withColumn("tree", one)
-    else:
-        drawn = usable.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(
-            draw(F.col("tree")) < F.lit(max(threshold, 1)))
-    by_tree = Window.partitionBy("tree").orderBy(draw(F.col("tree")), ident)
+    """The node table of a forest: each tree grows on the ``sample`` rows with the smallest lots, or on all if there are fewer.
+
+    The rule is the same at every size. Each task passes on its smallest lots per tree, so ``trees`` x ``sample`` rows
+    at most leave a task. Without usable rows the table is empty.
+    """
+    usable = df.where(_complete(features)).select(F.col(ident).cast("bigint").alias(ident), *[F.col(f).cast("double").alias(f) for f in features])
+
+    def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame | None] = [None] * trees
+        for batch in batches:
+            for tree in range(trees):
+                lots = _draw(batch[ident].to_numpy(), tree, seed)
+                if held[tree] is not None and len(held[tree]) >= sample:
+                    some = lots <= held[tree]["lot"].iloc[-1]
+                    if not some.any():
+                        continue
+                    rows = batch[some].assign(lot=lots[some])
+                else:
+                    rows = batch.assign(lot=lots)
+                both = rows if held[tree] is None else pd.concat([held[tree], rows])
+                held[tree] = both.sort_values(["lot", ident], kind="stable").head(sample)
+        for tree, rows in enumerate(held):
+            if rows is not None and len(rows):
+                yield rows.assign(tree=tree)
+
+    columns = ", ".join([f"`{ident}` bigint", *[f"`{f}` double" for f in features], "lot bigint, tree int"])
+    drawn = usable.mapInPandas(smallest, columns)
+    by_tree = Window.partitionBy("tree").orderBy("lot", ident)
     drawn = drawn.withColumn("_rank", F.row_number().over(by_tree)).where(F.col("_rank") <= sample)
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -145,18 +163,23 @@ def fit_forest(df: DataFrame, features: list[str], trees: int, sample: int = SAM
         size, key = np.array([len(rows)]), np.array([seed * 1_000_003 + number])
         _, nodes = grow(rows[features].to_numpy(float), size, key, _depth_limit(size))
         _, node, feature, split, path = nodes
-        return pd.DataFrame({"tree": number, "node": node, "feature": feature, "split": split, "path": path})
+        return pd.DataFrame({
+            "tree": number, "node": node, "feature": feature, "split": split, "path": path, "size": len(rows),
+        })
 
     return drawn.groupBy("tree").applyInPandas(build, NODES)
 
 
-def score_forest(df: DataFrame, nodes: DataFrame, features: list[str], sample: int = SAMPLE) -> DataFrame:
-    """Adds ``score``: near -1 for isolated rows, near 0 for ordinary ones, NULL for incomplete rows.
+def score_forest(df: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:
+    """Adds ``score``: near -1 for isolated rows, near 0 for ordinary ones, NULL for incomplete rows and for an empty forest.
 
-    The node table is collected: it has at most trees x (2 x sample - 1) rows.
+    The node table is collected: it has at most trees x (2 x sample - 1) rows. Scores are scaled by the number of rows
+    that the trees were grown on.
     """
     spark = df.sparkSession
     table = nodes.toPandas()
+    if not len(table):
+        return df.withColumn("score", F.lit(None).cast("double"))
     trees = sorted(table["tree"].unique())
     width = int(table["node"].max()) + 1
     feature = np.full((len(trees), width), -1, dtype=np.int32)
@@ -164,7 +187,7 @@ def score_forest(df: DataFrame, nodes: DataFrame, features: list[str], sample: i
     at = (np.searchsorted(trees, table["tree"]), table["node"].to_numpy())
     feature[at], split[at], path[at] = table["feature"], table["split"], table["path"]
     model = spark.sparkContext.broadcast((feature, split, path))
-    scale = float(average_path(np.array([sample]))[0])
+    scale = float(average_path(np.array([table["size"].max()]))[0]) or 1.0
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -172,6 +195,7 @@ def score_forest(df: DataFrame, nodes: DataFrame, features: list[str], sample: i
         base = np.arange(len(feature)) * feature.shape[1]
         flat_feature, flat_split, flat_path = feature.ravel(), split.ravel(), path.ravel()
         for columns in batches:
+            columns = columns if isinstance(columns, tuple) else (columns,)  # one feature comes alone
             values = np.column_stack([c.to_numpy(float) for c in columns])
             node = np.ones((len(values), len(feature)), dtype=np.int64)
             while True:
@@ -189,13 +213,14 @@ def score_forest(df: DataFrame, nodes: DataFrame, features: list[str], sample: i
     return df.withColumn("score", score.asNondeterministic()(*inputs)).withColumn("score", F.when(whole, F.col("score")))
 
 
-def forest_offset(scored: DataFrame, contamination: float) -> float:
-    """The score below which the given share of the training rows lies."""
-    return exact_quantiles(scored, ["score"], {"q": contamination}).first()["q"]
+def forest_offset(scored: DataFrame, contamination: float) -> float | None:
+    """The score below which the given share of the training rows lies; None without scores."""
+    found = exact_quantiles(scored, ["score"], {"q": contamination}).first()
+    return found["q"] if found else None
 
 
-def decide(scored: DataFrame, offset: float) -> DataFrame:
-    return scored.withColumn("decision", F.col("score") - F.lit(offset))
+def decide(scored: DataFrame, offset: float | None) -> DataFrame:
+    return scored.withColumn("decision", F.col("score") - F.lit(offset).cast("double"))
 
 
 def forest_anomalies(decided: DataFrame, kind: str, description: str, action: str, high_below: float) -> DataFrame:
@@ -221,14 +246,14 @@ def detect_with_forest(df: DataFrame, features: list[str], trees: int, contamina
     return decide(scored, forest_offset(scored, contamination))
 
 
-def save_forest(nodes: DataFrame, offset: float, features: list[str], path: str) -> None:
+def save_forest(nodes: DataFrame, offset: float | None, features: list[str], path: str) -> None:
     spark = nodes.sparkSession
     nodes.write.mode("errorifexists").parquet(f"{path}/nodes")
     meta = spark.createDataFrame([(offset, features)], "offset double, features array<string>")
     meta.write.mode("errorifexists").parquet(f"{path}/meta")
 
 
-def load_forest(spark: SparkSession, path: str) -> tuple[DataFrame, float, list[str]]:
+def load_forest(spark: SparkSession, path: str) -> tuple[DataFrame, float | None, list[str]]:
     meta = spark.read.parquet(f"{path}/meta").first()
     return spark.read.schema(NODES).parquet(f"{path}/nodes"), meta["offset"], list(meta["features"])
 

@@ -123,11 +123,11 @@ def series(df: DataFrame, metrics: list[str], order: Order = AGENT_SERIES) -> Da
 
 
 def cpu_overload(recent: DataFrame) -> DataFrame:
-    """Agents whose newest CPU value exceeds that of five entries ago by 20, among ``recent``."""
+    """Agents whose newest CPU value exceeds that of five entries ago by 20, among ``recent``; an absent value is 0."""
     kind, probability, estimate, advice = C.CPU_OVERLOAD
+    value = F.coalesce("cpu_usage", F.lit(0.0))
     five = newest_per_agent(recent, 5).groupBy("agent_id").agg(
-        F.count("*").alias("_n"), F.max_by("cpu_usage", -F.col("rank")).alias("newest"),
-        F.max_by("cpu_usage", "rank").alias("oldest"),
+        F.count("*").alias("_n"), F.max_by(value, -F.col("rank")).alias("newest"), F.max_by(value, "rank").alias("oldest"),
     )
     return five.where((F.col("_n") >= 5) & (F.col("newest") > F.col("oldest") + 20)).select(
         "agent_id", F.lit(kind).alias("type"), F.lit(probability).alias("probability"),
@@ -136,11 +136,12 @@ def cpu_overload(recent: DataFrame) -> DataFrame:
 
 
 def memory_monotone(recent: DataFrame, direction: str = "rising") -> DataFrame:
-    """Agents whose five newest memory values move strictly one way in time, among ``recent``."""
+    """Agents whose five newest memory values move strictly one way in time, among ``recent``; an absent value is 0."""
     kind, probability, estimate, advice = C.MEMORY_LEAK
     five = newest_per_agent(recent, 5)
     w = Window.partitionBy("agent_id").orderBy(F.desc("rank"))
-    step = F.col("memory_usage") - F.lag("memory_usage").over(w)
+    value = F.coalesce("memory_usage", F.lit(0.0))
+    step = value - F.lag(value).over(w)
     ok = step > 0 if direction == "rising" else step < 0
     agents = five.withColumn("_ok", ok).groupBy("agent_id").agg(
         F.count("*").alias("_n"), F.bool_and(F.coalesce("_ok", F.lit(True))).alias("_all")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.units import gib, mib
+from fleetlens import constants as C
 from fleetlens.operators import detect, flatten, health, inventory, routing
 from fleetlens.plans import views as V
 from fleetlens.plans.views import sql
@@ -137,21 +138,43 @@ def json_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.where(corrupt()).select("event_id", "ts", "agent_id", "value")
 
 
+_ANOMALY = "struct<type:string,severity:string,value:double,threshold:double,description:string,suggested_action:string>"
+
+
+def anomaly_fields(envelopes: DataFrame) -> DataFrame:
+    """One row per anomaly of a message, with all its fields."""
+    body = F.from_json("message", f"type string, agent_id bigint, timestamp string, anomalies array<{_ANOMALY}>").alias("b")
+    return envelopes.select("event_id", body).select(
+        "event_id", "b.agent_id", "b.type", "b.timestamp", F.explode("b.anomalies").alias("a")
+    ).select("event_id", "agent_id", "type", "timestamp", F.col("a.type").alias("kind"), "a.severity", "a.value", "a.threshold", "a.description", "a.suggested_action")
+
+
+def metric_fields(envelopes: DataFrame, metrics: list[str]) -> DataFrame:
+    inner = ",".join(f"{m}:double" for m in metrics)
+    body = F.from_json("message", f"type string, agent_id bigint, timestamp string, metrics struct<{inner}>").alias("b")
+    return envelopes.select("event_id", body).select("event_id", "b.agent_id", "b.type", "b.timestamp", "b.metrics.*")
+
+
+def critical_fields(envelopes: DataFrame) -> DataFrame:
+    """One row per issue of a message, with all its fields."""
+    item = "struct<component:string,issue:string,value:double,impact:string>"
+    body = F.from_json("message", f"type string, agent_id bigint, timestamp string, issues array<{item}>").alias("b")
+    return envelopes.select(body, "n_issues").select("b.agent_id", "b.type", "b.timestamp", "n_issues", F.explode("b.issues").alias("i")).select(
+        "agent_id", "type", "timestamp", "n_issues", "i.*")
+
+
 def anomaly_envelopes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = routing.anomaly_envelopes(detect.threshold_lists(V.tel(spark, sf)))
-    body = F.from_json("message", "type string, timestamp string, anomalies array<struct<type:string>>")
-    return rows.select("event_id", "agent_id", F.size(body["anomalies"]).alias("n"), body["type"].alias("type"),
-                       F.concat_ws(",", body["anomalies"]["type"]).alias("kinds"))
+    return anomaly_fields(routing.anomaly_envelopes(detect.threshold_lists(V.tel(spark, sf))))
 
 
 def metric_envelopes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = V.tel(spark, sf).select("event_id", "ts", "agent_id", "v", "event_type")
-    return routing.metric_envelopes(rows, ["event_type", "v"])
+    metrics = ["cpu_usage", "memory_usage", "disk_usage", "network_latency"]
+    return metric_fields(routing.metric_envelopes(V.tel(spark, sf), metrics), metrics)
 
 
 def critical_feed(spark: SparkSession, sf: str) -> DataFrame:
     issues = health.health_issues(health.latest_per_agent(V.tel(spark, sf)))
-    return routing.critical_envelopes(issues).select("agent_id", "n_issues")
+    return critical_fields(routing.critical_envelopes(issues))
 
 
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,6 +185,16 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ISO = "regexp_replace(strftime({0}, '%Y-%m-%dT%H:%M:%S.%f'), '\\.000000$', '')"
+ISO_TS = _ISO.format("ts")
+_ISSUES = "\n  UNION ALL ".join(
+    f"SELECT agent_id, ts, '{name}' AS component, '{issue}' AS issue, {m} AS value, '{impact}' AS impact FROM latest WHERE {m} > {c}"
+    for name, m, c, _, _, _, issue, impact, _ in C.HEALTH_CHECKS
+)
+CRITICAL = sql(f"""
+WITH latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, event_id DESC) AS rn FROM tel) WHERE rn = 1),
+found AS (
+  {_ISSUES})
+SELECT agent_id, 'critical_alert' AS type, {ISO_TS} AS timestamp, CAST(count(*) OVER (PARTITION BY agent_id) AS INT) AS n_issues, component, issue, value, impact FROM found""", "tel")
 _PARTS = """
 parts AS (SELECT *, round(total_bytes / CAST(1073741824 AS DOUBLE), 2) AS total_gb, round(used_bytes / CAST(1073741824 AS DOUBLE), 2) AS used_gb,
   round((total_bytes - used_bytes) / CAST(1073741824 AS DOUBLE), 2) AS free_gb,
@@ -242,14 +275,10 @@ SELECT CASE WHEN msg_type IS NULL THEN 'telemetry' WHEN msg_type = 'mystery' THE
 SELECT event_id, ts, agent_id, substr(concat('{"agent_id":"agent-', CAST(agent_id AS VARCHAR), '","platform":{"system":"',
        CASE agent_id % 3 WHEN 0 THEN 'Linux' WHEN 1 THEN 'Windows' ELSE 'Darwin' END, '"'), 1, 40) AS value
 FROM tel WHERE event_id % 50 = 49""", "tel")),
-    "anomaly_envelopes": (anomaly_envelopes, sql("""
-SELECT event_id, agent_id, count(*) AS n, 'anomaly_detected' AS type, string_agg(type, ',' ORDER BY CASE type WHEN 'cpu_threshold_breach' THEN 1 WHEN 'memory_threshold_breach' THEN 2 WHEN 'disk_threshold_breach' THEN 3 ELSE 4 END) AS kinds FROM anomaly_events GROUP BY event_id, agent_id""", "anomaly_events")),
+    "anomaly_envelopes": (anomaly_envelopes, sql(f"""
+SELECT event_id, agent_id, 'anomaly_detected' AS type, {ISO_TS} AS timestamp, type AS kind, severity, value, threshold, description, suggested_action FROM anomaly_events""", "anomaly_events")),
     "metric_envelopes": (metric_envelopes, sql(f"""
-SELECT event_id, agent_id, concat('{{"type":"metrics_update","agent_id":', CAST(agent_id AS VARCHAR), ',"metrics":{{"event_type":"', event_type, '","v":', CAST(v AS VARCHAR),
-       '}},"timestamp":"', {_ISO.format('ts')}, '"}}') AS message FROM tel""", "tel")),
-    "critical_feed": (critical_feed, sql("""
-WITH latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, event_id DESC) AS rn FROM tel) WHERE rn = 1)
-SELECT agent_id, CAST(cpu_usage > 95 AS INT) + CAST(memory_usage > 95 AS INT) + CAST(disk_usage > 98 AS INT) AS n_issues FROM latest
-WHERE cpu_usage > 95 OR memory_usage > 95 OR disk_usage > 98""", "tel")),
+SELECT event_id, agent_id, 'metrics_update' AS type, {ISO_TS} AS timestamp, cpu_usage, memory_usage, disk_usage, network_latency FROM tel""", "tel")),
+    "critical_feed": (critical_feed, CRITICAL),
     "csv_roundtrip": (csv_roundtrip, sql("SELECT event_id, agent_id, cpu_usage, memory_usage FROM tel", "tel")),
 }

@@ -104,6 +104,10 @@ def dash_cpu_overload(spark: SparkSession, sf: str) -> DataFrame:
     return report.cpu_overload(V.tel(spark, sf))
 
 
+def dash_cpu_overload_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return report.cpu_overload(V.tel_gap(spark, sf))
+
+
 def dash_cpu_overload_newest_100(spark: SparkSession, sf: str) -> DataFrame:
     return report.cpu_overload(report.newest(V.tel(spark, sf), 100))
 
@@ -112,12 +116,20 @@ def dash_cpu_overload_newest_1000(spark: SparkSession, sf: str) -> DataFrame:
     return report.cpu_overload(report.newest(V.tel(spark, sf), 1000))
 
 
-def dash_memory_monotone(spark: SparkSession, sf: str) -> DataFrame:
-    rising, falling = (report.memory_monotone(V.tel(spark, sf), way).withColumn("direction", F.lit(way))
-                       for way in ("rising", "falling"))
+def _monotone(rows: DataFrame) -> DataFrame:
+    rising, falling = (report.memory_monotone(rows, way).withColumn("direction", F.lit(way)) for way in ("rising", "falling"))
     return rising.unionByName(falling)
 
 
+def dash_memory_monotone(spark: SparkSession, sf: str) -> DataFrame:
+    return _monotone(V.tel(spark, sf))
+
+
+def dash_memory_monotone_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Absent values read as 0."""
+    return _monotone(V.tel_gap(spark, sf))
+
+
 def raw_table_preview(spark: SparkSession, sf: str) -> DataFrame:
     return report.newest(V.tel(spark, sf), 20).select("event_id", "ts", "agent_id", *ALL_METRICS)
 
@@ -519,13 +531,6 @@ SELECT n.event_id, n.ts, e.alert_id, n.agent_id, e.description, channel
 FROM numbered n JOIN episodes e ON n.type = e.type AND n.agent_id = e.agent_id AND n.episode = e.episode,
      (SELECT 'webhook' AS channel UNION ALL SELECT 'email' UNION ALL SELECT 'slack') c
 WHERE n.res = 0 AND n.severity = 'critical'""", "anomaly_events", "resolve_events")),
-    "dash_memory_monotone": (dash_memory_monotone, sql("""
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, event_id DESC) AS rn FROM tel),
-s AS (SELECT *, memory_usage - lag(memory_usage) OVER (PARTITION BY agent_id ORDER BY rn DESC) AS step FROM r WHERE rn <= 5),
-d AS (SELECT agent_id, bool_and(coalesce(step, 1) > 0) AS up, bool_and(coalesce(step, -1) < 0) AS down FROM s GROUP BY agent_id HAVING count(*) >= 5)
-SELECT agent_id, 'Memory Leak' AS type, 'Medium' AS probability, '6-12 hours' AS time_estimate,
-       'Investigate memory-intensive processes and consider restart' AS recommendation, CASE WHEN up THEN 'rising' ELSE 'falling' END AS direction
-FROM d WHERE up OR down""", "tel")),
     "raw_table_preview": (raw_table_preview, sql("""
 SELECT event_id, ts, agent_id, cpu_usage, memory_usage, disk_usage, network_latency FROM tel ORDER BY ts DESC, event_id DESC LIMIT 20""", "tel")),
     "raw_json_preview": (raw_json_preview, sql("""
@@ -574,3 +579,15 @@ QUERIES["dash_cpu_overload"] = (dash_cpu_overload, sql("WITH " + _FIVE.format(t=
 for _limit, _query in ((100, dash_cpu_overload_newest_100), (1000, dash_cpu_overload_newest_1000)):
     QUERIES[_query.__name__] = (_query, sql(
         f"WITH recent AS (SELECT * FROM tel ORDER BY ts DESC, event_id DESC LIMIT {_limit}),\n" + _FIVE.format(t="recent").strip(), "tel"))
+QUERIES["dash_cpu_overload_gaps"] = (dash_cpu_overload_gaps, sql(
+    "WITH zero AS (SELECT * REPLACE (coalesce(cpu_usage, 0) AS cpu_usage) FROM tel_gap),\n" + _FIVE.format(t="zero").strip(), "tel_gap"))
+
+_MONOTONE = """
+r AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, event_id DESC) AS rn FROM {t}),
+s AS (SELECT *, coalesce(memory_usage, 0) - lag(coalesce(memory_usage, 0)) OVER (PARTITION BY agent_id ORDER BY rn DESC) AS step FROM r WHERE rn <= 5),
+d AS (SELECT agent_id, bool_and(coalesce(step, 1) > 0) AS up, bool_and(coalesce(step, -1) < 0) AS down FROM s GROUP BY agent_id HAVING count(*) >= 5)
+SELECT agent_id, 'Memory Leak' AS type, 'Medium' AS probability, '6-12 hours' AS time_estimate,
+       'Investigate memory-intensive processes and consider restart' AS recommendation, CASE WHEN up THEN 'rising' ELSE 'falling' END AS direction
+FROM d WHERE up OR down"""
+for _query, _table in ((dash_memory_monotone, "tel"), (dash_memory_monotone_gaps, "tel_gap")):
+    QUERIES[_query.__name__] = (_query, sql("WITH " + _MONOTONE.format(t=_table).strip(), _table))

@@ -268,6 +268,17 @@ def raw_messages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def message_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages as agents send them, with their own time; of every 50, one is cut short and one has an unknown type."""
+    sections = ["platform", "cpu", "memory", "disk", "network", "health", "error"]
+    rows = snapshots(spark, sf).withColumn("time", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    agent = F.concat(F.lit("agent-"), F.col("agent_id").cast("string")).alias("agent_id")
+    doc = F.to_json(F.struct(agent, F.col("time").alias("timestamp"), *sections))
+    other = F.to_json(F.struct(F.lit("mystery").alias("type"), agent, F.col("time").alias("timestamp")))
+    number = F.col("event_id") % 50
+    return rows.select(F.when(number == 49, F.substring(doc, 1, 40)).when(number == 48, other).otherwise(doc).alias("value"))
+
+
 def metrics_json(spark: SparkSession, sf: str) -> DataFrame:
     """Stored metric rows: headline values inside a JSON column, with keys missing."""
     e = F.col("event_id")

@@ -66,20 +66,20 @@ SNAPSHOT = _struct(
 # Stored tables.
 TABLES = {
     "system_metrics": T.StructType([
-        T.StructField("event_id", INT, False), T.StructField("agent_id", INT, False),
+        T.StructField("event_id", INT, False), T.StructField("agent_id", STR, False),
         T.StructField("ts", T.TimestampNTZType()), T.StructField("raw_data", STR),
     ]),
     "agents": T.StructType([
-        T.StructField("agent_id", INT, False), T.StructField("hostname", STR), T.StructField("platform", STR),
+        T.StructField("agent_id", STR, False), T.StructField("hostname", STR), T.StructField("platform", STR),
         T.StructField("status", STR), T.StructField("first_connected", T.TimestampNTZType()),
         T.StructField("last_seen", T.TimestampNTZType()),
     ]),
     "agent_logs": T.StructType([
-        T.StructField("agent_id", INT, False), T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("agent_id", STR, False), T.StructField("ts", T.TimestampNTZType()),
         T.StructField("level", STR), T.StructField("message", STR),
     ]),
     "alerts": T.StructType([
-        T.StructField("alert_id", STR, False), T.StructField("agent_id", INT, False),
+        T.StructField("alert_id", STR, False), T.StructField("agent_id", STR, False),
         T.StructField("alert_type", STR), T.StructField("severity", STR), T.StructField("description", STR),
         T.StructField("status", STR), T.StructField("first_seen", T.TimestampNTZType()),
         T.StructField("last_seen", T.TimestampNTZType()),

@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetlens.operators import agents, detect, forest, health, routing
-from fleetlens.streaming.state import alert_stream, pattern_stream
+from fleetlens.operators import agents, alerts, detect, flatten, forest, health, routing
+from fleetlens.sources.tables import corrupt, decode
+from fleetlens.streaming.state import Versions, each_batch, find_patterns, follow_alerts, in_order
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ALL_NOW = {"availableNow": True}
 EVERY_30_S = {"processingTime": "30 seconds"}
-KEPT_VERSIONS = 4
+PAUSE_AFTER_ERROR_S = 60
 EVERY_5_S = {"processingTime": "5 seconds"}
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
 def append_table(stream: DataFrame, path: str, trigger: dict, partition: str | None = None) -> StreamingQuery:
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/_job")
     if partition:
@@ -39,6 +36,39 @@ def detect_thresholds(telemetry: DataFrame, path: str, trigger: dict = EVERY_30_
     return append_table(detect.with_remediation(detect.threshold_anomalies(telemetry)), path, trigger)
 
 
+def messages(stream: DataFrame) -> DataFrame:
+    """Decoded messages with their own time and an id made from their text; unreadable ones keep only the text.
+
+    ``event_id`` breaks ties in time and finds repeats: equal messages have equal ids.
+    """
+    doc = decode(stream, "value")
+    return doc.select(
+        F.xxhash64("value").alias("event_id"), F.to_timestamp_ntz("doc.timestamp").alias("ts"), "value",
+        (corrupt() | F.col("doc.timestamp").try_cast("timestamp_ntz").isNull()).alias("unreadable"), "doc.*",
+    )
+
+
+def detect_messages(stream: DataFrame, path: str, trigger: dict = EVERY_30_S) -> StreamingQuery:
+    """From message text to anomalies: decode, quarantine, route, land, detect. One write per table and batch."""
+    def step(batch: DataFrame, number: int) -> None:
+        rows = messages(batch)
+        branches = routing.route_messages(rows.where("NOT unreadable"), "type")
+        unread = rows.where("unreadable").select("value")
+        unread = unread.unionByName(branches["quarantine"].select("value"))
+        values = flatten.detector_values(branches["telemetry"])
+        tables = {
+            "quarantine": unread,
+            "replies": branches["replies"].select("event_id", "ts", "agent_id", "route", "value"),
+            "commands": branches["commands"].select("event_id", "ts", "agent_id", "route", "value"),
+            "landed": branches["telemetry"].select("event_id", "ts", "agent_id", "value"),
+            "anomalies": detect.with_remediation(detect.threshold_anomalies(values)),
+        }
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+
+    return each_batch(stream, step, path, trigger)
+
+
 def fan_out(telemetry: DataFrame, metrics: list[str], path: str, trigger: dict = EVERY_30_S) -> list[StreamingQuery]:
     """The two message feeds: anomalies per snapshot, and the metric values of every snapshot."""
     feeds = {
@@ -48,16 +78,21 @@ def fan_out(telemetry: DataFrame, metrics: list[str], path: str, trigger: dict =
     return [append_table(rows, f"{path}/{name}", trigger) for name, rows in feeds.items()]
 
 
-def detect_patterns(telemetry: DataFrame, path: str, trigger: dict = EVERY_30_S) -> StreamingQuery:
-    use_rocksdb(telemetry.sparkSession)
-    return append_table(pattern_stream(telemetry.withColumn("ts", F.col("ts").cast("timestamp"))), path, trigger)
+def detect_patterns(telemetry: DataFrame, path: str, trigger: dict = EVERY_30_S, lateness_s: int = 600) -> StreamingQuery:
+    """CPU jumps and memory leaks, by the batch operator on rows in order (see ``state.in_order``)."""
+    rows = telemetry.select("event_id", "ts", "agent_id", "cpu_usage", "memory_usage")
+    return in_order(rows, path, find_patterns(path), trigger, lateness_s)
 
 
 def detect_with_saved_forest(telemetry: DataFrame, model: str, path: str, kind: str, description: str, action: str,
                              high_below: float, trigger: dict = EVERY_30_S) -> StreamingQuery:
-    """Score each micro-batch with the forest last saved under ``model``; a batch job refits it."""
+    """Score each micro-batch with the forest last saved under ``model``; a batch job refits it, under another path."""
+    held: list = []
+
     def score(batch: DataFrame, number: int) -> None:
-        nodes, offset, features = forest.load_forest(batch.sparkSession, model)
+        if not held:  # a saved forest never changes, so it is read once
+            held.append(forest.load_forest(batch.sparkSession, model))
+        nodes, offset, features = held[0]
         decided = forest.decide(forest.score_forest(batch, nodes, features), offset)
         found = forest.forest_anomalies(decided, kind, description, action, high_below)
         found.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
@@ -65,33 +100,20 @@ def detect_with_saved_forest(telemetry: DataFrame, model: str, path: str, kind:
     return each_batch(telemetry, score, path, trigger)
 
 
-def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], path: str, trigger: dict,
-               mode: str = "append") -> StreamingQuery:
-    return (
-        stream.writeStream.foreachBatch(write).outputMode(mode)
-        .option("checkpointLocation", f"{path}/_job").trigger(**trigger).start()
-    )
-
+def track_alerts(events: DataFrame, path: str, trigger: dict = EVERY_30_S, lateness_s: int = 600) -> StreamingQuery:
+    """Alert episodes: closed ones are appended, open ones kept as a table of one row per type and agent."""
+    return in_order(events, path, follow_alerts(path), trigger, lateness_s)
 
-def track_alerts(events: DataFrame, path: str, trigger: dict = EVERY_30_S) -> StreamingQuery:
-    """Versions of every alert, as its state changes; the newest per episode counts."""
-    use_rocksdb(events.sparkSession)
-    return append_table(alert_stream(events.withColumn("ts", F.col("ts").cast("timestamp"))), path, trigger)
 
-
-def newest_versions(alerts: DataFrame) -> DataFrame:
-    """One row per episode out of the versions ``track_alerts`` wrote."""
-    others = [c for c in alerts.columns if c not in ("type", "agent_id", "episode")]
-    # A closing outranks the open version with the same count.
-    rank = F.struct("count", F.col("resolved_at").isNotNull())
-    newest = alerts.groupBy("type", "agent_id", "episode").agg(F.max_by(F.struct(*others), rank).alias("v"))
-    return newest.select("type", "agent_id", "episode", "v.*")
+def tracked_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """All episodes that ``track_alerts`` has seen, open and closed."""
+    return spark.read.parquet(f"{path}/closed").drop("batch").unionByName(alerts.open_episodes(Versions(spark, path).newest("open")))
 
 
 def keep_latest(telemetry: DataFrame, path: str, trigger: dict = EVERY_5_S) -> StreamingQuery:
     """A table with the newest snapshot per agent, rewritten by every batch as a new version."""
     def upsert(batch: DataFrame, number: int) -> None:
-        _merge(batch, number, path, lambda rows: health.latest_per_agent(rows))
+        merge(batch, number, path, health.latest_per_agent)
 
     return each_batch(telemetry, upsert, path, trigger)
 
@@ -99,57 +121,79 @@ def keep_latest(telemetry: DataFrame, path: str, trigger: dict = EVERY_5_S) -> S
 def keep_registry(conn_events: DataFrame, path: str, trigger: dict = EVERY_30_S) -> StreamingQuery:
     """The agent registry, with the connects of every batch merged in."""
     def upsert(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = _version(spark, path, number - 1)
-        agents.agent_snapshot(batch, None, before).write.mode("overwrite").parquet(_slot(path, number))
+        versions = Versions(batch.sparkSession, path)
+        last, _ = versions.pointer(number)
+        versions.write("rows", number, agents.agent_snapshot(batch, None, versions.read("rows", last)))
+        versions.point(number)
 
     return each_batch(conn_events, upsert, path, trigger)
 
 
-def _slot(path: str, number: int) -> str:
-    """Where batch ``number`` puts its version; only the last few versions are kept."""
-    return f"{path}/v{number % KEPT_VERSIONS}"
-
-
-def _version(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    return None if number < 0 else spark.read.parquet(_slot(path, number))
-
-
-def _merge(batch: DataFrame, number: int, path: str, reduce_rows: Callable[[DataFrame], DataFrame]) -> None:
+def merge(batch: DataFrame, number: int, path: str, reduce_rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Version ``number`` from the version before it; running a batch again gives the same version."""
-    before = _version(batch.sparkSession, path, number - 1)
+    versions = Versions(batch.sparkSession, path)
+    last, _ = versions.pointer(number)
+    before = versions.read("rows", last)
     rows = reduce_rows(batch)
     if before is not None:
         rows = reduce_rows(before.unionByName(rows))
-    rows.write.mode("overwrite").parquet(_slot(path, number))
+    merged = versions.write("rows", number, rows)
+    versions.point(number)
+    return merged
 
 
-def newest_version(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
-    return _version(spark, path, query.lastProgress["batchId"])
+def newest_version(spark: SparkSession, path: str) -> DataFrame:
+    """The last complete version of a kept table, also while the stream is idle or has ended."""
+    return Versions(spark, path).newest("rows")
 
 
-def anomalies_last_day(anomalies: DataFrame, path: str, trigger: dict = EVERY_30_S) -> StreamingQuery:
-    """Anomalies within the last 24 hours, at every full hour, once the hour is complete."""
+def anomalies_last_day(anomalies: DataFrame, path: str, trigger: dict = EVERY_30_S, lateness: str = "10 minutes") -> StreamingQuery:
+    """Anomalies per hour, each hour once it is complete; ``last_day`` adds up 24 of them."""
     counted = (
         anomalies.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", "10 minutes")
-        .groupBy(F.window("ts", "24 hours", "1 hour").alias("w"))
+        .withWatermark("ts", lateness)
+        .groupBy(F.window("ts", "1 hour").alias("w"))
         .agg(F.count("*").alias("n"))
         .select(F.col("w.end").alias("hour_end"), "n")
     )
     return append_table(counted, path, trigger)
 
 
-def deduplicated(telemetry: DataFrame) -> DataFrame:
-    """Drops repeats of a snapshot that arrive within the allowed lateness."""
-    timed = telemetry.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
-    return timed.dropDuplicatesWithinWatermark(["agent_id", "ts"])
+def last_day(hours: DataFrame) -> DataFrame:
+    """Anomalies within the last 24 hours, at every full hour up to the last complete one."""
+    later = F.explode(F.sequence(F.lit(0), F.lit(23)))
+    spread = hours.select("hour_end", "n", later.alias("h")).select(
+        (F.col("hour_end") + F.make_dt_interval(hours=F.col("h"))).alias("hour_end"), "n")
+    last = hours.agg(F.max("hour_end")).scalar()
+    return spread.groupBy("hour_end").agg(F.sum("n").alias("n")).where(F.col("hour_end") <= last)
+
 
+def deduplicated(telemetry: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+    """Drops repeats of a snapshot that arrive within the allowed lateness; another id is another snapshot."""
+    timed = telemetry.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    return timed.dropDuplicatesWithinWatermark(["agent_id", "ts", "event_id"])
 
-def critical_feed(telemetry: DataFrame, path: str, trigger: dict = EVERY_30_S) -> StreamingQuery:
-    """Messages on critical issues of the latest snapshots, every 30 seconds."""
+
+def critical_feed(telemetry: DataFrame, path: str, trigger: dict = EVERY_30_S, pause_s: float = PAUSE_AFTER_ERROR_S) -> StreamingQuery:
+    """Messages on critical issues of the latest snapshot of every agent so far, checked with every batch.
+
+    A failed check is tried once more after a pause, then fails the batch.
+    """
     def check(batch: DataFrame, number: int) -> None:
-        issues = health.health_issues(health.latest_per_agent(batch))
-        routing.critical_envelopes(issues).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        latest = merge(batch, number, path, health.latest_per_agent)
+        envelopes = routing.critical_envelopes(health.health_issues(latest))
+        envelopes.write.mode("overwrite").parquet(f"{path}/checks/batch={number}")
+
+    def patient(batch: DataFrame, number: int) -> None:
+        try:
+            check(batch, number)
+        except Exception:
+            time.sleep(pause_s)
+            check(batch, number)
+
+    return each_batch(telemetry, patient, path, trigger)
+
 
-    return each_batch(telemetry, check, path, trigger)
+def newest_check(spark: SparkSession, path: str) -> DataFrame:
+    """The messages of the last complete check."""
+    return spark.read.parquet(f"{path}/checks/batch={Versions(spark, path).pointer()[0]}")

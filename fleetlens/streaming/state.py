@@ -1,118 +1,140 @@
-"""Keyed stream state: the recent history of an agent, and its open alerts."""
+"""State of a stream as small tables: one version per micro-batch, and a pointer to the last one that is complete.
+
+A batch reads the version of the batch before it and writes its own, so a batch that runs again gives the same tables.
+The pointer is a one-row table per batch, written last; readers take the newest one. Old versions are overwritten in turn.
+
+``in_order`` gives rows to the batch operators in the order of their time, however they arrive: rows wait until no row
+that is in time can come before them. Rows that come later than the allowed lateness go to a table of their own.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-from operator import add
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from pyspark.sql import DataFrame, Row
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from fleetlens.operators import alerts, detect, report
+from fleetlens.operators.slices import micros
 
+KEPT_VERSIONS = 4
 HISTORY = 20
-PATTERNS = (
-    "agent_id bigint, event_id bigint, ts timestamp, type string, severity string, description string, "
-    "suggested_action string"
-)
-ALERTS = (
-    "type string, agent_id bigint, alert_id string, episode bigint, severity string, description string, "
-    "suggested_action string, first_seen timestamp, last_seen timestamp, count bigint, status string, "
-    "resolved_at timestamp"
-)
-_ALERT_STATE = (
-    "episode bigint, open boolean, severity string, description string, suggested_action string, "
-    "first_seen timestamp, last_seen timestamp, count bigint"
-)
-
-
-class RecentHistory(StatefulProcessor):
-    """CPU jumps and memory leaks over the last 20 snapshots of an agent."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "cpu double, memory double")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        history = [(r[0], r[1]) for r in self.recent.get()]
-        for row in sorted(rows, key=lambda r: (r.ts, r.event_id)):
-            history = (history + [(row.cpu_usage, row.memory_usage)])[-HISTORY:]
-            for kind, text, action in patterns(history):
-                yield Row(agent_id=key[0], event_id=row.event_id, ts=row.ts, type=kind, severity="high",
-                          description=text, suggested_action=action)
-        self.recent.put(history)
-
-    def close(self) -> None:
-        pass
-
-
-def _mean(values: list[float]) -> float:
-    # Plain addition from left to right, as in the batch operator (sum() would compensate).
-    return reduce(add, values) / len(values)
-
-
-def patterns(history: list[tuple[float | None, float | None]]) -> list[tuple[str, str, str]]:
-    """The pattern anomalies of the newest entry: type, text, action."""
-    if len(history) < HISTORY:
-        return []
-    out = []
-    cpu = [c for c, _ in history if c is not None]
-    if len(cpu) >= 15:
-        older, recent = _mean(cpu[-15:-10]), _mean(cpu[-5:])
-        if recent > older + 30:
-            text = f"Rapid CPU increase detected: {older:.1f}% → {recent:.1f}%"
-            out.append(("cpu_trend_anomaly", text, "investigate_cpu_spike"))
-    memory = [m for _, m in history[-15:] if m is not None]
-    if len(memory) >= 10:
-        middle = (len(memory) - 1) / 2
-        offsets = [i - middle for i in range(len(memory))]
-        slope = round(sum(x * y for x, y in zip(offsets, memory)) / sum(x * x for x in offsets), 9)
-        if slope > 2:
-            text = f"Potential memory leak detected (trend: +{slope:.1f}% per interval)"
-            out.append(("memory_leak_pattern", text, "investigate_memory_leak"))
-    return out
-
-
-class OpenAlert(StatefulProcessor):
-    """Deduplicates the anomalies of one (type, agent) and closes the alert on a resolution.
-
-    Emits the alert's newest version after every batch that touched it, and its closing.
-    """
+LATENESS_S = 600
+
+
+def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], path: str, trigger: dict,
+               mode: str = "append") -> StreamingQuery:
+    return (
+        stream.writeStream.foreachBatch(write).outputMode(mode)
+        .option("checkpointLocation", f"{path}/_job").trigger(**trigger).start()
+    )
+
+
+class Versions:
+    """Tables below ``path``, a version of each per batch."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.alert = handle.getValueState("alert", _ALERT_STATE)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        episode, is_open, *alert = self.alert.get() or (0, False, None, None, None, None, None, 0)
-
-        def version(status: str, at) -> Row:
-            severity, description, action, first, last, count = alert
-            return Row(type=key[0], agent_id=key[1], alert_id=f"{key[0]}_{key[1]}", episode=episode,
-                       severity=severity, description=description, suggested_action=action,
-                       first_seen=first, last_seen=last, count=count, status=status, resolved_at=at)
-
-        for row in sorted(rows, key=lambda r: (r.ts, r.resolve, r.event_id)):
-            if row.resolve:
-                if is_open:
-                    yield version("resolved", row.ts)
-                episode, is_open = episode + 1, False
-            elif is_open:
-                alert[4], alert[5] = row.ts, alert[5] + 1
-            else:
-                is_open, alert = True, [row.severity, row.description, row.suggested_action, row.ts, row.ts, 1]
-        if is_open:
-            yield version("active", None)
-        self.alert.update((episode, is_open, *alert))
-
-    def close(self) -> None:
-        pass
-
-
-def pattern_stream(telemetry: DataFrame) -> DataFrame:
-    """Needs the RocksDB state store."""
-    rows = telemetry.select("agent_id", "event_id", "ts", "cpu_usage", "memory_usage")
-    return rows.groupBy("agent_id").transformWithState(RecentHistory(), PATTERNS, "append", "none")
-
-
-def alert_stream(events: DataFrame) -> DataFrame:
-    """``events`` holds anomalies and resolutions (``resolve`` = 1) with equal columns."""
-    rows = events.select("type", "agent_id", "event_id", "ts", "resolve", "severity", "description", "suggested_action")
-    return rows.groupBy("type", "agent_id").transformWithState(OpenAlert(), ALERTS, "append", "none")
+    def _slot(self, name: str, number: int) -> str:
+        return f"{self.path}/{name}/v{number % KEPT_VERSIONS}"
+
+    def read(self, name: str, number: int) -> DataFrame | None:
+        return None if number < 0 else self.spark.read.parquet(self._slot(name, number))
+
+    def write(self, name: str, number: int, rows: DataFrame) -> DataFrame:
+        rows.write.mode("overwrite").parquet(self._slot(name, number))
+        return self.read(name, number)
+
+    def point(self, number: int, watermark: int | None = None) -> None:
+        """Declare version ``number`` complete."""
+        row = self.spark.createDataFrame([(number, watermark)], "batch bigint, watermark bigint").coalesce(1)
+        row.write.mode("overwrite").parquet(f"{self.path}/_pointer/p{number % KEPT_VERSIONS}")
+
+    def pointer(self, before: int | None = None) -> tuple[int, int | None]:
+        """The last complete version (below ``before``) and its watermark; (-1, None) if there is none."""
+        try:
+            rows = self.spark.read.schema("batch bigint, watermark bigint").parquet(f"{self.path}/_pointer/p*")
+        except AnalysisException:
+            return -1, None
+        found = rows.where(F.lit(True) if before is None else F.col("batch") < before).agg(F.max(F.struct("batch", "watermark")).alias("p"))
+        last = found.first()["p"]
+        return (-1, None) if last is None else (last["batch"], last["watermark"])
+
+    def newest(self, name: str) -> DataFrame | None:
+        return self.read(name, self.pointer()[0])
+
+
+def in_order(stream: DataFrame, path: str, process: Callable[[DataFrame, int, int | None, Versions], None],
+             trigger: dict, lateness_s: int = LATENESS_S) -> StreamingQuery:
+    """Call ``process(rows, batch, since, versions)`` with rows whose time is complete; ``since`` bounds their times from below.
+
+    Rows wait in a table for ``lateness_s`` seconds of event time. Rows that are later still are appended to ``late``.
+    """
+    spark = stream.sparkSession
+    versions = Versions(spark, path)
+
+    def step(batch: DataFrame, number: int) -> None:
+        before, since = versions.pointer(number)
+        at = micros("ts")
+        arrived = batch if since is None else batch.where(at >= since)
+        if since is not None:
+            batch.where(at < since).write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        waiting = versions.read("waiting", before)
+        rows = arrived if waiting is None else waiting.unionByName(arrived)
+        newest = batch.agg(F.max(at)).first()[0]
+        until = max(since or 0, (newest or 0) - lateness_s * 1_000_000)
+        process(rows.where(at < until), number, since, versions)
+        versions.write("waiting", number, rows.where(at >= until))
+        versions.point(number, until)
+
+    return each_batch(stream, step, path, trigger)
+
+
+def finish(spark: SparkSession, path: str, process: Callable[[DataFrame, int, int | None, Versions], None]) -> None:
+    """Process the rows that still wait, once a stream has ended."""
+    versions = Versions(spark, path)
+    last, since = versions.pointer()
+    waiting = versions.read("waiting", last)
+    if waiting is not None:
+        process(waiting, last + 1, since, versions)
+        versions.write("waiting", last + 1, waiting.limit(0))
+        versions.point(last + 1, since)
+
+
+def late_rows(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What came too late to be processed."""
+    try:
+        return spark.read.parquet(f"{path}/late").drop("batch")
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def find_patterns(path: str):
+    """The pattern detectors over rows in order, with the last rows of every agent carried from batch to batch."""
+    def process(rows: DataFrame, number: int, since: int | None, versions: Versions) -> None:
+        last, _ = versions.pointer(number)
+        tail = versions.read("tail", last)
+        both = rows if tail is None else tail.unionByName(rows)
+        found = detect.pattern_anomalies(both)
+        if since is not None:
+            found = found.where(micros("ts") >= since)  # what the tail gave was found before
+        found.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        versions.write("tail", number, report.newest_per_agent(both, HISTORY - 1).drop("rank"))
+
+    return process
+
+
+def follow_alerts(path: str):
+    """Alert episodes over anomalies and resolutions in order, with the open alerts carried from batch to batch."""
+    def process(rows: DataFrame, number: int, since: int | None, versions: Versions) -> None:
+        last, _ = versions.pointer(number)
+        closed, state = alerts.continue_episodes(
+            rows.where("resolve = 0").drop("resolve"), rows.where("resolve = 1").select("event_id", "ts", "agent_id", "type"),
+            versions.read("open", last))
+        versions.write("open", number, state)
+        closed.write.mode("overwrite").parquet(f"{path}/closed/batch={number}")
+
+    return process

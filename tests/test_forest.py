@@ -65,10 +65,36 @@ def test_same_seed_same_nodes_whatever_the_partitions(points, nodes):
     assert other.orderBy(order).collect() != nodes.orderBy(order).collect()
 
 
-def test_large_input_draws_each_row_once(spark):
-    df = spark.range(300_000).select(F.col("id").alias("event_id"), F.rand(1).alias("a"), F.rand(2).alias("b"))
-    table = forest.fit_forest(df, ["a", "b"], 4, sample=8)
-    assert table.select("tree").distinct().count() == 4
+def test_the_smallest_lots_are_drawn_at_every_size(spark):
+    """One rule whatever the number of rows: no threshold that could round to zero."""
+    df = spark.range(30_000).select(F.col("id").alias("event_id"), F.rand(1).alias("a"), F.rand(2).alias("b"))
+    table = forest.fit_forest(df, ["a", "b"], 4, sample=8).toPandas()
+    assert table["tree"].nunique() == 4 and set(table["size"]) == {8}
+    lots = forest._draw(np.arange(2**41, 2**41 + 1000), 3, 42)
+    assert len(np.unique(lots)) == 1000 and lots.min() >= 0 and lots.max() > 2**60
+    rows = df.orderBy("event_id").toPandas()
+    one = forest.fit_forest(df.where(F.col("event_id").isin(
+        [int(i) for t in range(4) for i in np.argsort(forest._draw(rows["event_id"].to_numpy(), t, 42))[:8]])), ["a", "b"], 4, sample=8)
+    order = ["tree", "node"]
+    assert one.toPandas().sort_values(order).reset_index(drop=True).equals(table.sort_values(order).reset_index(drop=True))
+
+
+def test_no_usable_row_gives_no_model_and_no_score(spark):
+    df = spark.createDataFrame([(1, None, 1.0)], "event_id bigint, a double, b double")
+    nodes = forest.fit_forest(df, ["a", "b"], 5)
+    scored = forest.score_forest(df, nodes, ["a", "b"])
+    assert nodes.count() == 0 and scored.first()["score"] is None
+    assert forest.forest_offset(scored, 0.1) is None
+    assert forest.decide(scored, None).where("decision < 0").count() == 0
+
+
+def test_one_feature_and_few_rows(spark):
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(20)], "event_id bigint, a double")
+    nodes = forest.fit_forest(df, ["a"], 30)
+    got = [r["score"] for r in forest.score_forest(df, nodes, ["a"]).collect()]
+    assert set(nodes.toPandas()["size"]) == {20}
+    # Scaled by the 20 rows that the trees have seen, ordinary points lie near -0.5.
+    assert -0.62 < sum(got) / len(got) < -0.4
 
 
 def test_save_and_load(spark, points, nodes):

@@ -10,7 +10,7 @@ from fleetlens.plans import streams
 from fleetlens.plans import views as V
 from fleetlens.session import shared_dir
 from fleetlens.sources.tables import decode, land_raw, landed
-from fleetlens.streaming import jobs
+from fleetlens.streaming import jobs, state
 from fleetlens.streaming.sources import json_stream, table_stream
 
 SF = "/root/testdata/sf0.001"
@@ -39,41 +39,90 @@ def finish(query):
     assert query.exception() is None
 
 
+DAY = 86_400
+
+
 def test_patterns_over_batches(spark, telemetry, stream):
     path = shared_dir(spark, "t")
     finish(jobs.detect_patterns(stream, path, jobs.ALL_NOW))
+    state.finish(spark, path, state.find_patterns(path))
     columns = ["event_id", "agent_id", "type", "description"]
     got = spark.read.parquet(f"{path}/rows").select(columns)
-    want = detect.all_anomalies(telemetry).where("type in ('cpu_trend_anomaly', 'memory_leak_pattern')").select(columns)
+    want = detect.pattern_anomalies(telemetry).select(columns)
     assert rows(got) == rows(want)
     assert want.count() > 0
 
 
+@pytest.fixture
+def disordered(spark, telemetry, tmp_path):
+    """Text ids, one agent with a third of all rows, equal times, and half of the rows a day late, in many batches."""
+    odd = F.col("event_id") % 2 == 1
+    agent = F.when(F.col("event_id") % 3 == 0, "agent-hot").otherwise(F.concat(F.lit("agent-"), (F.col("agent_id") % 9).cast("string")))
+    mixed = telemetry.withColumns({"agent_id": agent, "ts": F.date_trunc("hour", "ts").cast("timestamp_ntz")})
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) + F.when(odd, DAY * 1_000_000).otherwise(0)
+    ends = mixed.agg(F.min(arrival).alias("a"), F.max(arrival).alias("b")).first()
+    for k in range(8):
+        part = mixed.where(F.floor((arrival - ends["a"]) * 8 / (ends["b"] - ends["a"] + 1)) == k)
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "late"))
+    return mixed, table_stream(spark, str(tmp_path / "late"), mixed.schema, files_per_batch=1)
+
+
+def test_late_rows_hot_agents_and_text_ids(spark, disordered):
+    mixed, stream = disordered
+    path = shared_dir(spark, "t")
+    finish(jobs.detect_patterns(stream, path, jobs.ALL_NOW, DAY))
+    state.finish(spark, path, state.find_patterns(path))
+    columns = ["event_id", "agent_id", "type", "description"]
+    want = detect.pattern_anomalies(mixed).select(columns)
+    assert rows(spark.read.parquet(f"{path}/rows").select(columns)) == rows(want)
+    assert want.count() > 0 and state.late_rows(spark, path, mixed.schema).count() == 0
+    assert len(spark.read.parquet(f"{path}/rows").select("batch").distinct().collect()) > 3
+
+
+def test_late_alerts(spark, disordered):
+    mixed, stream = disordered
+    path = shared_dir(spark, "t")
+    finish(jobs.track_alerts(streams._alert_events(stream), path, jobs.ALL_NOW, DAY))
+    state.finish(spark, path, state.follow_alerts(path))
+    resolves = mixed.where("event_type = 'signup'").select("event_id", "ts", "agent_id", F.lit(V.CPU_BREACH).alias("type"))
+    want = alerts.alert_episodes(detect.threshold_anomalies(mixed), resolves)
+    assert rows(jobs.tracked_alerts(spark, path).select(want.columns)) == rows(want)
+    assert want.where("status = 'resolved'").count() > 0
+
+
+def test_rows_beyond_the_lateness_are_kept_apart(spark, disordered):
+    mixed, stream = disordered
+    path = shared_dir(spark, "t")
+    finish(jobs.detect_patterns(stream, path, jobs.ALL_NOW, 3600))
+    state.finish(spark, path, state.find_patterns(path))
+    late = state.late_rows(spark, path, mixed.schema)
+    assert 0 < late.count() < mixed.count()
+    assert late.where("event_id % 2 = 0").count() == 0
+
+
 def test_alert_state_over_batches(spark, telemetry, stream):
     path = shared_dir(spark, "t")
     finish(jobs.track_alerts(streams._alert_events(stream), path, jobs.ALL_NOW))
-    columns = ["alert_id", "episode", "severity", "description", "count", "status"]
-    versions = spark.read.parquet(f"{path}/rows")
+    state.finish(spark, path, state.follow_alerts(path))
     want = alerts.alert_episodes(
         detect.threshold_anomalies(telemetry),
         telemetry.where("event_type = 'signup'").select("event_id", "ts", "agent_id", F.lit(V.CPU_BREACH).alias("type")))
-    assert rows(jobs.newest_versions(versions).select(columns)) == rows(want.select(columns))
-    assert versions.count() > want.count()
+    assert rows(jobs.tracked_alerts(spark, path).select(want.columns)) == rows(want)
 
 
-def test_latest_over_batches(spark, telemetry, stream):
+def test_latest_over_batches_and_while_idle(spark, telemetry, stream):
+    """Six batches, more than versions are kept: the last one is served."""
     path = shared_dir(spark, "t")
-    query = jobs.keep_latest(stream.select("event_id", "ts", "agent_id", "cpu_usage"), path, jobs.ALL_NOW)
-    finish(query)
+    finish(jobs.keep_latest(stream.select("event_id", "ts", "agent_id", "cpu_usage"), path, jobs.ALL_NOW))
     want = health.latest_per_agent(telemetry.select("event_id", "ts", "agent_id", "cpu_usage"))
-    assert rows(jobs.newest_version(spark, path, query)) == rows(want)
+    assert state.Versions(spark, path).pointer()[0] == 5
+    assert rows(jobs.newest_version(spark, path)) == rows(want)
 
 
 def test_registry_over_batches(spark, stream):
     path = shared_dir(spark, "t")
-    query = jobs.keep_registry(V.connections_of(stream), path, jobs.ALL_NOW)
-    finish(query)
-    got = jobs.newest_version(spark, path, query).select("agent_id", "first_connected", "last_seen")
+    finish(jobs.keep_registry(V.connections_of(stream), path, jobs.ALL_NOW))
+    got = jobs.newest_version(spark, path).select("agent_id", "first_connected", "last_seen")
     events = V.conn_events(spark, SF).where("kind = 'connect'")
     want = events.groupBy("agent_id").agg(F.min("ts").alias("first_connected"), F.max("ts").alias("last_seen"))
     assert rows(got) == rows(want)
@@ -83,8 +132,45 @@ def test_a_batch_that_runs_again_gives_the_same_table(spark, telemetry):
     path = shared_dir(spark, "t")
     batch = telemetry.select("event_id", "ts", "agent_id", "cpu_usage")
     for number in (0, 1, 1):
-        jobs._merge(batch.where(F.col("event_id") % 2 == number), number, path, health.latest_per_agent)
-    assert rows(spark.read.parquet(f"{path}/v1")) == rows(health.latest_per_agent(batch))
+        jobs.merge(batch.where(F.col("event_id") % 2 == number), number, path, health.latest_per_agent)
+    assert rows(jobs.newest_version(spark, path)) == rows(health.latest_per_agent(batch))
+
+
+def test_an_agent_that_recovers_is_not_critical(spark, telemetry, tmp_path):
+    worst = telemetry.limit(1).withColumns({"cpu_usage": F.lit(99.0), "memory_usage": F.lit(1.0), "disk_usage": F.lit(1.0)}).cache()
+    better = worst.withColumns({"cpu_usage": F.lit(1.0), "event_id": F.col("event_id") + 1})
+    for part in (worst, better):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for files, first in ((1, 1), (2, 0)):
+        path = shared_dir(spark, "t")
+        finish(jobs.critical_feed(table_stream(spark, str(tmp_path / "in"), worst.schema, files), path, jobs.ALL_NOW))
+        assert jobs.newest_check(spark, path).count() == 0
+        assert spark.read.parquet(f"{path}/checks/batch=0").count() == first
+
+
+def test_a_failed_check_is_tried_again(spark, telemetry, tmp_path, monkeypatch):
+    telemetry.coalesce(1).write.parquet(str(tmp_path / "in"))
+    calls, real = [], jobs.merge
+
+    def flaky(*args):
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("away")
+        return real(*args)
+
+    monkeypatch.setattr(jobs, "merge", flaky)
+    path = shared_dir(spark, "t")
+    finish(jobs.critical_feed(table_stream(spark, str(tmp_path / "in"), telemetry.schema), path, jobs.ALL_NOW, pause_s=0))
+    assert len(calls) == 2 and state.Versions(spark, path).pointer()[0] == 0
+
+
+def test_two_snapshots_with_equal_time_both_stay(spark, telemetry, tmp_path):
+    one = telemetry.limit(1).cache()
+    two = one.withColumn("event_id", F.col("event_id") + 1)
+    one.union(two).union(one).coalesce(1).write.parquet(str(tmp_path / "in"))
+    path = shared_dir(spark, "t")
+    finish(jobs.append_table(jobs.deduplicated(table_stream(spark, str(tmp_path / "in"), one.schema)), path, jobs.ALL_NOW))
+    assert spark.read.parquet(f"{path}/rows").count() == 2
 
 
 def test_saved_forest_scores_the_stream(spark, tmp_path):
