@@ -1,23 +1,26 @@
 """Per-key ordered windows that survive a key holding a large share of all rows.
 
-A plain ``Window.partitionBy(agent).orderBy(ts)`` puts all rows of an agent into one
-task. Where the input is larger than one task may hold, the keys above that size are
-found first, and only those keys are cut into consecutive time slices. Windows then run
-per (key, slice):
-
-* ``trailing``: frames that look back a fixed number of rows. The last rows before each
-  slice are copied into it, so every frame is complete.
-* ``running``: sums from the start of a key. Each slice adds the total of the slices
-  before it.
-
-Both give exactly the result of the plain window. Keys and times must not be NULL and the
-identifier must be an integer column.
+A plain ``Window.partitionBy(agent).orderBy(ts)`` puts all rows of an agent into one task. Here every key is cut into
+consecutive time slices of about ``fleetlens.rowsPerTask`` rows, and windows run per (key, slice):
+
+* ``trailing``: frames that look back a fixed number of rows. The last rows before each slice are copied into it, so
+  every frame is complete.
+* ``running``: sums from the start of a key. Each slice adds the total of the slices before it.
+
+Both give exactly the result of the plain window. The plan is one and the same at every size and is built without
+running a job: rows are counted per key and time bucket, the counts give the starts of slices, and those of the keys
+that have more than one are broadcast. A slice other than a key's last holds the limit at least, so there are at most
+rows / limit of them, however many keys or rows there are. No slice holds more than the limit and one bucket.
+
+Rows without time come first in their key, as in the plain window. The identifier must be an integer column.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -25,12 +28,7 @@ from pyspark.sql import functions as F
 from fleetlens.session import rows_per_task
 
 SLICE = "_slice"
-# At most this many keys can be heavy, because each holds more than 1/MAX_HEAVY of the rows.
-MAX_HEAVY = 10_000
-# Slices are cut finer than needed, so that uneven density in time does not matter.
-FINER = 16
-LEVEL_BITS = 18
-LEVELS = 3
+BUCKET_KEY, BUCKET_S = "fleetlens.bucketSeconds", 600
 
 
 @dataclass(frozen=True)
@@ -54,61 +52,27 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(column.cast("timestamp"))
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    """True when even all rows together are few enough for a single task."""
-    return df.count() <= rows_per_task(df.sparkSession)
-
+def _reached(starts: Column, at: Column) -> Column:
+    """How many of the sorted ``starts`` are at most ``at``, by bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(starts, n + step - 1) <= at, n + step).otherwise(n))
 
-def cut_heavy_keys(df: DataFrame, order: Order) -> DataFrame | None:
-    """``df`` with a slice number per row (-1 for keys left whole), or None if no key is heavy.
 
-    Slices are ordered like the rows of their key. A slice that is still too large is cut
-    again, by time and finally by id.
-    """
+def cut_keys(df: DataFrame, order: Order) -> DataFrame:
+    """``df`` with the number of each row's slice, and whether its key has more than one."""
     spark = df.sparkSession
-    total = df.count()
     limit = rows_per_task(spark)
-    if total <= limit:
-        return None
-    limit = max(limit, total // MAX_HEAVY)
+    width = int(spark.conf.get(BUCKET_KEY, str(BUCKET_S))) * 1_000_000
     keys = list(order.keys)
-    at, ident = micros(order.ts), F.col(order.ident)
-    cut = df.withColumn(SLICE, F.lit(-1).cast("bigint"))
-    any_heavy = False
-    for _ in range(LEVELS):
-        groups = cut.groupBy(*keys, SLICE).agg(
-            F.count("*").alias("_n"),
-            F.min(at).alias("_t0"), F.max(at).alias("_t1"),
-            F.min(ident).alias("_i0"), F.max(ident).alias("_i1"),
-        )
-        # At most MAX_HEAVY groups can exceed the limit, so this list is bounded.
-        heavy = groups.where((F.col("_n") > limit) & ((F.col("_t1") > F.col("_t0")) | (F.col("_i1") > F.col("_i0"))))
-        rows = heavy.collect()
-        if not rows:
-            break
-        any_heavy = True
-        steps = []
-        for r in rows:
-            by_time = r["_t1"] > r["_t0"]
-            low, high = (r["_t0"], r["_t1"]) if by_time else (r["_i0"], r["_i1"])
-            cells = FINER * (r["_n"] // limit + 1)
-            steps.append((*[r[k] for k in keys], r[SLICE], by_time, low, (high - low) // cells + 1))
-        schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-        table = spark.createDataFrame(
-            steps, f"{schema}, `{SLICE}` bigint, _by_time boolean, _low bigint, _step bigint"
-        )
-        position = F.when(F.col("_by_time"), at).otherwise(ident) - F.col("_low")
-        cell = F.expr("_position div _step")
-        base = F.greatest(F.col(SLICE), F.lit(0)) * (1 << LEVEL_BITS)
-        sliced = F.when(F.col("_step").isNotNull(), base + cell)
-        whole = F.when(F.col(SLICE) >= 0, base).otherwise(F.col(SLICE))
-        cut = (
-            cut.join(F.broadcast(table), [*keys, SLICE], "left")
-            .withColumn("_position", position)
-            .withColumn(SLICE, F.coalesce(sliced, whole).cast("bigint"))
-            .select(*df.columns, SLICE)
-        )
-    return cut if any_heavy else None
+    bucket = F.floor(micros(order.ts) / F.lit(width))
+    counts = df.groupBy(*keys, bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    slices = counts.withColumn(SLICE, F.floor((upto - F.col("_n")) / limit)).where(F.col(SLICE) > 0)
+    starts = slices.groupBy(*keys, SLICE).agg(F.min("_bucket").alias("_start"))
+    starts = starts.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.sort_array(F.collect_list("_start")).alias("_starts"))
+    same = reduce(and_, [F.col(k) == F.col(f"_key_{k}") for k in keys])
+    return df.join(F.broadcast(starts), same, "left").select(
+        *df.columns, F.coalesce(_reached(F.col("_starts"), bucket), F.lit(0)).alias(SLICE), F.col("_starts").isNotNull().alias("_cut"))
 
 
 def trailing(
@@ -118,11 +82,9 @@ def trailing(
     order: Order = AGENT_SERIES,
 ) -> DataFrame:
     """Apply ``build(df, window)``, whose frames reach at most ``depth - 1`` rows back."""
-    cut = cut_heavy_keys(df, order)
-    if cut is None:
-        return build(df, order.window())
+    cut = cut_keys(df, order)
     keys = list(order.keys)
-    heavy = cut.where(F.col(SLICE) >= 0)
+    heavy = cut.where("_cut")
 
     # Last rows of every slice, numbered from its end. The rank filter runs before the shuffle.
     from_end = Window.partitionBy(*keys, SLICE).orderBy(F.desc(order.ts), F.desc(order.ident))
@@ -135,33 +97,29 @@ def trailing(
     after = F.collect_list(F.struct(F.col(SLICE).alias("to"), (F.col("_end") - F.col("_n")).alias("start")))
     ends = ends.withColumn("_after", after.over(by_slice.rowsBetween(1, depth - 1)))
     copies = (
-        tails.join(ends.select(*keys, SLICE, "_end", "_after"), [*keys, SLICE])
+        tails.join(F.broadcast(ends.select(*keys, SLICE, "_end", "_after")), [*keys, SLICE])  # a row per slice
         .withColumn("_target", F.explode("_after"))
         .where(F.col("_target.start") - F.col("_end") + F.col("_back") < depth)
         .withColumn(SLICE, F.col("_target.to"))
         .select(*df.columns, SLICE, F.lit(True).alias("_copy"))
     )
-    both = cut.withColumn("_copy", F.lit(False)).unionByName(copies)
+    both = cut.drop("_cut").withColumn("_copy", F.lit(False)).unionByName(copies)
     return build(both, order.window(SLICE)).where(~F.col("_copy")).drop("_copy", SLICE)
 
 
 def running(df: DataFrame, sums: dict[str, Column], order: Order = AGENT_SERIES) -> DataFrame:
     """Add running sums per key, each including the current row."""
-    frame = (Window.unboundedPreceding, Window.currentRow)
-    cut = cut_heavy_keys(df, order)
-    if cut is None:
-        w = order.window().rowsBetween(*frame)
-        return df.withColumns({name: F.sum(value).over(w) for name, value in sums.items()})
+    cut = cut_keys(df, order)
     keys = list(order.keys)
-    totals = cut.where(F.col(SLICE) >= 0).groupBy(*keys, SLICE).agg(
+    totals = cut.where("_cut").groupBy(*keys, SLICE).agg(
         *[F.sum(value).alias(f"_before_{name}") for name, value in sums.items()]
     )
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumns({f"_before_{name}": F.sum(f"_before_{name}").over(earlier) for name in sums})
-    w = order.window(SLICE).rowsBetween(*frame)
+    w = order.window(SLICE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = cut.withColumns({name: F.sum(value).over(w) for name, value in sums.items()})
     return (
-        within.join(totals, [*keys, SLICE], "left")
+        within.join(F.broadcast(totals), [*keys, SLICE], "left")  # a row per slice
         .withColumns({name: F.col(name) + F.coalesce(F.col(f"_before_{name}"), F.lit(0)) for name in sums})
         .select(*df.columns, *sums)
     )

@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# How many rows one task may hold of a single key before the key is cut into
-# time slices (see operators/slices.py). Override per session.
+# About how many rows of a single key one task holds; keys are cut into time slices of that
+# size (see operators/slices.py). Results do not depend on it. Override per session.
 ROWS_PER_TASK_KEY = "fleetlens.rowsPerTask"
 ROWS_PER_TASK = 2_000_000
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import alerts, detect, report, trend
 from fleetlens.operators.quantiles import exact_quantiles
-from fleetlens.operators.slices import AGENT_SERIES, SLICE, cut_heavy_keys, numbered, running, trailing
+from fleetlens.operators.slices import AGENT_SERIES, BUCKET_KEY, SLICE, cut_keys, numbered, running, trailing
 from fleetlens.session import ROWS_PER_TASK_KEY
 
 
@@ -14,8 +14,10 @@ def small_tasks(spark):
     """Lets a task hold few rows, so that keys are cut although the data is small."""
     def limit(rows):
         spark.conf.set(ROWS_PER_TASK_KEY, str(rows))
+        spark.conf.set(BUCKET_KEY, "1")
     yield limit
     spark.conf.unset(ROWS_PER_TASK_KEY)
+    spark.conf.unset(BUCKET_KEY)
 
 
 @pytest.fixture(scope="module")
@@ -46,25 +48,38 @@ def same(small_tasks, build, limit=50):
 
 
 def test_heavy_key_is_cut_into_small_slices(spark, skewed, small_tasks):
-    small_tasks(100)
-    cut = cut_heavy_keys(skewed, AGENT_SERIES)
-    sizes = cut.groupBy("agent_id", SLICE).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 150
+    small_tasks(110)
+    cut = cut_keys(skewed, AGENT_SERIES)
+    burst = skewed.groupBy("agent_id", "ts").count().agg(F.max("count")).first()[0]
+    sizes = [r["count"] for r in cut.groupBy("agent_id", SLICE).count().collect()]
+    assert sorted(sizes)[-1] <= 110 + burst and sorted(sizes)[-2] <= 111
     # The other agents have 100 rows each and stay whole.
-    assert {r["agent_id"] for r in cut.where(f"{SLICE} >= 0").select("agent_id").distinct().collect()} == {7}
+    assert {r["agent_id"] for r in cut.where("_cut").select("agent_id").distinct().collect()} == {7}
     assert cut.count() == skewed.count()
 
 
 def test_slices_keep_the_order(skewed, small_tasks):
     small_tasks(100)
-    cut = cut_heavy_keys(skewed, AGENT_SERIES).where(f"{SLICE} >= 0")
+    cut = cut_keys(skewed, AGENT_SERIES).where("_cut")
     got = [r["event_id"] for r in cut.orderBy(SLICE, "ts", "event_id").collect()]
     want = [r["event_id"] for r in cut.orderBy("ts", "event_id").collect()]
     assert got == want
 
 
-def test_nothing_is_cut_when_input_is_small(skewed):
-    assert cut_heavy_keys(skewed, AGENT_SERIES) is None
+def test_building_a_plan_runs_no_job(spark, skewed):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    detect.all_anomalies(skewed)
+    running(skewed, {"a": F.col("event_id")})
+    assert tracker.getJobIdsForGroup("building") == []
+
+
+def test_rows_without_time_or_key(spark, skewed, small_tasks):
+    odd = skewed.withColumns({
+        "ts": F.when(F.col("event_id") % 13 != 0, F.col("ts")), "agent_id": F.when(F.col("event_id") % 17 != 0, F.col("agent_id")),
+    })
+    same(small_tasks, lambda: trailing(odd, 20, lambda d, w: d.withColumn("ids", F.collect_list("event_id").over(w.rowsBetween(-19, 0)))))
+    same(small_tasks, lambda: running(odd, {"a": F.col("event_id")}))
 
 
 @pytest.mark.parametrize("limit", [3, 50, 500])
