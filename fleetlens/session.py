@@ -41,10 +41,15 @@ def rows_per_task(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_TASK_KEY, str(ROWS_PER_TASK)))
 
 
+# Folders handed out, by application, for ``discard_tables``.
+_GIVEN: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, reachable by every executor.
 
-    Only a local-mode session may fall back to a temporary folder.
+    Only a local-mode session may fall back to a temporary folder. Results may be read from these folders until
+    the caller has stored them elsewhere and calls ``discard_tables``.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -52,7 +57,20 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="fleetlens-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/fleetlens/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/fleetlens/{purpose}-{uuid.uuid4().hex}"
+    _GIVEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard_tables(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this application, once nothing reads them any more; returns their number."""
+    given = _GIVEN.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    for path in map(hadoop, given):
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
 
 
 def written(df, purpose: str):
