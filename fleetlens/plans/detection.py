@@ -83,16 +83,19 @@ def counter_rate(spark: SparkSession, sf: str) -> DataFrame:
     return trend.counter_rates(V.counters(spark, sf), {"bytes_sent_total": "bytes_sent_per_sec"})
 
 
-def _with_disk_rates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = V.snapshots(spark, sf).withColumns({
-        "_read": F.col("disk.read_bytes_total"), "_write": F.col("disk.write_bytes_total")
-    })
+def disk_rates(rows: DataFrame) -> DataFrame:
+    """Snapshots whose disk section has the rates since the agent's snapshot before."""
+    rows = rows.withColumns({"_read": F.col("disk.read_bytes_total"), "_write": F.col("disk.write_bytes_total")})
     rows = trend.counter_rates(rows, {"_read": "_read_rate", "_write": "_write_rate"})
     disk = F.col("disk").withField("read_bytes_per_sec", F.col("_read_rate")).withField(
         "write_bytes_per_sec", F.col("_write_rate"))
     return rows.withColumn("disk", disk).drop("_read", "_write", "_read_rate", "_write_rate")
 
 
+def _with_disk_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return disk_rates(V.snapshots(spark, sf))
+
+
 def feature_vectors_system(spark: SparkSession, sf: str) -> DataFrame:
     names = [slot[0] for slot in flatten.SYSTEM_SLOTS]
     return flatten.system_features(_with_disk_rates(spark, sf)).select("event_id", "agent_id", *names)

@@ -121,6 +121,38 @@ def stream_alerts_late(spark: SparkSession, sf: str) -> DataFrame:
     return _tracked(spark, _delayed(spark, sf), DELAY_S, "alerts-late")
 
 
+# Over the system features: feature 8 is the disk read rate, 0 the CPU usage.
+FIXED_SYSTEM = [
+    (0, 1, 8, 0.0, 0.0, 256), (0, 2, 0, 50.0, 0.0, 256), (0, 3, -1, 0.0, 9.0, 256), (0, 4, -1, 0.0, 11.0, 256), (0, 5, -1, 0.0, 3.0, 256),
+]
+FIXED_OFFSET = -0.6
+
+
+def _all_values(rows: DataFrame) -> DataFrame:
+    """Detector values and both feature vectors; the system's need the snapshot before."""
+    rows = flatten.system_features(detection.disk_rates(rows))
+    rows = rows.withColumnsRenamed({n: f"system_{n}" for n in SYSTEM})
+    return flatten.network_features(flatten.detector_values(rows)).drop("cpu", "memory", "disk", "network")
+
+
+def stream_all_anomalies(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages with the anomalies of all four detectors, from late rows in many batches, one row per anomaly."""
+    path = shared_dir(spark, "all-anomalies")
+    forests = []
+    for name, nodes, features, kind, settings in (
+        ("network", FIXED_NODES, NETWORK, C.NETWORK_ANOMALY, C.NETWORK_FOREST),
+        ("system", FIXED_SYSTEM, [f"system_{n}" for n in SYSTEM], C.SYSTEM_ANOMALY, C.SYSTEM_FOREST),
+    ):
+        model = shared_dir(spark, f"model-{name}")
+        forest.save_forest(constant_table(spark, nodes, forest.NODES), FIXED_OFFSET, features, model)
+        forests.append((model, kind, settings["high_below"]))
+    process = state.send_all_anomalies(path, _all_values, forests)
+    snapshots = V.snapshots_of(_delayed(spark, sf)).select("event_id", "ts", "agent_id", "cpu", "memory", "disk", "network")
+    _finished(state.in_order(snapshots, path, process, jobs.ALL_NOW, DELAY_S))
+    state.finish(spark, path, process)
+    return inventory.anomaly_fields(spark.read.parquet(f"{path}/rows")).drop("timestamp")
+
+
 def _messages(spark: SparkSession, sf: str) -> DataFrame:
     """A stream of message text, some of it unreadable."""
     path = shared_dir(spark, "messages")
@@ -332,6 +364,30 @@ seen AS (SELECT feed, max(max(epoch_us(ts))) OVER (ORDER BY feed) - 3600000000 A
 SELECT event_id, ts, agent_id FROM f JOIN seen s ON s.feed = f.feed - 1 WHERE epoch_us(ts) < until""", "tel")),
     "stream_alert_episodes": (stream_alert_episodes, _ALERTS),
     "stream_alerts_late": (stream_alerts_late, _ALERTS),
+    "stream_all_anomalies": (stream_all_anomalies, sql(f"""
+WITH {detection._JUMP.format(t="snap").strip()},
+{detection._LEAK.format(t="snap").strip()},
+{_FIXED},
+rate AS (SELECT *, {detection._rate_sql("v * 1024", "snap", "r")} FROM snap),
+walked AS (SELECT event_id, agent_id, -pow(CAST(2 AS DOUBLE), -CAST(CASE WHEN coalesce(r, 0) > 0 THEN 9 WHEN cpu_usage > 50 THEN 3 ELSE 11 END AS DOUBLE)
+           / (CAST(2 AS DOUBLE) * (ln(255) + 0.5772156649015329) - CAST(510 AS DOUBLE) / 256)) - ({FIXED_OFFSET}) AS decision
+           FROM rate WHERE has_cpu AND has_memory),
+found AS (
+  SELECT event_id, agent_id, 'cpu_threshold_breach' AS kind, CASE WHEN cpu_usage > 95 THEN 'critical' ELSE 'high' END AS severity, cpu_usage AS value, CAST(80 AS DOUBLE) AS threshold,
+         concat('CPU usage ', CAST(cpu_usage AS VARCHAR), '% exceeds threshold') AS description, 'identify_cpu_intensive_processes' AS suggested_action FROM snap WHERE cpu_usage > 80
+  UNION ALL SELECT event_id, agent_id, 'memory_threshold_breach', CASE WHEN memory_usage > 95 THEN 'critical' ELSE 'high' END, memory_usage, 85,
+         concat('Memory usage ', CAST(memory_usage AS VARCHAR), '% exceeds threshold'), 'free_memory_resources' FROM snap WHERE memory_usage > 85
+  UNION ALL SELECT event_id, agent_id, 'disk_threshold_breach', CASE WHEN disk_usage > 98 THEN 'critical' ELSE 'high' END, disk_usage, 90,
+         concat('Disk usage ', CAST(disk_usage AS VARCHAR), '% exceeds threshold'), 'cleanup_disk_space' FROM snap WHERE disk_usage > 90
+  UNION ALL SELECT event_id, agent_id, 'network_latency_high', 'medium', network_latency, 200,
+         concat('Network latency ', CAST(network_latency AS VARCHAR), 'ms exceeds threshold'), 'check_network_connectivity' FROM snap WHERE network_latency > 200
+  UNION ALL SELECT event_id, agent_id, type, severity, NULL, NULL, description, suggested_action FROM ({detection._JUMP_SELECT})
+  UNION ALL SELECT event_id, agent_id, type, severity, NULL, NULL, description, suggested_action FROM ({detection._LEAK_SELECT})
+  UNION ALL SELECT event_id, agent_id, 'network_anomaly', CASE WHEN score - ({FIXED_OFFSET}) < {C.NETWORK_FOREST["high_below"]} THEN 'high' ELSE 'medium' END, NULL, NULL,
+         'Unusual network behavior detected', 'check_network_connectivity' FROM fixed WHERE score - ({FIXED_OFFSET}) < 0
+  UNION ALL SELECT event_id, agent_id, 'system_anomaly', CASE WHEN decision < {C.SYSTEM_FOREST["high_below"]} THEN 'high' ELSE 'medium' END, NULL, NULL,
+         'Unusual system behavior detected by ML model', 'investigate_system_resources' FROM walked WHERE decision < 0)
+SELECT event_id, agent_id, 'anomaly_detected' AS type, kind, severity, value, threshold, description, suggested_action FROM found""", "snap")),
     "stream_messages_to_anomalies": (stream_messages_to_anomalies, sql("""
 SELECT ts, concat('agent-', CAST(agent_id AS VARCHAR)) AS agent_id, type, severity, value,
        CASE type WHEN 'disk_threshold_breach' THEN 'critical' WHEN 'network_latency_high' THEN 'medium' ELSE 'high' END AS priority

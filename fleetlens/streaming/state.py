@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetlens.operators import alerts, detect, report
+from fleetlens.operators import alerts, detect, forest, report, routing
 from fleetlens.operators.slices import micros
+from fleetlens.session import written
 
 KEPT_VERSIONS = 4
 HISTORY = 20
@@ -127,6 +128,36 @@ def find_patterns(path: str):
     return process
 
 
+def send_all_anomalies(path: str, prepare: Callable[[DataFrame], DataFrame], forests: list[tuple[str, tuple, float]]):
+    """One message per snapshot with all its anomalies: thresholds, patterns and those of the saved forests.
+
+    ``prepare`` adds the detector values and features to snapshots; it sees the last rows of every agent too, so values may
+    depend on the snapshot before. ``forests`` lists where a forest is saved, what it finds (type, text, action), and
+    the decision below which its severity is high.
+    """
+    loaded: list = []
+
+    def process(rows: DataFrame, number: int, since: int | None, versions: Versions) -> None:
+        if not loaded:
+            loaded.extend(forest.load_forest(rows.sparkSession, model) for model, _, _ in forests)
+        last, _ = versions.pointer(number)
+        tail = versions.read("tail", last)
+        both = rows if tail is None else tail.unionByName(rows)
+        values = written(prepare(both), "stream-values")  # read by every detector
+        found = detect.all_anomalies(values)
+        for (nodes, offset, features), (_, kind, high_below) in zip(loaded, forests):
+            decided = forest.decide(forest.score_forest(values, nodes, features), offset)
+            found = found.unionByName(forest.forest_anomalies(decided, *kind, high_below))
+        if since is not None:
+            found = found.where(micros("ts") >= since)
+        record = F.struct("type", "severity", "score", "value", "threshold", "description", "suggested_action")
+        lists = found.groupBy(*detect.IDS).agg(F.sort_array(F.collect_list(record)).alias("anomalies"))
+        routing.anomaly_envelopes(lists).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        versions.write("tail", number, report.newest_per_agent(both, HISTORY - 1).drop("rank"))
+
+    return process
+
+
 def follow_alerts(path: str):
     """Alert episodes over anomalies and resolutions in order, with the open alerts carried from batch to batch."""
     def process(rows: DataFrame, number: int, since: int | None, versions: Versions) -> None:
