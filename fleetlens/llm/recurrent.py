@@ -185,19 +185,26 @@ def gradient(p: dict, g: dict, ids: np.ndarray, weight: np.ndarray, h: np.ndarra
             g["word_bias"][c] += e.sum(axis=0)
     back = back.reshape(states.shape)
     fed = np.empty((len(ids), ids.shape[1], 3 * STATE), np.float32)
+    again = np.empty_like(fed)  # as ``fed``, but for the part of the inner state that passes the reset gate
+    turned = np.ascontiguousarray(p["recur"].T)
     d = np.zeros_like(h)
     for t in range(len(ids) - 1, -1, -1):
         r, z, inner, n, on = kept[t]
-        d = d * on
-        dn = d * (1 - z) * (1 - n * n)
-        dz = d * (states[t] - n) * z * (1 - z)
-        dr = dn * inner * r * (1 - r)
-        fed[t, :, :STATE], fed[t, :, STATE : 2 * STATE], fed[t, :, 2 * STATE :] = dr, dz, dn
-        again = fed[t].copy()
-        again[:, 2 * STATE :] *= r
-        g["recur"] += states[t].T @ again
-        g["recur_bias"] += again[:, 2 * STATE :].sum(axis=0)
-        d = d * z + again @ p["recur"].T + back[t]
+        d *= on
+        dn = d * (1 - z)
+        dn *= 1 - n * n
+        f, g_t = fed[t], again[t]
+        np.multiply(dn * inner, r * (1 - r), out=f[:, :STATE])
+        np.multiply(d * (states[t] - n), z * (1 - z), out=f[:, STATE : 2 * STATE])
+        f[:, 2 * STATE :] = dn
+        g_t[:, : 2 * STATE] = f[:, : 2 * STATE]
+        np.multiply(dn, r, out=g_t[:, 2 * STATE :])
+        d = d * z
+        d += g_t @ turned
+        d += back[t]
+    again = again.reshape(-1, 3 * STATE)
+    g["recur"] += flat.T @ again
+    g["recur_bias"] += again[:, 2 * STATE :].sum(axis=0)
     by = np.argsort(x, kind="stable")
     cut = np.flatnonzero(np.r_[True, x[by][1:] != x[by][:-1]])
     g["inputs"][x[by][cut]] += np.add.reduceat(fed.reshape(-1, 3 * STATE)[by], cut)
