@@ -1,7 +1,7 @@
 """Language-model scores of whole documents, by the recurrent model of ``recurrent``.
 
 1. Tokens of the training documents are counted: all of them, as 64-bit hashes, summed per task and then by Spark.
-2. The ``KNOWN`` most frequent words, a fixed number, go to all tasks. Documents become ids; words beyond those are listed by hash.
+2. The most frequent words, fewer than ``KNOWN``, go to all tasks. Documents become ids; words beyond those are listed by hash.
 3. Training, in ``ROUNDS`` rounds that together read every training document once: each task trains on its documents from
    the common parameters, and the results are averaged by Spark, weighted by tokens (parallel gradient descent with averaging).
 4. Scoring runs over every whole document, the state carried from window to window. The listed words are joined with the
@@ -81,8 +81,7 @@ class Vocabulary:
     def __init__(self, counts: DataFrame):
         total = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("key") == END_KEY, F.col("n")))).first()
         self.tokens, self.distinct, ends = (int(x or 0) for x in total)
-        top = counts.where(F.col("key") != END_KEY).orderBy(F.desc("n"), "key").limit(KNOWN - 1).toArrow()  # a fixed number
-        keys, n = (top.column(c).to_numpy() for c in ("key", "n"))
+        keys, n = self._most_frequent(counts.where(F.col("key") != END_KEY))
         rank = np.arange(1, len(keys) + 1)
         band = np.maximum(np.floor(np.log2(rank / recurrent.HEAD)), 0).astype(np.int64)
         ids = np.where(rank < recurrent.HEAD, rank, recurrent.HEAD + band)
@@ -100,6 +99,26 @@ class Vocabulary:
         share[~inside] = np.log10((n[~inside] + 1) / mass[band[~inside]])
         self.keys, self.ids, self.counts, self.share = keys[order], ids[order].astype(np.uint16), n[order], share[order]
 
+    @staticmethod
+    def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts by falling count: all words down to the level of counts at which ``KNOWN`` would be passed.
+
+        Levels are eighths of a power of two, a few hundred at most, so that no task ranks the words of all others.
+        """
+        level = F.floor(F.log2("n") * 8)
+        lowest, total = None, 0
+        for size in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+            total += size["count"]
+            if total >= KNOWN:
+                break
+            lowest = size["level"]
+        if lowest is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        top = counts.where(level >= lowest).select("key", "n").toArrow()  # fewer than KNOWN
+        keys, n = (top.column(c).to_numpy() for c in ("key", "n"))
+        order = np.lexsort((keys, -n))
+        return keys[order], n[order]
+
     def arrays(self) -> tuple[np.ndarray, ...]:
         return self.keys, self.ids, self.counts, self.share
 
