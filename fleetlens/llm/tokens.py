@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_ENTRIES = 500_000  # the dictionary is emptied beyond this; it only saves time
+CACHE_ENTRIES = 1_200_000  # about 250 MB; the dictionary is emptied beyond this; it only saves time
 
 
 @lru_cache(maxsize=4)

@@ -1,5 +1,6 @@
 """The registered queries against their SQL twins, and the pipeline stage by stage against brute force."""
 
+import os
 import sys
 
 import plain
@@ -11,7 +12,7 @@ import corpus_pipeline
 from fleetlens.llm.queries import QUERIES
 from fleetlens.llm.session import stored
 
-sys.path.insert(0, "tests")
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from compare import compare, connect  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
