@@ -7,10 +7,9 @@ pieces on the other. Between safe cuts a stretch has the same ids wherever it st
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 CACHE_ENTRIES = 1_200_000  # about 250 MB; the dictionary is emptied beyond this; it only saves time
 
 
@@ -68,10 +67,16 @@ class WordIds:
     """Ids of a lower-casing tokenizer that drops white space, as little-endian 32-bit bytes."""
 
     def __init__(self, path: str):
-        encode = tokenizer(path).encode
-        self.ids = Cached(
-            lambda part: np.array(encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        )
+        loaded = tokenizer(path)
+        model = loaded.model  # a part of ASCII letters alone is one piece as it stands
+
+        def make(part: bytes) -> bytes:
+            text = part.decode("utf-8", "replace")
+            if part.isalpha() and part.islower():
+                return array("I", [t.id for t in model.tokenize(text)]).tobytes()
+            return array("I", loaded.encode(text, add_special_tokens=False).ids).tobytes()
+
+        self.ids = Cached(make)
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.ids.__getitem__, _parts(text.encode("utf-8", "replace"))))
@@ -82,6 +87,8 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+BLANK = "\u0120"  # how byte-level vocabularies write the byte of a blank
+
 # Before white space, after a character that is surely none: byte-level pieces never hold white space after other characters.
 _BEFORE_SPACE = re.compile(r"(?<=[!-~\xc0-\xff])(?=[ \t\n\r])")
 
@@ -93,5 +100,13 @@ def stretches(text: str) -> list[str]:
 @lru_cache(maxsize=2)
 def stretch_counts(path: str) -> Cached:
     """stretch -> number of ids of a byte-level tokenizer; special tokens in a text are ordinary text."""
-    encode = tokenizer(path, True).encode
-    return Cached(lambda stretch: len(encode(stretch, add_special_tokens=False).ids))
+    loaded = tokenizer(path, True)
+    model = loaded.model
+
+    def make(stretch: str) -> int:
+        word = stretch[1:] if stretch[0] == " " else stretch
+        if word.isascii() and word.isalpha():  # one piece; the blank before it is the letter that stands for its byte
+            return len(model.tokenize(BLANK + word if word is not stretch else word))
+        return len(loaded.encode(stretch, add_special_tokens=False).ids)
+
+    return Cached(make)
