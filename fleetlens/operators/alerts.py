@@ -70,34 +70,45 @@ def alert_episodes(anomalies: DataFrame, resolves: DataFrame) -> DataFrame:
     return _listed(_collapse(_with_episodes(anomalies, resolves)))
 
 
-def continue_episodes(anomalies: DataFrame, resolves: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Episodes that end with these rows, and the state after them, given the state before them.
+def _continued(anomalies: DataFrame, resolves: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The rows with the number of their episode, and one row per episode, both given the state before them."""
+    keys = ["type", "agent_id"]
+    rows = _with_episodes(anomalies, resolves)
+    now = _collapse(rows)
+    if before is None:
+        return rows, now
+    rows = rows.join(before.select(*keys, F.col("episode").alias("_base")), keys, "left")
+    rows = rows.withColumn("episode", F.col("episode") + F.coalesce("_base", F.lit(0))).drop("_base")
+    now = now.join(before.select(*keys, F.struct("episode", "o", "first_seen", "last_seen", "count").alias("_b")), keys, "full_outer")
+    held, base = F.coalesce("_b.count", F.lit(0)), F.coalesce("_b.episode", F.lit(0))
+    local = F.coalesce("episode", F.lit(0))
+    goes_on = (local == 0) & (held > 0)
+    return rows, now.select(
+        *keys, (base + local).alias("episode"),
+        F.when(goes_on, F.col("_b.o")).otherwise(F.col("o")).alias("o"),
+        F.when(goes_on, F.col("_b.first_seen")).otherwise(F.col("first_seen")).alias("first_seen"),
+        F.when(goes_on, F.coalesce("last_seen", "_b.last_seen")).otherwise(F.col("last_seen")).alias("last_seen"),
+        (F.coalesce("count", F.lit(0)) + F.when(goes_on, held).otherwise(0)).alias("count"), "resolved_at",
+    )
+
+
+def continue_episodes(
+    anomalies: DataFrame, resolves: DataFrame, before: DataFrame | None, channels: list[str] = C.NOTIFICATION_CHANNELS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Episodes that end with these rows, the state after them, and their notifications, given the state before them.
 
     The state has a row per type and agent: the number of its current episode, and the alert if one is open. All rows
     are later than those that led to the state.
     """
     keys = ["type", "agent_id"]
-    now = _collapse(_with_episodes(anomalies, resolves))
-    if before is not None:
-        held = before.select(*keys, F.struct("episode", "o", "first_seen", "last_seen", "count").alias("_b"))
-        now = now.join(held, keys, "full_outer")
-        held, base = F.coalesce("_b.count", F.lit(0)), F.coalesce("_b.episode", F.lit(0))
-        local = F.coalesce("episode", F.lit(0))
-        goes_on = (local == 0) & (held > 0)
-        now = now.select(
-            *keys, (base + local).alias("episode"),
-            F.when(goes_on, F.col("_b.o")).otherwise(F.col("o")).alias("o"),
-            F.when(goes_on, F.col("_b.first_seen")).otherwise(F.col("first_seen")).alias("first_seen"),
-            F.when(goes_on, F.coalesce("last_seen", "_b.last_seen")).otherwise(F.col("last_seen")).alias("last_seen"),
-            (F.coalesce("count", F.lit(0)) + F.when(goes_on, held).otherwise(0)).alias("count"), "resolved_at",
-        )
+    rows, now = _continued(anomalies, resolves, before)
     closed = _listed(now.where(F.col("resolved_at").isNotNull()))
     is_open = F.col("resolved_at").isNull() & (F.col("count") > 0)
     last = F.max(F.col("episode") + F.col("resolved_at").isNotNull().cast("bigint")).alias("episode")
     pick = lambda c: F.max_by(c, F.when(is_open, F.col("episode"))).alias(c)
     state = now.groupBy(*keys).agg(
         last, pick("o"), pick("first_seen"), pick("last_seen"), F.coalesce(F.max(F.when(is_open, F.col("count"))), F.lit(0)).alias("count"))
-    return closed, state
+    return closed, state, _notified(rows, now, channels)
 
 
 def open_episodes(state: DataFrame) -> DataFrame:
@@ -139,11 +150,9 @@ def apply_resolutions(alerts: DataFrame, resolutions: DataFrame) -> DataFrame:
     }).drop("_at")
 
 
-def notifications(anomalies: DataFrame, resolves: DataFrame, channels: list[str] = C.NOTIFICATION_CHANNELS) -> DataFrame:
-    """Every critical anomaly, once per channel, with the text of the episode it belongs to."""
-    rows = _with_episodes(anomalies, resolves)
+def _notified(rows: DataFrame, episodes: DataFrame, channels: list[str]) -> DataFrame:
     keys = ["type", "agent_id", "episode"]
-    texts = _listed(_collapse(rows)).select(*keys, "alert_id", "description")
+    texts = _listed(episodes).select(*keys, "alert_id", "description")
     critical = rows.where((F.col("_resolve") == 0) & (F.col("severity") == "critical")).select(*keys, "event_id", "ts")
     return critical.join(texts, keys).select(
         "event_id", "ts", "alert_id", "agent_id", "description",
@@ -151,6 +160,12 @@ def notifications(anomalies: DataFrame, resolves: DataFrame, channels: list[str]
     )
 
 
+def notifications(anomalies: DataFrame, resolves: DataFrame, channels: list[str] = C.NOTIFICATION_CHANNELS) -> DataFrame:
+    """Every critical anomaly, once per channel, with the text of the episode it belongs to."""
+    rows = _with_episodes(anomalies, resolves)
+    return _notified(rows, _collapse(rows), channels)
+
+
 def rules(spark) -> DataFrame:
     return constant_table(
         spark, C.ALERT_RULES, "rule string, metric string, threshold double, duration_s int, severity string"

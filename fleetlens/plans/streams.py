@@ -11,6 +11,7 @@ from fleetlens.operators.slices import micros
 from fleetlens.plans import detection, inventory
 from fleetlens.plans import views as V
 from fleetlens.plans.reporting import _EPISODES
+from fleetlens.plans.reporting import QUERIES as REPORTS
 from fleetlens.plans.views import sql
 from fleetlens.session import shared_dir, written
 from fleetlens.sources.tables import constant_table
@@ -113,6 +114,13 @@ def _tracked(spark: SparkSession, rows: DataFrame, lateness_s: int, name: str) -
     return jobs.tracked_alerts(spark, path)
 
 
+def stream_notifications(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_dir(spark, "notified")
+    _finished(jobs.track_alerts(_alert_events(_delayed(spark, sf)), path, jobs.ALL_NOW, DELAY_S))
+    state.finish(spark, path, state.follow_alerts(path))
+    return spark.read.parquet(f"{path}/notifications").drop("batch")
+
+
 def stream_alert_episodes(spark: SparkSession, sf: str) -> DataFrame:
     return _tracked(spark, event_stream(spark, sf), 600, "alerts")
 
@@ -364,6 +372,7 @@ seen AS (SELECT feed, max(max(epoch_us(ts))) OVER (ORDER BY feed) - 3600000000 A
 SELECT event_id, ts, agent_id FROM f JOIN seen s ON s.feed = f.feed - 1 WHERE epoch_us(ts) < until""", "tel")),
     "stream_alert_episodes": (stream_alert_episodes, _ALERTS),
     "stream_alerts_late": (stream_alerts_late, _ALERTS),
+    "stream_notifications": (stream_notifications, REPORTS["notifications_outbox"][1]),
     "stream_all_anomalies": (stream_all_anomalies, sql(f"""
 WITH {detection._JUMP.format(t="snap").strip()},
 {detection._LEAK.format(t="snap").strip()},

@@ -101,7 +101,7 @@ def detect_with_saved_forest(telemetry: DataFrame, model: str, path: str, kind:
 
 
 def track_alerts(events: DataFrame, path: str, trigger: dict = EVERY_30_S, lateness_s: int = 600) -> StreamingQuery:
-    """Alert episodes: closed ones are appended, open ones kept as a table of one row per type and agent."""
+    """Alert episodes: closed ones are appended, open ones kept as a table of one row per type and agent; notifications are appended."""
     return in_order(events, path, follow_alerts(path), trigger, lateness_s)
 
 

@@ -159,13 +159,14 @@ def send_all_anomalies(path: str, prepare: Callable[[DataFrame], DataFrame], for
 
 
 def follow_alerts(path: str):
-    """Alert episodes over anomalies and resolutions in order, with the open alerts carried from batch to batch."""
+    """Alert episodes and notifications over anomalies and resolutions in order, with the open alerts carried from batch to batch."""
     def process(rows: DataFrame, number: int, since: int | None, versions: Versions) -> None:
         last, _ = versions.pointer(number)
-        closed, state = alerts.continue_episodes(
+        closed, state, notices = alerts.continue_episodes(
             rows.where("resolve = 0").drop("resolve"), rows.where("resolve = 1").select("event_id", "ts", "agent_id", "type"),
             versions.read("open", last))
         versions.write("open", number, state)
         closed.write.mode("overwrite").parquet(f"{path}/closed/batch={number}")
+        notices.write.mode("overwrite").parquet(f"{path}/notifications/batch={number}")
 
     return process
