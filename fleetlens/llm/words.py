@@ -120,8 +120,9 @@ def find_words(column: pa.Array, table: np.ndarray = WORD_BYTES, collapse: bool
         length = np.diff(rank, append=len(kept))
     place = np.arange(len(kept), dtype=np.int64) - np.repeat(rank, length)
     weight = _PLACE_RANDOM[place & (len(_PLACE_RANDOM) - 1)]
-    if length.max() > len(_PLACE_RANDOM):
-        weight = weight * (splitmix(place >> 12) | np.uint64(1))
+    if length.max() > len(_PLACE_RANDOM):  # only the far places of long words get another weight
+        far = np.flatnonzero(place >= len(_PLACE_RANDOM))
+        weight[far] *= splitmix(place[far] // len(_PLACE_RANDOM)) | np.uint64(1)
     hashed = splitmix(np.add.reduceat(_BYTE_RANDOM[kept] * weight, rank) + length.astype(np.uint64))
     text = np.searchsorted(at, start, "right") - 1
     return Words(low, start, ends, text, hashed, np.searchsorted(text, np.arange(n + 1)))
