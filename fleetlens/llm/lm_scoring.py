@@ -147,7 +147,7 @@ def encode(texts: DataFrame, words: Vocabulary) -> DataFrame:
                 with_end[np.arange(len(keys)) + text] = code
                 at = (first + np.arange(part.num_rows + 1)) * 2
                 n = part.num_rows
-                sums = [np.bincount(text[hit], w[place[hit]], n) for w in (logs, share)]
+                sums = [np.bincount(text[hit], w[place[hit]], n).astype(np.float64) for w in (logs, share)]
                 rare = pa.ListArray.from_arrays(
                     pa.array(np.r_[0, np.cumsum(np.bincount(text[~hit], minlength=n))].astype(np.int32)), pa.array(keys[~hit])
                 )
