@@ -201,9 +201,10 @@ def stream_agent_registry(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_anomalies_24h(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_dir(spark, "last-day")
-    _finished(jobs.anomalies_last_day(detect.threshold_anomalies(event_stream(spark, sf)), path, jobs.ALL_NOW))
+    query = jobs.anomalies_last_day(detect.threshold_anomalies(event_stream(spark, sf)), path, jobs.ALL_NOW)
+    _finished(query)
     hours = spark.read.parquet(f"{path}/rows")
-    return jobs.last_day(hours).withColumn("hour_end", F.col("hour_end").cast("timestamp_ntz"))
+    return jobs.last_day(hours, jobs.watermark(query)).withColumn("hour_end", F.col("hour_end").cast("timestamp_ntz"))
 
 
 def stream_without_repeats(spark: SparkSession, sf: str) -> DataFrame:
@@ -262,10 +263,10 @@ def forest_network_per_message(spark: SparkSession, sf: str) -> DataFrame:
 
 # A forest written by hand, so that SQL can walk it too: tree, node, feature, split, path, rows grown on.
 FIXED_NODES = [
-    (0, 1, 0, 100.0, 0.0, 256), (0, 2, 3, 150.0, 0.0, 256), (0, 3, -1, 0.0, 2.5, 256), (0, 4, -1, 0.0, 9.0, 256), (0, 5, -1, 0.0, 11.5, 256),
+    (0, 1, 0, 250.0, 0.0, 256), (0, 2, 3, 150.0, 0.0, 256), (0, 3, -1, 0.0, 2.5, 256), (0, 4, -1, 0.0, 9.0, 256), (0, 5, -1, 0.0, 11.5, 256),
     (1, 1, 4, 5000.0, 0.0, 256), (1, 2, -1, 0.0, 10.0, 256), (1, 3, 5, 7000.0, 0.0, 256), (1, 6, -1, 0.0, 7.25, 256), (1, 7, -1, 0.0, 3.0, 256),
 ]
-FIXED_SHARE = 0.05
+FIXED_SHARE = 0.3
 
 
 def _fixed_nodes(spark: SparkSession) -> DataFrame:
@@ -327,7 +328,7 @@ def anomalies_four_detectors(spark: SparkSession, sf: str) -> DataFrame:
 
 _FIXED = """
 path AS (SELECT event_id, agent_id,
-         CASE WHEN network_latency > 100 THEN 2.5 WHEN CAST(v % 300 AS DOUBLE) > 150 THEN 11.5 ELSE 9 END
+         CASE WHEN network_latency > 250 THEN 2.5 WHEN CAST(v % 300 AS DOUBLE) > 150 THEN 11.5 ELSE 9 END
          + CASE WHEN ((v * 11) % 1000001) / CAST(100 AS DOUBLE) <= 5000 THEN 10
                 WHEN ((v * 19) % 1000001) / CAST(100 AS DOUBLE) > 7000 THEN 3 ELSE 7.25 END AS total FROM snap),
 fixed AS (SELECT event_id, agent_id,

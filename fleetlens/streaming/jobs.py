@@ -159,13 +159,17 @@ def anomalies_last_day(anomalies: DataFrame, path: str, trigger: dict = EVERY_30
     return append_table(counted, path, trigger)
 
 
-def last_day(hours: DataFrame) -> DataFrame:
-    """Anomalies within the last 24 hours, at every full hour up to the last complete one."""
+def watermark(query: StreamingQuery) -> str:
+    """The newest watermark that a stream has reported, as ISO text."""
+    return max(p["eventTime"]["watermark"] for p in query.recentProgress if "watermark" in (p["eventTime"] or {}))
+
+
+def last_day(hours: DataFrame, until: str) -> DataFrame:
+    """Anomalies within the last 24 hours, at every full hour up to the watermark ``until``; hours may lack anomalies of their own."""
     later = F.explode(F.sequence(F.lit(0), F.lit(23)))
     spread = hours.select("hour_end", "n", later.alias("h")).select(
         (F.col("hour_end") + F.make_dt_interval(hours=F.col("h"))).alias("hour_end"), "n")
-    last = hours.agg(F.max("hour_end")).scalar()
-    return spread.groupBy("hour_end").agg(F.sum("n").alias("n")).where(F.col("hour_end") <= last)
+    return spread.groupBy("hour_end").agg(F.sum("n").alias("n")).where(F.col("hour_end") <= F.lit(until).cast("timestamp"))
 
 
 def deduplicated(telemetry: DataFrame, lateness: str = "10 minutes") -> DataFrame:
