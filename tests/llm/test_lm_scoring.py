@@ -89,6 +89,18 @@ def test_gradient_is_the_slope_of_the_loss():
         assert (loss(up) - loss(down)) / 0.02 == pytest.approx(part[at], rel=0.02, abs=1e-5)
 
 
+def test_each_word_of_the_head_has_its_own_id(spark):
+    """2,047 words beside the end; the next ones share bands. All known words together stay 262,144."""
+    rows = [(i, 10_000 - i) for i in range(2100)] + [(lm_scoring.END_KEY, 5)]
+    words = lm_scoring.Vocabulary(spark.createDataFrame(rows, "key long, n long"))
+    ids = dict(zip(words.keys.tolist(), words.ids.tolist()))
+    assert [ids[i] for i in range(2047)] == list(range(1, 2048))
+    assert {ids[i] for i in range(2047, 2100)} == {2048}
+    p = recurrent.views(parameters())
+    assert p["inputs"].shape[0] == 2048 + recurrent.BANDS and p["word_bias"].size == 2048
+    assert lm_scoring.KNOWN == 262_144
+
+
 def test_empty_and_all_held_out(spark):
     assert lm_scoring.score_documents(plain.frame(spark, [])).count() == 0
     held = [i for i in range(200) if plain.base_scores([(i, "a")])[1][0][0]][:3]
