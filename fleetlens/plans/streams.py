@@ -201,18 +201,18 @@ def stream_agent_registry(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_anomalies_24h(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_dir(spark, "last-day")
-    query = jobs.anomalies_last_day(detect.threshold_anomalies(event_stream(spark, sf)), path, jobs.ALL_NOW)
-    _finished(query)
-    hours = spark.read.parquet(f"{path}/rows")
-    return jobs.last_day(hours, jobs.watermark(query)).withColumn("hour_end", F.col("hour_end").cast("timestamp_ntz"))
+    _finished(jobs.anomalies_last_day(detect.threshold_anomalies(event_stream(spark, sf)), path, jobs.ALL_NOW))
+    hours = jobs.hours_counted(spark, path)
+    return jobs.last_day(hours, jobs.watermark(spark, path)).withColumn("hour_end", F.col("hour_end").cast("timestamp_ntz"))
 
 
 def stream_without_repeats(spark: SparkSession, sf: str) -> DataFrame:
     """Every snapshot arrives twice and is kept once."""
     path = shared_dir(spark, "unique")
     rows = event_stream(spark, sf).select("event_id", "ts", "agent_id", "v")
-    _finished(jobs.append_table(jobs.deduplicated(rows.union(rows)), path, jobs.ALL_NOW))
-    return spark.read.parquet(f"{path}/rows").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    _finished(jobs.keep_once(rows.union(rows), path, jobs.ALL_NOW))
+    state.finish(spark, path, state.drop_repeats(path))
+    return jobs.kept_once(spark, path)
 
 
 def stream_critical_feed(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens.operators import agents, alerts, detect, flatten, forest, health, routing
 from fleetlens.sources.tables import corrupt, decode
-from fleetlens.streaming.state import Versions, each_batch, find_patterns, follow_alerts, in_order
+from fleetlens.streaming.state import (
+    REPEAT, Versions, count_hours, drop_repeats, each_batch, find_patterns, follow_alerts, in_order, late_rows, per_hour,
+)
 
 ALL_NOW = {"availableNow": True}
 EVERY_30_S = {"processingTime": "30 seconds"}
@@ -147,21 +149,22 @@ def newest_version(spark: SparkSession, path: str) -> DataFrame:
     return Versions(spark, path).newest("rows")
 
 
-def anomalies_last_day(anomalies: DataFrame, path: str, trigger: dict = EVERY_30_S, lateness: str = "10 minutes") -> StreamingQuery:
-    """Anomalies per hour, each hour once it is complete; ``last_day`` adds up 24 of them."""
-    counted = (
-        anomalies.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", lateness)
-        .groupBy(F.window("ts", "1 hour").alias("w"))
-        .agg(F.count("*").alias("n"))
-        .select(F.col("w.end").alias("hour_end"), "n")
-    )
-    return append_table(counted, path, trigger)
+def anomalies_last_day(anomalies: DataFrame, path: str, trigger: dict = EVERY_30_S, lateness_s: int = 600) -> StreamingQuery:
+    """Anomalies per hour; ``last_day`` adds up 24 of them. Later anomalies go to the table ``late`` (see ``hours_counted``)."""
+    return in_order(anomalies.select("event_id", "ts", "agent_id", "type"), path, count_hours(path), trigger, lateness_s)
+
+
+def hours_counted(spark: SparkSession, path: str) -> DataFrame:
+    """All counts per hour that ``anomalies_last_day`` has made, and those of the anomalies that came later than allowed."""
+    counted = spark.read.parquet(f"{path}/rows").drop("batch")
+    late = late_rows(spark, path, "event_id bigint, ts timestamp_ntz, agent_id bigint, type string")
+    return counted.unionByName(per_hour(late.where("ts IS NOT NULL")))
 
 
-def watermark(query: StreamingQuery) -> str:
-    """The newest watermark that a stream has reported, as ISO text."""
-    return max(p["eventTime"]["watermark"] for p in query.recentProgress if "watermark" in (p["eventTime"] or {}))
+def watermark(spark: SparkSession, path: str) -> str:
+    """Up to when the rows of a stream in order are complete, as text; late rows aside."""
+    until = Versions(spark, path).pointer()[1]
+    return spark.range(1).select(F.timestamp_micros(F.lit(until)).cast("string")).first()[0]
 
 
 def last_day(hours: DataFrame, until: str) -> DataFrame:
@@ -173,9 +176,25 @@ def last_day(hours: DataFrame, until: str) -> DataFrame:
 
 
 def deduplicated(telemetry: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Drops repeats of a snapshot that arrive within the allowed lateness; another id is another snapshot."""
+    """Drops repeats of a snapshot that arrive within the allowed lateness; another id is another snapshot.
+
+    Spark also drops every row that is later than that, without a trace; ``keep_once`` keeps those.
+    """
     timed = telemetry.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    return timed.dropDuplicatesWithinWatermark(["agent_id", "ts", "event_id"])
+    return timed.dropDuplicatesWithinWatermark(REPEAT)
+
+
+def keep_once(telemetry: DataFrame, path: str, trigger: dict = EVERY_30_S, lateness_s: int = 600) -> StreamingQuery:
+    """Every snapshot once, whatever the number of its repeats; later rows go to the table ``late`` (see ``kept_once``)."""
+    return in_order(telemetry, path, drop_repeats(path), trigger, lateness_s)
+
+
+def kept_once(spark: SparkSession, path: str) -> DataFrame:
+    """What ``keep_once`` has kept, and the snapshots of which all rows came later than allowed, once too."""
+    kept = spark.read.parquet(f"{path}/rows").drop("batch")
+    late = late_rows(spark, path, kept.schema).dropDuplicates(REPEAT)
+    again = [late[c].eqNullSafe(kept[c]) for c in REPEAT]
+    return kept.unionByName(late.join(kept, again, "left_anti"))
 
 
 def critical_feed(telemetry: DataFrame, path: str, trigger: dict = EVERY_30_S, pause_s: float = PAUSE_AFTER_ERROR_S) -> StreamingQuery:

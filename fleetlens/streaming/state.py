@@ -22,6 +22,7 @@ from fleetlens.session import written
 
 KEPT_VERSIONS = 4
 HISTORY = 20
+REPEAT = ["agent_id", "ts", "event_id"]  # equal in a snapshot that arrives again
 LATENESS_S = 600
 
 
@@ -128,6 +129,27 @@ def find_patterns(path: str):
     return process
 
 
+def drop_repeats(path: str):
+    """Every snapshot once. Repeats have equal times, so those in time are processed together."""
+    def process(rows: DataFrame, number: int, since: int | None, versions: Versions) -> None:
+        rows.dropDuplicates(REPEAT).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    return process
+
+
+def per_hour(rows: DataFrame) -> DataFrame:
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp")) + F.make_dt_interval(hours=F.lit(1))
+    return rows.groupBy(hour.alias("hour_end")).agg(F.count("*").alias("n"))
+
+
+def count_hours(path: str):
+    """Rows per hour; an hour whose rows are processed in several batches has a count for each."""
+    def process(rows: DataFrame, number: int, since: int | None, versions: Versions) -> None:
+        per_hour(rows).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    return process
+
+
 def send_all_anomalies(path: str, prepare: Callable[[DataFrame], DataFrame], forests: list[tuple[str, tuple, float]]):
     """One message per snapshot with all its anomalies: thresholds, patterns and those of the saved forests.
 

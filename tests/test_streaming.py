@@ -196,6 +196,30 @@ def test_repeats_are_dropped(spark, telemetry, tmp_path):
     assert spark.read.parquet(f"{path}/rows").count() == telemetry.count()
 
 
+@pytest.mark.parametrize("lateness_s", [600, streams.DELAY_S])
+def test_late_snapshots_are_kept_once(spark, telemetry, lateness_s):
+    columns = ["event_id", "ts", "agent_id", "v"]
+    stream = streams._delayed(spark, SF).select(columns)
+    path = shared_dir(spark, "t")
+    finish(jobs.keep_once(stream.union(stream), path, jobs.ALL_NOW, lateness_s))
+    state.finish(spark, path, state.drop_repeats(path))
+    assert rows(jobs.kept_once(spark, path)) == rows(telemetry.select(columns))
+    late = state.late_rows(spark, path, telemetry.select(columns).schema).count()
+    assert late > 0 if lateness_s == 600 else late == 0
+    assert spark.read.parquet(f"{path}/rows").count() == telemetry.count() - late / 2
+
+
+@pytest.mark.parametrize("lateness_s", [600, streams.DELAY_S])
+def test_late_anomalies_are_in_the_sums_of_the_day(spark, telemetry, lateness_s):
+    path = shared_dir(spark, "t")
+    finish(jobs.anomalies_last_day(detect.threshold_anomalies(streams._delayed(spark, SF)), path, jobs.ALL_NOW, lateness_s))
+    until = jobs.watermark(spark, path)
+    anomalies = detect.threshold_anomalies(telemetry)
+    assert rows(jobs.last_day(jobs.hours_counted(spark, path), until)) == rows(jobs.last_day(state.per_hour(anomalies), until))
+    late = state.late_rows(spark, path, "ts timestamp_ntz").count()
+    assert late > 0 if lateness_s == 600 else late == 0
+
+
 def test_json_messages_and_landing(spark, tmp_path):
     messages = V.raw_messages(spark, SF)
     messages.select("value").write.text(str(tmp_path / "json"))
