@@ -4,8 +4,9 @@ Token ids: 0 is the end of a document, up to ``HEAD`` the most frequent words in
 rarer words and one for all others. Words below ``HEAD`` lie in classes of ``CLASS`` words; a band is a class of its own. The model gives
 P(class | state) and, for head words, P(word | class, state); the share of a word within its band comes from counts.
 
-Documents run in lanes beside each other. A lane goes from document to document; the state is zeroed after each end. Windows
-of ``WINDOW`` steps bound the backward pass only: the state goes on from window to window, so a document's likelihood is whole.
+Documents run in lanes beside each other, each whole in one lane. A lane goes from document to document; the state is zeroed after
+each end. Windows of ``WINDOW`` steps (up to ``LONG_WINDOW`` in training where few lanes go on) bound the backward pass only: the state
+goes on from window to window, so a document's likelihood is whole, and it is trained on with the context that it is scored with.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 HEAD, CLASS, BANDS, STATE = 2048, 64, 8, 16
 HEAD_CLASSES = HEAD // CLASS
 CLASSES = HEAD_CLASSES + BANDS
-WINDOW, TRAIN_LANES, SCORE_LANES, SEGMENT = 16, 256, 512, 1024
+WINDOW, LONG_WINDOW, TRAIN_LANES, SCORE_LANES = 16, 256, 256, 512
 RATE, DECAY_1, DECAY_2, TINY, CLIP, MEAN = 0.01, 0.9, 0.99, 1e-8, 1.0, 0.99
 END = 0
 SHAPES = {
@@ -221,15 +222,19 @@ def train(flat: np.ndarray, blocks) -> tuple[np.ndarray, int]:
     mean, seen = np.zeros(SIZE), 0.0  # of the parameters on the way, the late ones most
     made = tokens = 0
     for documents in blocks:
-        # Long documents are trained on in segments, so that no lane is left alone; every token is used.
-        documents = [d[i : i + SEGMENT] for d in documents for i in range(0, len(d), SEGMENT)]
         ids, owner, size = layout(documents, TRAIN_LANES)
         h = np.zeros((ids.shape[1], STATE), np.float32)
-        for lo in range(0, len(ids), WINDOW):
+        lo = 0
+        while lo < len(ids):
             live = int(np.searchsorted(-size, -lo, "left"))
-            weight = (owner[lo : lo + WINDOW, :live] >= 0).astype(np.float32)
+            if not live:
+                break
+            # The last lanes, of the longest documents, take longer windows: about as many tokens to a step as before.
+            hi = lo + min(WINDOW * max(TRAIN_LANES // live, 1), LONG_WINDOW)
+            weight = (owner[lo:hi, :live] >= 0).astype(np.float32)
             slope[:] = 0
-            h = gradient(p, g, ids[lo : lo + WINDOW, :live], weight, h[:live])
+            h = gradient(p, g, ids[lo:hi, :live], weight, h[:live])
+            lo = hi
             norm = float(np.sqrt(slope @ slope))
             if norm > CLIP:
                 slope *= CLIP / norm

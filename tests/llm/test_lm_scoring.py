@@ -65,6 +65,27 @@ def test_state_is_carried_over_windows_and_not_over_documents():
         assert value == pytest.approx(total, rel=1e-4)
 
 
+def test_long_documents_are_trained_on_in_their_own_context(monkeypatch):
+    """With parameters that stay, the likelihood seen in training is that of scoring."""
+    rng = np.random.default_rng(6)
+    flat = parameters(7)
+    recurrent.views(flat)["classes"][:] *= 10  # the state matters
+    documents = [np.r_[rng.integers(1, recurrent.HEAD, n), 0].astype("<u2") for n in (2500, 1023, 1024, 5000, 20, 700)]
+    seen, real = [], recurrent.gradient
+
+    def watched(p, g, ids, weight, h):
+        states, _ = recurrent._steps(p, ids, h, None)
+        logs = recurrent.likelihood(p, states.reshape(-1, recurrent.STATE), ids.ravel())
+        seen.append(float((logs * weight.ravel()).sum(dtype=np.float64)))
+        return real(p, g, ids, weight, h)
+
+    monkeypatch.setattr(recurrent, "gradient", watched)
+    monkeypatch.setattr(recurrent, "RATE", 0.0)
+    _, tokens = recurrent.train(flat, [documents])
+    assert tokens == sum(map(len, documents))
+    assert sum(seen) == pytest.approx(recurrent.score(flat, documents).sum(), abs=0.05)
+
+
 def test_gradient_is_the_slope_of_the_loss():
     rng = np.random.default_rng(4)
     flat = parameters(5, 0.1)
