@@ -4,7 +4,7 @@ A batch reads the version of the batch before it and writes its own, so a batch
 The pointer is a one-row table per batch, written last; readers take the newest one. Old versions are overwritten in turn.
 
 ``in_order`` gives rows to the batch operators in the order of their time, however they arrive: rows wait until no row
-that is in time can come before them. Rows that come later than the allowed lateness go to a table of their own.
+that is in time can come before them. Rows that come later than the allowed lateness, and rows without time, go to a table of their own.
 """
 
 from __future__ import annotations
@@ -73,7 +73,8 @@ def in_order(stream: DataFrame, path: str, process: Callable[[DataFrame, int, in
              trigger: dict, lateness_s: int = LATENESS_S) -> StreamingQuery:
     """Call ``process(rows, batch, since, versions)`` with rows whose time is complete; ``since`` bounds their times from below.
 
-    Rows wait in a table for ``lateness_s`` seconds of event time. Rows that are later still are appended to ``late``.
+    Rows wait in a table for ``lateness_s`` seconds of event time. Rows that are later still are appended to ``late``,
+    and so are rows without time, which have no place in the order.
     """
     spark = stream.sparkSession
     versions = Versions(spark, path)
@@ -81,9 +82,9 @@ def in_order(stream: DataFrame, path: str, process: Callable[[DataFrame, int, in
     def step(batch: DataFrame, number: int) -> None:
         before, since = versions.pointer(number)
         at = micros("ts")
-        arrived = batch if since is None else batch.where(at >= since)
-        if since is not None:
-            batch.where(at < since).write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        arrived = batch.where(at.isNotNull() if since is None else at >= since)
+        late = batch.where(at.isNull() if since is None else at.isNull() | (at < since))
+        late.write.mode("overwrite").parquet(f"{path}/late/batch={number}")
         waiting = versions.read("waiting", before)
         rows = arrived if waiting is None else waiting.unionByName(arrived)
         newest = batch.agg(F.max(at)).first()[0]

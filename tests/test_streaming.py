@@ -220,6 +220,20 @@ def test_late_anomalies_are_in_the_sums_of_the_day(spark, telemetry, lateness_s)
     assert late > 0 if lateness_s == 600 else late == 0
 
 
+def test_rows_without_time_are_kept_apart(spark, telemetry, tmp_path):
+    columns = ["event_id", "ts", "agent_id", "v"]
+    timeless = telemetry.select(columns).withColumn("ts", F.when(F.col("event_id") % 5 != 0, F.col("ts")))
+    for k in (0, 1):  # in the first batch and in a later one
+        timeless.where((F.col("event_id") >= 500) == bool(k)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    path = shared_dir(spark, "t")
+    finish(jobs.keep_once(table_stream(spark, str(tmp_path / "in"), timeless.schema, files_per_batch=1), path, jobs.ALL_NOW))
+    state.finish(spark, path, state.drop_repeats(path))
+    late = state.late_rows(spark, path, timeless.schema)
+    assert rows(late.where("ts IS NULL")) == rows(timeless.where("ts IS NULL"))
+    assert late.where("ts IS NULL AND event_id < 500").count() > 0 and late.where("ts IS NULL AND event_id >= 500").count() > 0
+    assert rows(jobs.kept_once(spark, path)) == rows(timeless)
+
+
 def test_json_messages_and_landing(spark, tmp_path):
     messages = V.raw_messages(spark, SF)
     messages.select("value").write.text(str(tmp_path / "json"))
