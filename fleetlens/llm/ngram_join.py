@@ -111,7 +111,9 @@ def signatures(texts: DataFrame, k: int) -> DataFrame:
 
 def tree_nodes(sets: DataFrame, runs: int) -> DataFrame:
     """node, rep, m (sets in the node): the nodes to be searched, of all runs."""
-    root = F.array(*[F.xxhash64(F.lit(SEED + i), F.element_at("minima", i + 1)) for i in range(min(runs * BRANCH, COORDINATES))])
+    if runs * BRANCH > COORDINATES:
+        raise ValueError(f"{runs} runs need {runs * BRANCH} coordinates; there are {COORDINATES}: raise the similarity or lower the recall")
+    root = F.array(*[F.xxhash64(F.lit(SEED + i), F.element_at("minima", i + 1)) for i in range(runs * BRANCH)])
     members = sets.select("rep", F.explode(F.array_distinct(root)).alias("node"))
     shared = members.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
     members = stored(members.join(shared, "node").select("node", "rep", "m"), "nodes")

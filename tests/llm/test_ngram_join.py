@@ -94,6 +94,13 @@ def test_one_row_of_each_class_stays(spark):
     assert plain.jaccard_links(texts) == []
 
 
+def test_more_runs_than_coordinates_are_refused(spark):
+    """A recall that cannot be reached is an error, not a lower recall."""
+    assert ngram_join.runs_needed(0.38, 0.99999) * ngram_join.BRANCH > ngram_join.COORDINATES
+    with pytest.raises(ValueError, match="coordinates"):
+        ngram_join.similar_documents(plain.frame(spark), similarity=0.38, recall=0.99999)
+
+
 def test_runs_follow_from_the_recall():
     for s in (0.5, 0.8, 0.95):
         loss = ngram_join.loss_of_a_run(s)
