@@ -141,3 +141,101 @@ def base_scores(rows):
 
 def base32_sha1(data):
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def mixture(rows, weights=(5, 2, 1), share=1.5, limit=2):
+    """Target of each source; rows are (source, size). Shares what is above the limits again and again."""
+    sizes = collections.Counter()
+    for source, size in rows:
+        sizes[source] += size
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, budget, free = {}, share * sum(sizes.values()), set(order)
+    while free:
+        level = budget / sum(weight[s] for s in free)
+        above = {s for s in free if weight[s] * level > limit * sizes[s]}
+        for s in above or free:
+            target[s] = limit * sizes[s] if above else weight[s] * level
+        budget -= sum(target[s] for s in above)
+        free = free - above if above else set()
+    return sizes, target
+
+
+def alignment(text, a, b, a_bytes, b_bytes):
+    """(ids of A, ids of B, groups) of a whole text by two encoders, or None; groups are pairs of id lists."""
+    if not text:
+        return None
+    want = (" " + text).encode()
+    x, y = a(" " + text), b(text)
+    if b"".join(map(a_bytes, x)) != want or b"".join(map(b_bytes, y)) != want:
+        return None
+    groups, i, j, p, q, left, right = [], 0, 0, 0, 0, [], []
+    while i < len(x) or j < len(y):
+        if p <= q and i < len(x):
+            p += len(a_bytes(x[i]))
+            left.append(x[i])
+            i += 1
+        else:
+            q += len(b_bytes(y[j]))
+            right.append(y[j])
+            j += 1
+        if p == q:
+            groups.append((left, right))
+            left, right = [], []
+    return x, y, groups
+
+
+def alignment_rows(texts, *encoders):
+    """(n_a, n_b, n_groups, n_links, n_best, count_sum, digest) of each text."""
+    found = [alignment(t, *encoders) for t in texts]
+    links = [collections.Counter((x, y) for left, right in (f[2] if f else []) for x in left for y in right) for f in found]
+    docs = collections.Counter(pair for held in links for pair in held)
+    best = collections.Counter()
+    for (x, _), n in docs.items():
+        best[x] = max(best[x], n)
+    out = []
+    for f, held in zip(found, links):
+        x, y, groups = f or ([], [], [])
+        text = ";".join(",".join(map(str, left)) + "|" + ",".join(map(str, right)) for left, right in groups)
+        out.append((
+            len(x), len(y), len(groups), sum(held.values()), sum(n for pair, n in held.items() if docs[pair] == best[pair[0]]),
+            sum(n * docs[pair] for pair, n in held.items()), hashlib.sha256(text.encode()).hexdigest() if f else "",
+        ))
+    return out
+
+
+def rebuilt(rows):
+    """conv_id -> turns, from (conv_id, turn, role, text); the first turns come from the first conversation of its hundred."""
+    turns = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.sha256(f"{len(role)}:{role}{text}".encode()).hexdigest()
+            turns[conv].append((turn is not None, turn or 0, digest, role, text))
+    turns = {c: [(role, text) for *_, role, text in sorted(found)] for c, found in turns.items()}
+    out = {}
+    for c, own in turns.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = turns.get(c - int(math.fmod(c, 100)), [])[:h] + own[h:]
+    return out
+
+
+def trie(sequences):
+    """The rows of the prefix trie of conv_id -> turns, as tuples in the order of the query's columns."""
+    members = collections.defaultdict(list)
+    for c, turns in sequences.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    children, out = collections.Counter(k[:-1] for k in members if k), []
+    leaves, saved = collections.Counter(), collections.Counter()
+    for k, found in members.items():
+        for d in range(len(k) + 1):
+            leaves[k[:d]] += not children[k]
+            saved[k[:d]] += (len(found) - 1) * len(k[-1][1]) if k else 0
+    for k, found in members.items():
+        ends = ",".join(str(c) for c in sorted(found) if len(sequences[c]) == len(k))
+        out.append((
+            min(found), len(k), min(members[k[:-1]]) if k else None, len(found), children[k], leaves[k], saved[k],
+            hashlib.sha256(ends.encode()).hexdigest(),
+        ))
+    return sorted(out, key=lambda r: (r[1], r[0]))
