@@ -8,11 +8,11 @@ of depth D takes log2(D) steps. In the end a row is a single turn below its pare
 Totals go back in the same order. For each cut, from the highest to the lowest, the sums of every lower forest are added to
 the node that it hangs from: with the forest's totals in that node, the upper trie holds all that lies below it.
 
-Turns are compared by SHA-256 of role and text. A sequence is kept as chunks of ``CHUNK`` turns, long ones as chunks of
+Turns are compared by the first 128 bits of SHA-256 of role and text, as names of nodes are. A sequence is kept as chunks of ``CHUNK`` turns, long ones as chunks of
 digests of chunks, so no row grows with a conversation; turns are ranked by range, so none fills a task either. Groups are
 summed before the shuffle, so a turn that a third of all conversations share costs a row per task.
 
-A null role or text counts as empty. Turns are in order of ``turn``, null first; equal ones in order of their digest, and repeated rows
+A null role or text counts as empty. Turns are in order of ``turn``, null first; equal ones in order of SHA-256 of role and text, and repeated rows
 are turns of their own. Rows without conv_id belong to no conversation. An empty table has no nodes, not even a root.
 Columns of other names are not read.
 """
@@ -23,7 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.running import in_order
@@ -36,18 +36,25 @@ HUNDRED, SHARED = 100, 6
 _ROW = ["chain", "under", "at", "items", "cut", "end"]
 
 
+def _name(of: Column) -> Column:
+    """128 bits of a SHA-256 digest, as 22 letters."""
+    return F.substring(F.base64(F.unhex(F.substring(F.sha2(of.cast("binary"), 256), 1, 32))), 1, 22)
+
+
 def turns_of(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn and token: SHA-256 of role and text, then the code points of the text."""
+    """conv_id, turn, token (role and text by name, then the code points of the text) and digest, which orders equal turns."""
     role, text = (F.coalesce(c, F.lit("")) for c in ("role", "text"))
-    digest = F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text).cast("binary"), 256)
-    token = F.concat(digest, F.lit(":"), F.length(text).cast("string"))
-    return conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long"), "turn", token.alias("token"))
+    said = F.concat(F.length(role).cast("string"), F.lit(":"), role, text)
+    token = F.concat(_name(said), F.lit(":"), F.length(text).cast("string"))
+    digest = F.sha2(said.cast("binary"), 256)
+    return conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long"), "turn", token.alias("token"), digest.alias("digest"))
 
 
 def with_shared_turns(turns: DataFrame, hundred: int = HUNDRED, shared: int = SHARED) -> tuple[DataFrame, DataFrame]:
     """Turns (conv_id, place, token) and lengths (conv_id, length) once each conversation starts with the first h turns of the first
     conversation of its hundred, h being a checksum of its id modulo ``shared``; its own first h turns go."""
-    laid = in_order(turns, [F.col("conv_id"), F.asc_nulls_first("turn"), F.col("token")], "trie-turns")
+    turns = turns.withColumn("digest", F.substring("digest", 1, 16))  # hexadecimal: keeps the order of all but one pair in 2**64
+    laid = in_order(turns, [F.col("conv_id"), F.asc_nulls_first("turn"), F.col("digest")], "trie-turns")
     # A long conversation lies in many ranges: what its rows need to know of it goes to each by range, not to one place.
     parts = stored(laid.groupBy("conv_id", "_part").agg(F.min("_place").alias("_lo"), F.count("*").alias("_n")), "trie-parts")
     convs = parts.groupBy("conv_id").agg(F.min("_lo").alias("_first"), F.sum("_n").alias("_own"))
@@ -82,7 +89,7 @@ def _cut(rows: DataFrame, half: int) -> DataFrame:
     the last turn of that conversation and is not merged.
     """
     left, right = F.slice("items", 1, half), F.slice("items", half + 1, half)
-    name = F.sha2(F.concat(F.col("under"), F.lit("/"), F.array_join(left, ",")).cast("binary"), 256)
+    name = _name(F.concat(F.col("under"), F.lit("/"), F.array_join(left, ",")))
     rows = rows.withColumn("_left", left).withColumn("_right", right).withColumn("_name", name)
     none, go_on = F.lit(None), F.size("_right") > 0
     above = F.array_append("chain", F.lit(""))
@@ -103,8 +110,8 @@ def _recursion(sequences: DataFrame, longest: int) -> tuple[DataFrame, int]:
     tiers = [stored(_chunks(sequences, "token"), "trie-chunks")]
     size = -(-longest // CHUNK)
     while size > 1:
-        digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
-        tiers.append(stored(_chunks(tiers[-1].withColumn("_digest", digest), "_digest"), "trie-chunks"))
+        digest = tiers[-1].withColumn("_digest", _name(F.array_join("items", ",")))
+        tiers.append(stored(_chunks(digest, "_digest"), "trie-chunks"))
         size = -(-size // CHUNK)
     top = tiers.pop()
     widest = top.agg(F.max(F.size("items"))).first()[0]
@@ -180,7 +187,7 @@ def prefix_trie(sequences: DataFrame, lengths: DataFrame) -> DataFrame:
     else:
         rows, cuts = _recursion(sequences, longest)
     token = F.get("items", 0)
-    rows = rows.withColumn("id", F.sha2(F.concat("under", F.lit("/"), token).cast("binary"), 256)).withColumn("token", token)
+    rows = rows.withColumn("id", _name(F.concat("under", F.lit("/"), token))).withColumn("token", token)
     nodes = rows.groupBy("id", "chain", "under", "at", "token").agg(F.min("c").alias("conv_id"), F.sum("n").alias("n_convs"), F.max("cut").alias("cut"))
     children = rows.select("id", "under").distinct().groupBy(F.col("under").alias("_of")).agg(F.count("*").alias("n_children"))
     nodes = nodes.join(children, nodes["cut"] == children["_of"], "left").drop("_of")
