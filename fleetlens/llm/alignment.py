@@ -4,9 +4,9 @@ A is a byte-level BPE over blank + text; B a sentence-piece BPE over text, which
 stretch of a text the cumulative byte ends of both token lists become dictionaries from end to index; their common keys, in order, cut
 both lists into groups; within a group every token of A is linked with every token of B.
 
-A text is cut into stretches before blanks that follow other characters. Both tokenizers always end a token there: pre-tokens of A
-hold a blank in front only, and B has no piece with a blank after another character (checked when the vocabulary is read; if it
-has one, texts stay whole). So stretches are aligned alone, each distinct one once per worker, and groups never cross a cut.
+A text is cut into stretches before blanks, between letters and punctuation, and around line ends. Both tokenizers always end a token
+there: a pre-token of A ends, and B has no piece that goes on (checked when the vocabulary is read; if it has one, texts stay
+whole). So stretches are aligned alone, each distinct one once per worker, and groups never cross a cut.
 
 1. One pass writes per document its counts, the digest of its groups, and its distinct id pairs with the number of their links.
 2. Pairs are counted over all documents (partial sums before the shuffle), and the highest count of each id of A is found.
@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +35,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.session import documents, stored
-from fleetlens.llm.tokens import BLANK, Cached, public_path, tokenizer
+from fleetlens.llm.tokens import public_path, tokenizer
 from fleetlens.llm.words import pieces
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 FREQUENT = 200_000
 SPACE = "▁"  # how sentence pieces write a blank
-_CUT = re.compile("(?<=[!-~À-ÿ])(?= +[^ ])")
+LISTED = 4_096
+# Before blanks that follow another character; between a letter or digit and punctuation (an apostrophe may take letters with it);
+# on both sides of a line end that stands alone. White space is otherwise left as it stands, as tokens of A depend on what follows it.
+_LETTER, _MARK, _SEEN = "A-Za-zÀ-ÖØ-öø-ÿ0-9", "!-&(-/:-@\\[-`{-~", "!-~À-ÿ"
+_CUT = re.compile(
+    f"(?<=[{_SEEN}])(?= +[^ ])|(?<=[{_LETTER}])(?=[{_MARK}])|(?<=[{_MARK}])(?=[{_LETTER}])|(?<=[{_SEEN}])(?=\n)|(?<=[{_SEEN}]\n)(?=[{_SEEN}])"
+)
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_RUN = re.compile("[ \n][ \n]")
 _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -52,14 +63,7 @@ def _letters() -> dict[str, int]:
 
 def groups_of(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int, int, int]]:
     """Index ranges (a from, a to, b from, b to) between the byte offsets at which tokens of both lists end."""
-    a_ends, b_ends, at = {}, {}, 0
-    for i, n in enumerate(a_sizes, 1):
-        at += n
-        a_ends[at] = i
-    at = 0
-    for i, n in enumerate(b_sizes, 1):
-        at += n
-        b_ends[at] = i
+    a_ends, b_ends = (dict(zip(accumulate(sizes), range(1, len(sizes) + 1))) for sizes in (a_sizes, b_sizes))
     out, a, b = [], 0, 0
     for end in sorted(a_ends.keys() & b_ends.keys()):
         out.append((a, a_ends[end], b, b_ends[end]))
@@ -67,17 +71,38 @@ def groups_of(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int, in
     return out
 
 
-class Aligner(Cached):
-    """stretch -> (groups as text, the four counts, its pairs, the links of each pair) as bytes; None where its bytes differ."""
+class Kept(dict):
+    """key -> what ``make`` gives for it; of the keys not asked for lately, those beyond ``most`` are forgotten. It only saves time."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most // 2:
+            self.older = dict(self)
+            self.clear()
+        out = self.older.get(key, self)  # itself: not there; None is a value
+        if out is self:
+            out = self.make(key)
+        self[key] = out
+        return out
+
+
+class Aligner:
+    """Stretches aligned: (groups as text, the four counts, its links as pairs, None) as bytes; the last is the links of each pair where they
+    are too many to be listed one by one. None where the bytes of its tokens differ."""
+
+    most_words, most_parts = 500_000, 150_000  # held by a worker: about 300 MB in all
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
-        super().__init__(self._align)
         self.a = tokenizer(a_path, True)
         self.a_model = self.a.model
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = _letters()
+        self.spelling = {b: c for c, b in letters.items()}
         self.a_bytes = {}
         for word, i in self.a.get_vocab(with_added_tokens=False).items():
             self.a_bytes[i] = bytes(letters[c] for c in word)
@@ -85,16 +110,23 @@ class Aligner(Cached):
         self.b_bytes = [
             bytes([int(_BYTE_PIECE.fullmatch(p)[1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(every)
         ]
-        self.parts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in every)
+        self.before = self.b.encode("\n")  # what the blank that B adds and a line end become
+        plain = [p.replace(SPACE, " ") for i, p in enumerate(every) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        self.parts = not any("\n" in p or any(0 < m.start() < len(p) for m in _CUT.finditer(p + "a")) for p in plain)
+
+        self.stretch = Kept(self._align, self.most_parts)
+        self.blank = Kept(lambda word: self._joined(" " + word), self.most_words)  # of words after a blank
+        self.bare = Kept(self._joined, self.most_parts)
+        self.line_end = self._align("\n")
 
     def ids(self, stretch: str) -> tuple[list[int], list[int]]:
-        """Ids of a stretch that starts with a blank."""
-        word = stretch[1:]
-        if word.isascii() and word.isalpha():  # one pre-token
-            a = [t.id for t in self.a_model.tokenize(BLANK + word)]
+        if _WORD.fullmatch(stretch):  # one pre-token
+            a = [t.id for t in self.a_model.tokenize(stretch.encode().decode("latin-1").translate(self.spelling))]
         else:
             a = self.a.encode(stretch, add_special_tokens=False).ids
-        return a, self.b.encode(word)
+        if stretch[0] == " ":
+            return a, self.b.encode(stretch[1:])
+        return a, self.b.encode("\n" + stretch)[len(self.before) :]
 
     def _align(self, stretch: str):
         a, b = self.ids(stretch)
@@ -103,29 +135,71 @@ class Aligner(Cached):
         if b"".join(a_parts) != data or b"".join(b_parts) != data:
             return None
         groups = groups_of(list(map(len, a_parts)), list(map(len, b_parts)))
-        links: Counter = Counter()
-        texts, total = [], 0
+        texts, links, total = [], [], 0
         for a0, a1, b0, b1 in groups:
             if a1 - a0 == 1 and b1 - b0 == 1:
                 texts.append(f"{a[a0]}|{b[b0]}")
-                links[a[a0] << 32 | b[b0]] += 1
                 total += 1
-                continue
-            some_a, some_b = a[a0:a1], b[b0:b1]
-            texts.append(f"{','.join(map(str, some_a))}|{','.join(map(str, some_b))}")
-            total += len(some_a) * len(some_b)
-            times = Counter(some_b).items()
-            for x, m in Counter(some_a).items():
-                for y, n in times:
-                    links[x << 32 | y] += m * n
-        counts = np.array([len(a), len(b), len(groups), total], np.int64)
-        n = len(links)
-        return (
-            ";".join(texts), counts.tobytes(), np.fromiter(links.keys(), np.int64, n).tobytes(), np.fromiter(links.values(), np.int64, n).tobytes()
-        )
-
-    def stretches(self, text: str) -> list[str]:
-        return _CUT.split(" " + text) if self.parts else [" " + text]
+            else:
+                texts.append(f"{','.join(map(str, a[a0:a1]))}|{','.join(map(str, b[b0:b1]))}")
+                total += (a1 - a0) * (b1 - b0)
+        if total <= LISTED:
+            for a0, a1, b0, b1 in groups:
+                links += [x << 32 | y for x in a[a0:a1] for y in b[b0:b1]]
+            times = None
+        else:
+            sums: Counter = Counter()
+            for a0, a1, b0, b1 in groups:
+                right = Counter(b[b0:b1]).items()
+                for x, m in Counter(a[a0:a1]).items():
+                    for y, n in right:
+                        sums[x << 32 | y] += m * n
+            links, times = list(sums), array("q", sums.values()).tobytes()
+        return ";".join(texts), array("q", (len(a), len(b), len(groups), total)).tobytes(), array("q", links).tobytes(), times
+
+    def _joined(self, word: str):
+        """A word from its stretches."""
+        parts = _CUT.split(word) if self.parts else [word]
+        if len(parts) == 1:
+            return self._align(word)
+        found = [self.stretch[p] for p in parts]
+        if None in found or any(f[3] for f in found):
+            return None if None in found else self._align(word)
+        texts, counts, links, _ = zip(*found)
+        return ";".join(texts), np.frombuffer(b"".join(counts), np.int64).reshape(-1, 4).sum(axis=0).tobytes(), b"".join(links), None
+
+    def text(self, text: str) -> list:
+        """The parts of blank + ``text``, in order."""
+        if not self.parts:
+            return [self._align(" " + text)]
+        n = text.count("\n")
+        if not (_OTHER_SPACE.search(text) or _RUN.search(" " + text + " ")):  # words with one blank or line end between them, and none around
+            words = self.blank.__getitem__
+            if not n:
+                return list(map(words, text.split(" ")))
+            out: list = []
+            for i, line in enumerate(text.split("\n")):
+                first, *more = line.split(" ")
+                if i:
+                    out.append(self.line_end)
+                    out.append(self.bare[first])
+                else:
+                    out.append(words(first))
+                out += map(words, more)
+            return out
+        return list(map(self.stretch.__getitem__, _CUT.split(" " + text)))
+
+
+def pair_sums(codes: tuple[bytes, ...], times: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, ascending, and their links; a part without ``times`` lists each link."""
+    every = np.frombuffer(b"".join(codes), np.int64)
+    if not any(times):
+        return np.unique(every, return_counts=True)
+    weight = np.concatenate([np.frombuffer(t, np.int64) if t else np.ones(len(c) // 8, np.int64) for c, t in zip(codes, times)])
+    code, inverse = np.unique(every, return_inverse=True)
+    total = np.zeros(len(code), np.int64)
+    np.add.at(total, inverse, weight)
+    return code, total
 
 
 @lru_cache(maxsize=2)
@@ -155,7 +229,7 @@ def align(
                 numbers = np.zeros((part.num_rows, 4), np.int64)
                 digests, texts, pairs, times = [], [], [], []
                 for i, text in enumerate(part.column("_text").to_pylist()):
-                    found = list(map(known.__getitem__, known.stretches(text))) if text else [None]
+                    found = known.text(text) if text else [None]
                     if None in found:
                         digests.append("")
                         texts.append("")
@@ -167,9 +241,7 @@ def align(
                     said = ";".join(said)
                     digests.append(hashlib.sha256(said.encode()).hexdigest())
                     texts.append(said if groups else "")
-                    code, inverse = np.unique(np.frombuffer(b"".join(codes), np.int64), return_inverse=True)
-                    total = np.zeros(len(code), np.int64)
-                    np.add.at(total, inverse, np.frombuffer(b"".join(links), np.int64))
+                    code, total = pair_sums(codes, links)
                     pairs.append(code)
                     times.append(total)
                 columns = [part.column("_row"), part.column("doc_id"), *(pa.array(numbers[:, k]) for k in range(4)), pa.array(digests, pa.string())]

@@ -61,16 +61,38 @@ def test_stretches_have_the_tokens_of_the_whole(encoders):
     known = alignment.aligner(public_path(alignment.A_FILE), public_path(alignment.B_FILE))
     assert known.parts
     marks = ["a", "the", "B", " ", " ", "  ", "\n", "\t", "é", "É", "!", "'s", "3", "…", "漢", "́", " ", "　", "<|endoftext|>", "<s>", "ß", "×", "▁", "\x00", "👍", "‍"]
-    for _ in range(1_500):
-        text = "".join(rng.choice(marks) for _ in range(rng.randint(1, 30)))
+    words = ["the", "Été", "don't", "end.", "(a", "b)", "x,y;z", "3rd", "漢", "naïve", "***", "a'.'s", "\x1c", "👍", "..", "é!1"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(1, 30))) for _ in range(1_500)]
+    texts += ["".join(rng.choice(words) + rng.choice("   \n") for _ in range(rng.randint(1, 20)))[:-1] for _ in range(1_500)]
+    for text in texts:
         want = plain.alignment(text, *encoders)
-        found = [known[s] for s in known.stretches(text)]
+        found = known.text(text)
         if want is None:
             assert None in found, repr(text)
         else:
             assert ";".join(f[0] for f in found) == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in want[2]), repr(text)
 
 
+def test_many_links_in_a_stretch_are_added_up(encoders):
+    """Few common ends: the letters stand in long pieces on one side and alone on the other."""
+    known = alignment.aligner(public_path(alignment.A_FILE), public_path(alignment.B_FILE))
+    for text in ("x" * 5_000, "=" * 3_001 + " end", "ÿ" * 800, "ab" * 2_000 + "\n" + "𓀀" * 900):
+        want = plain.alignment(text, *encoders)
+        texts, counts, links, times = zip(*known.text(text))
+        pairs, n = alignment.pair_sums(links, times)
+        held = plain.collections.Counter(x << 32 | y for left, right in want[2] for x in left for y in right)
+        assert dict(zip(pairs.tolist(), n.tolist())) == held and ";".join(texts).count(";") == len(want[2]) - 1
+
+
+def test_forgotten_stretches_are_aligned_again():
+    made = []
+    kept = alignment.Kept(lambda k: made.append(k) or (None if k % 5 == 0 else k), 8)
+    for k in [0, 1, 2, 3, 4, 5, 0, 1, *range(20), 0, 19]:
+        assert kept[k] == (None if k % 5 == 0 else k)
+        assert len(kept) + len(kept.older) <= 8
+    assert made.count(0) == 2 and made.count(19) == 1
+
+
 def test_groups_lie_between_common_ends():
     assert alignment.groups_of([2, 1, 3], [1, 2, 3]) == [(0, 2, 0, 2), (2, 3, 2, 3)]
     assert alignment.groups_of([], []) == []
