@@ -4,9 +4,9 @@ A is a byte-level BPE over blank + text; B a sentence-piece BPE over text, which
 stretch of a text the cumulative byte ends of both token lists become dictionaries from end to index; their common keys, in order, cut
 both lists into groups; within a group every token of A is linked with every token of B.
 
-A text is cut into stretches before blanks, between letters and punctuation, and around line ends. Both tokenizers always end a token
-there: a pre-token of A ends, and B has no piece that goes on (checked when the vocabulary is read; if it has one, texts stay
-whole). So stretches are aligned alone, each distinct one once per worker, and groups never cross a cut.
+Long texts are cut every ``LONG`` characters or later, at a blank between two visible characters. Both tokenizers always end a token there: a
+pre-token of A ends, and B has no piece that goes on (checked when the vocabulary is read; if it has one, texts stay whole). So parts
+are aligned alone, no list grows with a text, and groups never cross a cut.
 
 1. One pass writes per document its counts, the digest of its groups, and its distinct id pairs with the number of their links.
 2. Pairs are counted over all documents (partial sums before the shuffle), and the highest count of each id of A is found.
@@ -22,12 +22,11 @@ distinct ids of A times those of B, whatever its length.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from array import array
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +40,11 @@ from fleetlens.llm.words import pieces
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 FREQUENT = 200_000
 SPACE = "▁"  # how sentence pieces write a blank
-LISTED = 4_096
-# Before blanks that follow another character; between a letter or digit and punctuation (an apostrophe may take letters with it);
-# on both sides of a line end that stands alone. White space is otherwise left as it stands, as tokens of A depend on what follows it.
-_LETTER, _MARK, _SEEN = "A-Za-zÀ-ÖØ-öø-ÿ0-9", "!-&(-/:-@\\[-`{-~", "!-~À-ÿ"
-_CUT = re.compile(
-    f"(?<=[{_SEEN}])(?= +[^ ])|(?<=[{_LETTER}])(?=[{_MARK}])|(?<=[{_MARK}])(?=[{_LETTER}])|(?<=[{_SEEN}])(?=\n)|(?<=[{_SEEN}]\n)(?=[{_SEEN}])"
-)
-_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_RUN = re.compile("[ \n][ \n]")
+LONG, LISTED = 200_000, 4_096
+_CUT = re.compile("(?<=[!-~À-ÿ])(?= [!-~À-ÿ])")
+# Beyond these characters the two libraries for A may class letters and white space by other versions of Unicode.
+_OTHER = re.compile("[^\\t\\n\\r -~\\xa1-\\u024f]")
+_RUN = re.compile(r"\S{2000}")  # one piece for A, for which only one of the libraries is fast
 _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -61,144 +55,104 @@ def _letters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
-def groups_of(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int, int, int]]:
-    """Index ranges (a from, a to, b from, b to) between the byte offsets at which tokens of both lists end."""
-    a_ends, b_ends = (dict(zip(accumulate(sizes), range(1, len(sizes) + 1))) for sizes in (a_sizes, b_sizes))
-    out, a, b = [], 0, 0
-    for end in sorted(a_ends.keys() & b_ends.keys()):
-        out.append((a, a_ends[end], b, b_ends[end]))
-        a, b = a_ends[end], b_ends[end]
-    return out
-
-
-class Kept(dict):
-    """key -> what ``make`` gives for it; of the keys not asked for lately, those beyond ``most`` are forgotten. It only saves time."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most, self.older = make, most, {}
-
-    def __missing__(self, key):
-        if len(self) >= self.most // 2:
-            self.older = dict(self)
-            self.clear()
-        out = self.older.get(key, self)  # itself: not there; None is a value
-        if out is self:
-            out = self.make(key)
-        self[key] = out
-        return out
-
-
 class Aligner:
-    """Stretches aligned: (groups as text, the four counts, its links as pairs, None) as bytes; the last is the links of each pair where they
-    are too many to be listed one by one. None where the bytes of its tokens differ."""
-
-    most_words, most_parts = 500_000, 150_000  # held by a worker: about 300 MB in all
-
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
         self.a = tokenizer(a_path, True)
-        self.a_model = self.a.model
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = _letters()
-        self.spelling = {b: c for c, b in letters.items()}
-        self.a_bytes = {}
-        for word, i in self.a.get_vocab(with_added_tokens=False).items():
-            self.a_bytes[i] = bytes(letters[c] for c in word)
+        vocabulary = self.a.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for word, i in vocabulary.items():
+            self.a_bytes[i] = bytes(letters.get(c, 0) for c in word)
         every = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [
             bytes([int(_BYTE_PIECE.fullmatch(p)[1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(every)
         ]
-        self.before = self.b.encode("\n")  # what the blank that B adds and a line end become
-        plain = [p.replace(SPACE, " ") for i, p in enumerate(every) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
-        self.parts = not any("\n" in p or any(0 < m.start() < len(p) for m in _CUT.finditer(p + "a")) for p in plain)
-
-        self.stretch = Kept(self._align, self.most_parts)
-        self.blank = Kept(lambda word: self._joined(" " + word), self.most_words)  # of words after a blank
-        self.bare = Kept(self._joined, self.most_parts)
-        self.line_end = self._align("\n")
-
-    def ids(self, stretch: str) -> tuple[list[int], list[int]]:
-        if _WORD.fullmatch(stretch):  # one pre-token
-            a = [t.id for t in self.a_model.tokenize(stretch.encode().decode("latin-1").translate(self.spelling))]
-        else:
-            a = self.a.encode(stretch, add_special_tokens=False).ids
-        if stretch[0] == " ":
-            return a, self.b.encode(stretch[1:])
-        return a, self.b.encode("\n" + stretch)[len(self.before) :]
-
-    def _align(self, stretch: str):
-        a, b = self.ids(stretch)
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        data = stretch.encode("utf-8", "replace")
-        if b"".join(a_parts) != data or b"".join(b_parts) != data:
+        self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.marked = [f"{i}{mark}" for ids, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for mark in marks for i in range(len(ids))]
+        self.parts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in every)
+        self.quick = self._ranked(a_path, vocabulary)
+
+    def _ranked(self, path: str, vocabulary: dict[str, int]):
+        """The same tokenizer by ranks, if its merges come in the order of the ids that they make; else None."""
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        made = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in merges]
+        ranks = {self.a_bytes[i]: i for i in vocabulary.values()}
+        if sorted(made) != made or made[:1] == [-1] or len(set(made)) < len(made) or len(ranks) != len(made) + 256:
+            return None
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def a_ids(self, text: str) -> list[int]:
+        if self.quick and not (_OTHER.search(text) or _RUN.search(text)):
+            return self.quick(text)
+        return self.a.encode(text, add_special_tokens=False).ids
+
+    def align(self, part: str):
+        """A part that starts with a blank: n_a, n_b, n_groups, n_links, its groups as text, its pairs and the links of each; None if its bytes differ."""
+        a, b = self.a_ids(part), self.b.encode(part[1:])
+        data = part.encode("utf-8", "replace")
+        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
             return None
-        groups = groups_of(list(map(len, a_parts)), list(map(len, b_parts)))
-        texts, links, total = [], [], 0
-        for a0, a1, b0, b1 in groups:
-            if a1 - a0 == 1 and b1 - b0 == 1:
-                texts.append(f"{a[a0]}|{b[b0]}")
-                total += 1
-            else:
-                texts.append(f"{','.join(map(str, a[a0:a1]))}|{','.join(map(str, b[b0:b1]))}")
-                total += (a1 - a0) * (b1 - b0)
-        if total <= LISTED:
-            for a0, a1, b0, b1 in groups:
-                links += [x << 32 | y for x in a[a0:a1] for y in b[b0:b1]]
-            times = None
-        else:
-            sums: Counter = Counter()
-            for a0, a1, b0, b1 in groups:
-                right = Counter(b[b0:b1]).items()
-                for x, m in Counter(a[a0:a1]).items():
-                    for y, n in right:
-                        sums[x << 32 | y] += m * n
-            links, times = list(sums), array("q", sums.values()).tobytes()
-        return ";".join(texts), array("q", (len(a), len(b), len(groups), total)).tobytes(), array("q", links).tobytes(), times
-
-    def _joined(self, word: str):
-        """A word from its stretches."""
-        parts = _CUT.split(word) if self.parts else [word]
-        if len(parts) == 1:
-            return self._align(word)
-        found = [self.stretch[p] for p in parts]
-        if None in found or any(f[3] for f in found):
-            return None if None in found else self._align(word)
-        texts, counts, links, _ = zip(*found)
-        return ";".join(texts), np.frombuffer(b"".join(counts), np.int64).reshape(-1, 4).sum(axis=0).tobytes(), b"".join(links), None
-
-    def text(self, text: str) -> list:
-        """The parts of blank + ``text``, in order."""
-        if not self.parts:
-            return [self._align(" " + text)]
-        n = text.count("\n")
-        if not (_OTHER_SPACE.search(text) or _RUN.search(" " + text + " ")):  # words with one blank or line end between them, and none around
-            words = self.blank.__getitem__
-            if not n:
-                return list(map(words, text.split(" ")))
-            out: list = []
-            for i, line in enumerate(text.split("\n")):
-                first, *more = line.split(" ")
-                if i:
-                    out.append(self.line_end)
-                    out.append(self.bare[first])
-                else:
-                    out.append(words(first))
-                out += map(words, more)
-            return out
-        return list(map(self.stretch.__getitem__, _CUT.split(" " + text)))
-
-
-def pair_sums(codes: tuple[bytes, ...], times: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs, ascending, and their links; a part without ``times`` lists each link."""
-    every = np.frombuffer(b"".join(codes), np.int64)
-    if not any(times):
-        return np.unique(every, return_counts=True)
-    weight = np.concatenate([np.frombuffer(t, np.int64) if t else np.ones(len(c) // 8, np.int64) for c, t in zip(codes, times)])
-    code, inverse = np.unique(every, return_inverse=True)
+        a_cuts, b_cuts = cuts_of(map(self.a_size.__getitem__, a), map(self.b_size.__getitem__, b))
+        a, b, a_cuts, b_cuts = (np.array(x, np.int64) for x in (a, b, a_cuts, b_cuts))
+        pairs, times = links_of(a, b, a_cuts, b_cuts)
+        return len(a), len(b), len(a_cuts), int(times.sum()), self.text(a, b, a_cuts, b_cuts), pairs, times
+
+    def text(self, a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> str:
+        """The groups as ``a1,a2|b1;a3|b2,b3``: each id with the mark that follows it, those of A before those of B in each group."""
+        n_a, n_b = np.diff(a_cuts, prepend=0), np.diff(b_cuts, prepend=0)
+        a, b = a.copy(), b + 2 * len(self.a_bytes)
+        a[a_cuts - 1] += len(self.a_bytes)
+        b[b_cuts - 1] += len(self.b_bytes)
+        every = np.empty(len(a) + len(b), np.int64)
+        every[np.arange(len(a)) + np.repeat(b_cuts - n_b, n_a)] = a
+        every[np.arange(len(b)) + np.repeat(a_cuts, n_b)] = b
+        return "".join(map(self.marked.__getitem__, every.tolist()))[:-1]
+
+    def cut(self, text: str) -> Iterator[str]:
+        """Blank + ``text`` in parts that start with a blank."""
+        text, lo = " " + text, 0
+        while self.parts and len(text) - lo > LONG:
+            found = _CUT.search(text, lo + LONG)
+            if not found:
+                break
+            yield text[lo : found.start()]
+            lo = found.start()
+        yield text[lo:]
+
+
+def cuts_of(a_sizes: Iterable[int], b_sizes: Iterable[int]) -> tuple[list[int], list[int]]:
+    """How many tokens of A and of B lie before each byte offset at which tokens of both end."""
+    a_ends, b_ends = (dict(zip(accumulate(sizes), count(1))) for sizes in (a_sizes, b_sizes))
+    common = sorted(a_ends.keys() & b_ends.keys())
+    return list(map(a_ends.__getitem__, common)), list(map(b_ends.__getitem__, common))
+
+
+def links_of(a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, ascending, and their links: every token of A in a group with every token of B in it."""
+    n_a, n_b = np.diff(a_cuts, prepend=0), np.diff(b_cuts, prepend=0)
+    listed = n_a * n_b <= LISTED
+    n = np.repeat(np.where(listed, n_b, 0), n_a)  # links of each token of A
+    first = np.repeat(b_cuts - n_b, n_a)
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - first, n)
+    codes, times = np.unique(np.repeat(a, n) << 32 | b[at], return_counts=True)
+    for g in np.flatnonzero(~listed):  # a long group: by its distinct ids
+        x, m = np.unique(a[a_cuts[g] - n_a[g] : a_cuts[g]], return_counts=True)
+        y, k = np.unique(b[b_cuts[g] - n_b[g] : b_cuts[g]], return_counts=True)
+        codes, times = added(np.r_[codes, (x[:, None] << 32 | y).ravel()], np.r_[times, (m[:, None] * k).ravel()])
+    return codes, times
+
+
+def added(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    code, inverse = np.unique(codes, return_inverse=True)
     total = np.zeros(len(code), np.int64)
-    np.add.at(total, inverse, weight)
+    np.add.at(total, inverse, times)
     return code, total
 
 
@@ -229,19 +183,26 @@ def align(
                 numbers = np.zeros((part.num_rows, 4), np.int64)
                 digests, texts, pairs, times = [], [], [], []
                 for i, text in enumerate(part.column("_text").to_pylist()):
-                    found = known.text(text) if text else [None]
-                    if None in found:
+                    n, digest, said, held = np.zeros(4, np.int64), hashlib.sha256(), [], []
+                    for found in map(known.align, known.cut(text) if text else ()):
+                        if found is None:
+                            held = []
+                            break
+                        n += found[:4]
+                        digest.update((";" if held else "").encode() + found[4].encode())
+                        held.append(found[5:])
+                        if groups:
+                            said.append(found[4])
+                    if not held:
                         digests.append("")
                         texts.append("")
                         pairs.append(none)
                         times.append(none)
                         continue
-                    said, n, codes, links = zip(*found)
-                    numbers[i] = np.frombuffer(b"".join(n), np.int64).reshape(-1, 4).sum(axis=0)
-                    said = ";".join(said)
-                    digests.append(hashlib.sha256(said.encode()).hexdigest())
-                    texts.append(said if groups else "")
-                    code, total = pair_sums(codes, links)
+                    numbers[i] = n
+                    digests.append(digest.hexdigest())
+                    texts.append(";".join(said))
+                    code, total = held[0] if len(held) == 1 else added(*(np.concatenate(c) for c in zip(*held)))
                     pairs.append(code)
                     times.append(total)
                 columns = [part.column("_row"), part.column("doc_id"), *(pa.array(numbers[:, k]) for k in range(4)), pa.array(digests, pa.string())]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import plain
 import pyarrow.parquet as pq
 import pytest
@@ -56,47 +57,67 @@ def test_registered_query_like_brute_force(spark, encoders):
     assert len(got) == len(want)
 
 
-def test_stretches_have_the_tokens_of_the_whole(encoders):
+def said(groups):
+    return ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+
+
+@pytest.fixture()
+def known():
+    found = alignment.aligner(public_path(alignment.A_FILE), public_path(alignment.B_FILE))
+    assert found.parts and found.quick
+    return found
+
+
+@pytest.mark.parametrize("long", [3, 10, alignment.LONG])
+def test_parts_have_the_tokens_of_the_whole(encoders, known, monkeypatch, long):
+    monkeypatch.setattr(alignment, "LONG", long)
     rng = random.Random(9)
-    known = alignment.aligner(public_path(alignment.A_FILE), public_path(alignment.B_FILE))
-    assert known.parts
-    marks = ["a", "the", "B", " ", " ", "  ", "\n", "\t", "é", "É", "!", "'s", "3", "…", "漢", "́", " ", "　", "<|endoftext|>", "<s>", "ß", "×", "▁", "\x00", "👍", "‍"]
-    words = ["the", "Été", "don't", "end.", "(a", "b)", "x,y;z", "3rd", "漢", "naïve", "***", "a'.'s", "\x1c", "👍", "..", "é!1"]
+    marks = ["a", "the", "B", " ", " ", "  ", "\n", "\t", "é", "É", "!", "'s", "3", "…", "漢", "\u0301", "\u00a0", "\u3000", "<|endoftext|>", "<s>", "ß", "×", "▁",
+             "\x00", "👍", "\u200d", "\x1c", "\x85", "\r\n", "ǆ", "½", "²", "ª"]
+    words = ["the", "Été", "don't", "end.", "(a", "b)", "x,y;z", "3rd", "漢", "naïve", "***", "a'.'s", "\x1c", "👍", "..", "é!1", "1½"]
     texts = ["".join(rng.choice(marks) for _ in range(rng.randint(1, 30))) for _ in range(1_500)]
+    texts += ["".join(rng.choice(marks[:13] + marks[-4:]) for _ in range(rng.randint(1, 30))) for _ in range(1_500)]
     texts += ["".join(rng.choice(words) + rng.choice("   \n") for _ in range(rng.randint(1, 20)))[:-1] for _ in range(1_500)]
     for text in texts:
         want = plain.alignment(text, *encoders)
-        found = known.text(text)
+        found = list(map(known.align, known.cut(text)))
         if want is None:
             assert None in found, repr(text)
         else:
-            assert ";".join(f[0] for f in found) == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in want[2]), repr(text)
+            assert ";".join(f[4] for f in found) == said(want[2]), repr(text)
+
+
+def test_a_long_text_is_cut(encoders, known):
+    text = plain.sentence(random.Random(3), 60_000)
+    found = list(map(known.align, known.cut(text)))
+    assert len(found) > 1 and ";".join(f[4] for f in found) == said(plain.alignment(text, *encoders)[2])
 
 
-def test_many_links_in_a_stretch_are_added_up(encoders):
+def test_many_links_in_a_group_are_added_up(encoders, known):
     """Few common ends: the letters stand in long pieces on one side and alone on the other."""
-    known = alignment.aligner(public_path(alignment.A_FILE), public_path(alignment.B_FILE))
     for text in ("x" * 5_000, "=" * 3_001 + " end", "ÿ" * 800, "ab" * 2_000 + "\n" + "𓀀" * 900):
         want = plain.alignment(text, *encoders)
-        texts, counts, links, times = zip(*known.text(text))
-        pairs, n = alignment.pair_sums(links, times)
+        (_, _, _, n_links, groups, pairs, times), = map(known.align, known.cut(text))
         held = plain.collections.Counter(x << 32 | y for left, right in want[2] for x in left for y in right)
-        assert dict(zip(pairs.tolist(), n.tolist())) == held and ";".join(texts).count(";") == len(want[2]) - 1
+        assert dict(zip(pairs.tolist(), times.tolist())) == held and groups == said(want[2]) and n_links == sum(held.values())
 
 
-def test_forgotten_stretches_are_aligned_again():
-    made = []
-    kept = alignment.Kept(lambda k: made.append(k) or (None if k % 5 == 0 else k), 8)
-    for k in [0, 1, 2, 3, 4, 5, 0, 1, *range(20), 0, 19]:
-        assert kept[k] == (None if k % 5 == 0 else k)
-        assert len(kept) + len(kept.older) <= 8
-    assert made.count(0) == 2 and made.count(19) == 1
+def test_long_groups_go_by_distinct_ids(monkeypatch):
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 5, 60), rng.integers(0, 4, 50)
+    cuts = np.array([3, 20, 21, 60]), np.array([1, 30, 40, 50])
+    want = alignment.links_of(a, b, *cuts)
+    monkeypatch.setattr(alignment, "LISTED", 20)
+    assert all(np.array_equal(x, y) for x, y in zip(want, alignment.links_of(a, b, *cuts)))
+    held = plain.collections.Counter(
+        int(x) << 32 | int(y) for i in range(4) for x in a[(0, *cuts[0])[i] : cuts[0][i]] for y in b[(0, *cuts[1])[i] : cuts[1][i]])
+    assert dict(zip(want[0].tolist(), want[1].tolist())) == held
 
 
 def test_groups_lie_between_common_ends():
-    assert alignment.groups_of([2, 1, 3], [1, 2, 3]) == [(0, 2, 0, 2), (2, 3, 2, 3)]
-    assert alignment.groups_of([], []) == []
-    assert alignment.groups_of([4], [1, 1, 1, 1]) == [(0, 1, 0, 4)]
+    assert alignment.cuts_of([2, 1, 3], [1, 2, 3]) == ([2, 3], [2, 3])
+    assert alignment.cuts_of([], []) == ([], [])
+    assert alignment.cuts_of([4], [1, 1, 1, 1]) == ([1], [4])
 
 
 def test_the_alignment_itself(spark):
