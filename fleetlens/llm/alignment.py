@@ -24,9 +24,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +70,7 @@ class Aligner:
         self.b_bytes = [
             bytes([int(_BYTE_PIECE.fullmatch(p)[1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(every)
         ]
-        self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.a_size, self.b_size = (np.array(list(map(len, ids))) for ids in (self.a_bytes, self.b_bytes))
         self.marked = [f"{i}{mark}" for ids, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for mark in marks for i in range(len(ids))]
         self.parts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in every)
         self.quick = self._ranked(a_path, vocabulary)
@@ -99,8 +99,8 @@ class Aligner:
         data = part.encode("utf-8", "replace")
         if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
             return None
-        a_cuts, b_cuts = cuts_of(map(self.a_size.__getitem__, a), map(self.b_size.__getitem__, b))
-        a, b, a_cuts, b_cuts = (np.array(x, np.int64) for x in (a, b, a_cuts, b_cuts))
+        a, b = numbers(a), numbers(b)
+        a_cuts, b_cuts = map(numbers, cuts_of(self.a_size[a], self.b_size[b]))
         pairs, times = links_of(a, b, a_cuts, b_cuts)
         return len(a), len(b), len(a_cuts), int(times.sum()), self.text(a, b, a_cuts, b_cuts), pairs, times
 
@@ -127,9 +127,13 @@ class Aligner:
         yield text[lo:]
 
 
-def cuts_of(a_sizes: Iterable[int], b_sizes: Iterable[int]) -> tuple[list[int], list[int]]:
+def numbers(ids: list[int]) -> np.ndarray:
+    return np.frombuffer(array("q", ids), np.int64)
+
+
+def cuts_of(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[list[int], list[int]]:
     """How many tokens of A and of B lie before each byte offset at which tokens of both end."""
-    a_ends, b_ends = (dict(zip(accumulate(sizes), count(1))) for sizes in (a_sizes, b_sizes))
+    a_ends, b_ends = (dict(zip(np.cumsum(sizes).tolist(), range(1, len(sizes) + 1))) for sizes in (a_sizes, b_sizes))
     common = sorted(a_ends.keys() & b_ends.keys())
     return list(map(a_ends.__getitem__, common)), list(map(b_ends.__getitem__, common))
 

@@ -115,9 +115,9 @@ def test_long_groups_go_by_distinct_ids(monkeypatch):
 
 
 def test_groups_lie_between_common_ends():
-    assert alignment.cuts_of([2, 1, 3], [1, 2, 3]) == ([2, 3], [2, 3])
-    assert alignment.cuts_of([], []) == ([], [])
-    assert alignment.cuts_of([4], [1, 1, 1, 1]) == ([1], [4])
+    assert alignment.cuts_of(np.array([2, 1, 3]), np.array([1, 2, 3])) == ([2, 3], [2, 3])
+    assert alignment.cuts_of(np.zeros(0, int), np.zeros(0, int)) == ([], [])
+    assert alignment.cuts_of(np.array([4]), np.ones(4, int)) == ([1], [4])
 
 
 def test_the_alignment_itself(spark):
