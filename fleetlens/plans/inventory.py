@@ -141,9 +141,9 @@ def json_quarantine(spark: SparkSession, sf: str) -> DataFrame:
 _ANOMALY = "struct<type:string,severity:string,value:double,threshold:double,description:string,suggested_action:string>"
 
 
-def anomaly_fields(envelopes: DataFrame) -> DataFrame:
+def anomaly_fields(envelopes: DataFrame, agent: str = "bigint") -> DataFrame:
     """One row per anomaly of a message, with all its fields."""
-    body = F.from_json("message", f"type string, agent_id bigint, timestamp string, anomalies array<{_ANOMALY}>").alias("b")
+    body = F.from_json("message", f"type string, agent_id {agent}, timestamp string, anomalies array<{_ANOMALY}>").alias("b")
     return envelopes.select("event_id", body).select(
         "event_id", "b.agent_id", "b.type", "b.timestamp", F.explode("b.anomalies").alias("a")
     ).select("event_id", "agent_id", "type", "timestamp", F.col("a.type").alias("kind"), "a.severity", "a.value", "a.threshold", "a.description", "a.suggested_action")

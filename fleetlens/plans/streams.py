@@ -73,16 +73,20 @@ def stream_pattern_anomalies(spark: SparkSession, sf: str) -> DataFrame:
 FEEDS, DELAY_S = 4, 12 * 3600
 
 
-def _delayed(spark: SparkSession, sf: str) -> DataFrame:
-    """A stream of several files in which every other snapshot arrives half a day late."""
+def _delayed(spark: SparkSession, sf: str, messages: bool = False) -> DataFrame:
+    """A stream of several files in which every other snapshot, or message, arrives half a day late."""
     rows = V.tel(spark, sf)
     arrival = micros("ts") + F.col("event_id") % 2 * F.lit(DELAY_S * 1_000_000).cast("bigint")
     ends = rows.agg(F.min(arrival).alias("a"), F.max(arrival).alias("b")).first()
     feed = F.floor((arrival - ends["a"]) * FEEDS / F.lit(ends["b"] - ends["a"] + 1)).cast("int")
     path = shared_dir(spark, "delayed")
     for k in range(FEEDS):
-        rows.where(feed == k).coalesce(1).write.mode("append").parquet(path)
-    return table_stream(spark, path, rows.schema, files_per_batch=1)
+        part = rows.where(feed == k)
+        if messages:
+            V.message_texts(V.snapshots_of(part)).select("value").coalesce(1).write.mode("append").text(path)
+        else:
+            part.coalesce(1).write.mode("append").parquet(path)
+    return json_stream(spark, path, files_per_batch=1) if messages else table_stream(spark, path, rows.schema, files_per_batch=1)
 
 
 def stream_patterns_late(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,9 +147,7 @@ def _all_values(rows: DataFrame) -> DataFrame:
     return flatten.network_features(flatten.detector_values(rows)).drop("cpu", "memory", "disk", "network")
 
 
-def stream_all_anomalies(spark: SparkSession, sf: str) -> DataFrame:
-    """Messages with the anomalies of all four detectors, from late rows in many batches, one row per anomaly."""
-    path = shared_dir(spark, "all-anomalies")
+def _saved_forests(spark: SparkSession) -> list[tuple[str, tuple, float]]:
     forests = []
     for name, nodes, features, kind, settings in (
         ("network", FIXED_NODES, NETWORK, C.NETWORK_ANOMALY, C.NETWORK_FOREST),
@@ -154,6 +156,12 @@ def stream_all_anomalies(spark: SparkSession, sf: str) -> DataFrame:
         model = shared_dir(spark, f"model-{name}")
         forest.save_forest(constant_table(spark, nodes, forest.NODES), FIXED_OFFSET, features, model)
         forests.append((model, kind, settings["high_below"]))
+    return forests
+
+
+def stream_all_anomalies(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages with the anomalies of all four detectors, from late rows in many batches, one row per anomaly."""
+    path, forests = shared_dir(spark, "all-anomalies"), _saved_forests(spark)
     process = state.send_all_anomalies(path, _all_values, forests)
     snapshots = V.snapshots_of(_delayed(spark, sf)).select("event_id", "ts", "agent_id", "cpu", "memory", "disk", "network")
     _finished(state.in_order(snapshots, path, process, jobs.ALL_NOW, DELAY_S))
@@ -161,6 +169,30 @@ def stream_all_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.anomaly_fields(spark.read.parquet(f"{path}/rows")).drop("timestamp")
 
 
+def stream_messages_all_anomalies(spark: SparkSession, sf: str) -> DataFrame:
+    """The anomalies of all four detectors from message text that arrives late and in many batches, one row per anomaly."""
+    path, forests = shared_dir(spark, "messages-all"), _saved_forests(spark)
+    _finished(jobs.detect_all_in_messages(_delayed(spark, sf, messages=True), path, _all_values, forests, jobs.ALL_NOW, DELAY_S))
+    state.finish(spark, path, state.send_all_anomalies(path, _all_values, forests))
+    return inventory.anomaly_fields(spark.read.parquet(f"{path}/rows"), "string").drop("event_id")
+
+
+def _branch(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    """What ``detect_messages`` writes for messages of all kinds."""
+    feed, path = shared_dir(spark, "typed-messages"), shared_dir(spark, "branches")
+    V.typed_feed(spark, sf).write.text(feed)
+    _finished(jobs.detect_messages(json_stream(spark, feed), path, jobs.ALL_NOW))
+    return spark.read.parquet(f"{path}/{table}").select("ts", "agent_id", "route")
+
+
+def stream_replies(spark: SparkSession, sf: str) -> DataFrame:
+    return _branch(spark, sf, "replies")
+
+
+def stream_commands(spark: SparkSession, sf: str) -> DataFrame:
+    return _branch(spark, sf, "commands")
+
+
 def _messages(spark: SparkSession, sf: str) -> DataFrame:
     """A stream of message text, some of it unreadable."""
     path = shared_dir(spark, "messages")
@@ -344,6 +376,30 @@ _PATTERNS = sql(
     + f"\nSELECT event_id, agent_id, type, severity, description, suggested_action FROM ({detection._JUMP_SELECT} UNION ALL {detection._LEAK_SELECT})", "tel")
 _ALERTS = sql(f"WITH {_EPISODES.strip()}\nSELECT * FROM episodes", "anomaly_events", "resolve_events")
 
+_FOUND = f"""{detection._JUMP.format(t="snap").strip()},
+{detection._LEAK.format(t="snap").strip()},
+{_FIXED},
+rate AS (SELECT *, {detection._rate_sql("v * 1024", "snap", "r")} FROM snap),
+walked AS (SELECT event_id, agent_id, -pow(CAST(2 AS DOUBLE), -CAST(CASE WHEN coalesce(r, 0) > 0 THEN 9 WHEN cpu_usage > 50 THEN 3 ELSE 11 END AS DOUBLE)
+           / (CAST(2 AS DOUBLE) * (ln(255) + 0.5772156649015329) - CAST(510 AS DOUBLE) / 256)) - ({FIXED_OFFSET}) AS decision
+           FROM rate WHERE has_cpu AND has_memory),
+found AS (
+  SELECT event_id, agent_id, 'cpu_threshold_breach' AS kind, CASE WHEN cpu_usage > 95 THEN 'critical' ELSE 'high' END AS severity, cpu_usage AS value, CAST(80 AS DOUBLE) AS threshold,
+         concat('CPU usage ', CAST(cpu_usage AS VARCHAR), '% exceeds threshold') AS description, 'identify_cpu_intensive_processes' AS suggested_action FROM snap WHERE cpu_usage > 80
+  UNION ALL SELECT event_id, agent_id, 'memory_threshold_breach', CASE WHEN memory_usage > 95 THEN 'critical' ELSE 'high' END, memory_usage, 85,
+         concat('Memory usage ', CAST(memory_usage AS VARCHAR), '% exceeds threshold'), 'free_memory_resources' FROM snap WHERE memory_usage > 85
+  UNION ALL SELECT event_id, agent_id, 'disk_threshold_breach', CASE WHEN disk_usage > 98 THEN 'critical' ELSE 'high' END, disk_usage, 90,
+         concat('Disk usage ', CAST(disk_usage AS VARCHAR), '% exceeds threshold'), 'cleanup_disk_space' FROM snap WHERE disk_usage > 90
+  UNION ALL SELECT event_id, agent_id, 'network_latency_high', 'medium', network_latency, 200,
+         concat('Network latency ', CAST(network_latency AS VARCHAR), 'ms exceeds threshold'), 'check_network_connectivity' FROM snap WHERE network_latency > 200
+  UNION ALL SELECT event_id, agent_id, type, severity, NULL, NULL, description, suggested_action FROM ({detection._JUMP_SELECT})
+  UNION ALL SELECT event_id, agent_id, type, severity, NULL, NULL, description, suggested_action FROM ({detection._LEAK_SELECT})
+  UNION ALL SELECT event_id, agent_id, 'network_anomaly', CASE WHEN score - ({FIXED_OFFSET}) < {C.NETWORK_FOREST["high_below"]} THEN 'high' ELSE 'medium' END, NULL, NULL,
+         'Unusual network behavior detected', 'check_network_connectivity' FROM fixed WHERE score - ({FIXED_OFFSET}) < 0
+  UNION ALL SELECT event_id, agent_id, 'system_anomaly', CASE WHEN decision < {C.SYSTEM_FOREST["high_below"]} THEN 'high' ELSE 'medium' END, NULL, NULL,
+         'Unusual system behavior detected by ML model', 'investigate_system_resources' FROM walked WHERE decision < 0)"""
+_SENT = """'anomaly_detected' AS type, kind, severity, value, threshold, description, suggested_action FROM found"""
+
 QUERIES = {
     "forest_system": (forest_system, None),
     "forest_network": (forest_network, None),
@@ -374,30 +430,16 @@ SELECT event_id, ts, agent_id FROM f JOIN seen s ON s.feed = f.feed - 1 WHERE ep
     "stream_alert_episodes": (stream_alert_episodes, _ALERTS),
     "stream_alerts_late": (stream_alerts_late, _ALERTS),
     "stream_notifications": (stream_notifications, REPORTS["notifications_outbox"][1]),
-    "stream_all_anomalies": (stream_all_anomalies, sql(f"""
-WITH {detection._JUMP.format(t="snap").strip()},
-{detection._LEAK.format(t="snap").strip()},
-{_FIXED},
-rate AS (SELECT *, {detection._rate_sql("v * 1024", "snap", "r")} FROM snap),
-walked AS (SELECT event_id, agent_id, -pow(CAST(2 AS DOUBLE), -CAST(CASE WHEN coalesce(r, 0) > 0 THEN 9 WHEN cpu_usage > 50 THEN 3 ELSE 11 END AS DOUBLE)
-           / (CAST(2 AS DOUBLE) * (ln(255) + 0.5772156649015329) - CAST(510 AS DOUBLE) / 256)) - ({FIXED_OFFSET}) AS decision
-           FROM rate WHERE has_cpu AND has_memory),
-found AS (
-  SELECT event_id, agent_id, 'cpu_threshold_breach' AS kind, CASE WHEN cpu_usage > 95 THEN 'critical' ELSE 'high' END AS severity, cpu_usage AS value, CAST(80 AS DOUBLE) AS threshold,
-         concat('CPU usage ', CAST(cpu_usage AS VARCHAR), '% exceeds threshold') AS description, 'identify_cpu_intensive_processes' AS suggested_action FROM snap WHERE cpu_usage > 80
-  UNION ALL SELECT event_id, agent_id, 'memory_threshold_breach', CASE WHEN memory_usage > 95 THEN 'critical' ELSE 'high' END, memory_usage, 85,
-         concat('Memory usage ', CAST(memory_usage AS VARCHAR), '% exceeds threshold'), 'free_memory_resources' FROM snap WHERE memory_usage > 85
-  UNION ALL SELECT event_id, agent_id, 'disk_threshold_breach', CASE WHEN disk_usage > 98 THEN 'critical' ELSE 'high' END, disk_usage, 90,
-         concat('Disk usage ', CAST(disk_usage AS VARCHAR), '% exceeds threshold'), 'cleanup_disk_space' FROM snap WHERE disk_usage > 90
-  UNION ALL SELECT event_id, agent_id, 'network_latency_high', 'medium', network_latency, 200,
-         concat('Network latency ', CAST(network_latency AS VARCHAR), 'ms exceeds threshold'), 'check_network_connectivity' FROM snap WHERE network_latency > 200
-  UNION ALL SELECT event_id, agent_id, type, severity, NULL, NULL, description, suggested_action FROM ({detection._JUMP_SELECT})
-  UNION ALL SELECT event_id, agent_id, type, severity, NULL, NULL, description, suggested_action FROM ({detection._LEAK_SELECT})
-  UNION ALL SELECT event_id, agent_id, 'network_anomaly', CASE WHEN score - ({FIXED_OFFSET}) < {C.NETWORK_FOREST["high_below"]} THEN 'high' ELSE 'medium' END, NULL, NULL,
-         'Unusual network behavior detected', 'check_network_connectivity' FROM fixed WHERE score - ({FIXED_OFFSET}) < 0
-  UNION ALL SELECT event_id, agent_id, 'system_anomaly', CASE WHEN decision < {C.SYSTEM_FOREST["high_below"]} THEN 'high' ELSE 'medium' END, NULL, NULL,
-         'Unusual system behavior detected by ML model', 'investigate_system_resources' FROM walked WHERE decision < 0)
-SELECT event_id, agent_id, 'anomaly_detected' AS type, kind, severity, value, threshold, description, suggested_action FROM found""", "snap")),
+    "stream_all_anomalies": (stream_all_anomalies, sql(f"WITH {_FOUND}\nSELECT event_id, agent_id, {_SENT}", "snap")),
+    "stream_messages_all_anomalies": (stream_messages_all_anomalies, sql(
+        f"WITH readable AS (SELECT * FROM snap WHERE event_id % 50 NOT IN (48, 49)),\n{_FOUND.replace('FROM snap', 'FROM readable')}\n"
+        f"SELECT concat('agent-', CAST(agent_id AS VARCHAR)) AS agent_id, {inventory.ISO_TS} AS timestamp, {_SENT} JOIN (SELECT event_id, ts FROM tel) t USING (event_id)", "snap")),
+    "stream_replies": (stream_replies, sql("""
+SELECT ts, concat('agent-', CAST(agent_id AS VARCHAR)) AS agent_id, CASE event_type WHEN 'signup' THEN 'pong' ELSE 'remediation_result' END AS route
+FROM tel WHERE event_type IN ('signup', 'error')""", "tel")),
+    "stream_commands": (stream_commands, sql("""
+SELECT ts, concat('agent-', CAST(agent_id AS VARCHAR)) AS agent_id, CASE WHEN event_id % 3 = 0 THEN 'restart' ELSE 'remediate' END AS route
+FROM commands""", "commands")),
     "stream_messages_to_anomalies": (stream_messages_to_anomalies, sql("""
 SELECT ts, concat('agent-', CAST(agent_id AS VARCHAR)) AS agent_id, type, severity, value,
        CASE type WHEN 'disk_threshold_breach' THEN 'critical' WHEN 'network_latency_high' THEN 'medium' ELSE 'high' END AS priority

@@ -268,15 +268,29 @@ def raw_messages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def message_feed(spark: SparkSession, sf: str) -> DataFrame:
-    """Messages as agents send them, with their own time; of every 50, one is cut short and one has an unknown type."""
+def message_texts(rows: DataFrame) -> DataFrame:
+    """``rows`` of snapshots with ``value``, the message as an agent sends it; of every 50, one is cut short and one has an unknown type."""
     sections = ["platform", "cpu", "memory", "disk", "network", "health", "error"]
-    rows = snapshots(spark, sf).withColumn("time", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
     agent = F.concat(F.lit("agent-"), F.col("agent_id").cast("string")).alias("agent_id")
-    doc = F.to_json(F.struct(agent, F.col("time").alias("timestamp"), *sections))
-    other = F.to_json(F.struct(F.lit("mystery").alias("type"), agent, F.col("time").alias("timestamp")))
+    doc = F.to_json(F.struct(agent, time, *sections))
+    other = F.to_json(F.struct(F.lit("mystery").alias("type"), agent, time))
     number = F.col("event_id") % 50
-    return rows.select(F.when(number == 49, F.substring(doc, 1, 40)).when(number == 48, other).otherwise(doc).alias("value"))
+    return rows.withColumn("value", F.when(number == 49, F.substring(doc, 1, 40)).when(number == 48, other).otherwise(doc))
+
+
+def message_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages as agents send them, with their own time."""
+    return message_texts(snapshots(spark, sf)).select("value")
+
+
+def typed_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages of all kinds: telemetry, replies by type, commands to agents, and unknown ones."""
+    text = lambda kind: F.to_json(F.struct(
+        kind.alias("type"), F.concat(F.lit("agent-"), F.col("agent_id").cast("string")).alias("agent_id"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")))
+    sent = commands(spark, sf).withColumn("kind", F.when(F.col("event_id") % 3 == 0, "restart").otherwise("remediate"))
+    return messages(spark, sf).select(text(F.col("msg_type")).alias("value")).union(sent.select(text(F.col("kind")).alias("value")))
 
 
 def metrics_json(spark: SparkSession, sf: str) -> DataFrame:

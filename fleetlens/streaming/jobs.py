@@ -13,6 +13,7 @@ from fleetlens.operators import agents, alerts, detect, flatten, forest, health,
 from fleetlens.sources.tables import corrupt, decode
 from fleetlens.streaming.state import (
     REPEAT, Versions, count_hours, drop_repeats, each_batch, find_patterns, follow_alerts, in_order, late_rows, per_hour,
+    send_all_anomalies,
 )
 
 ALL_NOW = {"availableNow": True}
@@ -71,6 +72,18 @@ def detect_messages(stream: DataFrame, path: str, trigger: dict = EVERY_30_S) ->
     return each_batch(stream, step, path, trigger)
 
 
+def telemetry_of(stream: DataFrame) -> DataFrame:
+    """Snapshots out of message text, with their own time: what can be read and is telemetry. Replies, commands and the rest stay out."""
+    rows = messages(stream).where("NOT unreadable")
+    return routing.route_messages(rows, "type")["telemetry"].select("event_id", "ts", "agent_id", "cpu", "memory", "disk", "network")
+
+
+def detect_all_in_messages(stream: DataFrame, path: str, prepare: Callable[[DataFrame], DataFrame], forests: list[tuple[str, tuple, float]],
+                           trigger: dict = EVERY_30_S, lateness_s: int = 600) -> StreamingQuery:
+    """From message text to the anomalies of all four detectors (see ``state.send_all_anomalies``), in the order of the messages' own times."""
+    return in_order(telemetry_of(stream), path, send_all_anomalies(path, prepare, forests), trigger, lateness_s)
+
+
 def fan_out(telemetry: DataFrame, metrics: list[str], path: str, trigger: dict = EVERY_30_S) -> list[StreamingQuery]:
     """The two message feeds: anomalies per snapshot, and the metric values of every snapshot."""
     feeds = {
@@ -175,15 +188,6 @@ def last_day(hours: DataFrame, until: str) -> DataFrame:
     return spread.groupBy("hour_end").agg(F.sum("n").alias("n")).where(F.col("hour_end") <= F.lit(until).cast("timestamp"))
 
 
-def deduplicated(telemetry: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Drops repeats of a snapshot that arrive within the allowed lateness; another id is another snapshot.
-
-    Spark also drops every row that is later than that, without a trace; ``keep_once`` keeps those.
-    """
-    timed = telemetry.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    return timed.dropDuplicatesWithinWatermark(REPEAT)
-
-
 def keep_once(telemetry: DataFrame, path: str, trigger: dict = EVERY_30_S, lateness_s: int = 600) -> StreamingQuery:
     """Every snapshot once, whatever the number of its repeats; later rows go to the table ``late`` (see ``kept_once``)."""
     return in_order(telemetry, path, drop_repeats(path), trigger, lateness_s)

@@ -81,6 +81,7 @@ def in_order(stream: DataFrame, path: str, process: Callable[[DataFrame, int, in
 
     def step(batch: DataFrame, number: int) -> None:
         before, since = versions.pointer(number)
+        batch = versions.write("batch", number, batch)  # read several times below, and decoded once
         at = micros("ts")
         arrived = batch.where(at.isNotNull() if since is None else at >= since)
         late = batch.where(at.isNull() if since is None else at.isNull() | (at < since))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import alerts, detect, flatten, forest, health
-from fleetlens.plans import streams
+from fleetlens.plans import inventory, streams
 from fleetlens.plans import views as V
 from fleetlens.session import shared_dir
 from fleetlens.sources.tables import decode, land_raw, landed
@@ -169,8 +169,9 @@ def test_two_snapshots_with_equal_time_both_stay(spark, telemetry, tmp_path):
     two = one.withColumn("event_id", F.col("event_id") + 1)
     one.union(two).union(one).coalesce(1).write.parquet(str(tmp_path / "in"))
     path = shared_dir(spark, "t")
-    finish(jobs.append_table(jobs.deduplicated(table_stream(spark, str(tmp_path / "in"), one.schema)), path, jobs.ALL_NOW))
-    assert spark.read.parquet(f"{path}/rows").count() == 2
+    finish(jobs.keep_once(table_stream(spark, str(tmp_path / "in"), one.schema), path, jobs.ALL_NOW))
+    state.finish(spark, path, state.drop_repeats(path))
+    assert jobs.kept_once(spark, path).count() == 2
 
 
 def test_saved_forest_scores_the_stream(spark, tmp_path):
@@ -188,12 +189,28 @@ def test_saved_forest_scores_the_stream(spark, tmp_path):
     assert rows(got) == rows(want.select("event_id", "type", "severity", "score"))
 
 
-def test_repeats_are_dropped(spark, telemetry, tmp_path):
-    telemetry.union(telemetry).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = table_stream(spark, str(tmp_path / "in"), telemetry.schema)
-    path = shared_dir(spark, "t")
-    finish(jobs.append_table(jobs.deduplicated(stream), path, jobs.ALL_NOW))
-    assert spark.read.parquet(f"{path}/rows").count() == telemetry.count()
+def test_messages_reach_all_detectors(spark, tmp_path):
+    """Text in many files, unreadable and unknown messages between, and forests that were fitted and saved: as the batch operators find."""
+    texts = V.message_texts(V.snapshots(spark, SF)).select("event_id", "value").cache()
+    for i in range(4):
+        texts.where(F.floor(F.col("event_id") / 250) == i).select("value").coalesce(1).write.mode("append").text(str(tmp_path / "in"))
+    live = jobs.telemetry_of(texts.select("value")).cache()
+    values = streams._all_values(live)
+    forests, want = [], detect.all_anomalies(values)
+    for features, kind, high in ((streams.NETWORK, streams.C.NETWORK_ANOMALY, -0.3), ([f"system_{n}" for n in streams.SYSTEM], streams.C.SYSTEM_ANOMALY, -0.5)):
+        nodes, model = forest.fit_forest(values, features, 20).cache(), shared_dir(spark, "m")
+        scored = forest.score_forest(values, nodes, features)
+        offset = forest.forest_offset(scored, 0.1)
+        forest.save_forest(nodes, offset, features, model)
+        forests.append((model, kind, high))
+        want = want.unionByName(forest.forest_anomalies(forest.decide(scored, offset), *kind, high))
+    path, lateness = shared_dir(spark, "t"), 60 * 24 * 3600
+    finish(jobs.detect_all_in_messages(
+        json_stream(spark, str(tmp_path / "in"), files_per_batch=1), path, streams._all_values, forests, jobs.ALL_NOW, lateness))
+    state.finish(spark, path, state.send_all_anomalies(path, streams._all_values, forests))
+    got = inventory.anomaly_fields(spark.read.parquet(f"{path}/rows"), "string").select("event_id", "agent_id", "kind", "severity", "description")
+    want = want.select("event_id", "agent_id", F.col("type").alias("kind"), "severity", "description")
+    assert rows(got) == rows(want) and want.where("kind = 'system_anomaly'").count() and live.count() < texts.count()
 
 
 @pytest.mark.parametrize("lateness_s", [600, streams.DELAY_S])
