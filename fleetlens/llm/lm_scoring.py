@@ -1,6 +1,6 @@
 """Language-model scores of whole documents, by the recurrent model of ``recurrent``.
 
-1. Tokens of the training documents are counted: all of them, as 64-bit hashes, summed per task and then by Spark.
+1. Words are found and hashed once. Those of the training documents are counted, all of them, summed per task and then by Spark.
 2. The most frequent words, fewer than ``KNOWN``, go to all tasks. Documents become ids; words beyond those are listed by hash.
 3. Training, in ``ROUNDS`` rounds that together read every training document once: each task trains on its documents from
    the common parameters, and the results are averaged by Spark, weighted by tokens (parallel gradient descent with averaging).
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm import recurrent
 from fleetlens.llm.session import documents, stored
-from fleetlens.llm.words import SPACE_BYTES, find_words, pieces
+from fleetlens.llm.words import SPACE_BYTES, find_words, pieces, text_bytes
 
 KNOWN = recurrent.HEAD << (recurrent.BANDS - 1)  # words that every task knows: the model's head and its bands
 ROUNDS, BLOCK_TOKENS, SLICE = 3, 4_000_000, 4096
@@ -40,8 +40,24 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def count_tokens(texts: DataFrame) -> DataFrame:
-    """key, n of all tokens of ``_text``; the end has ``END_KEY``."""
+def hashed(texts: DataFrame) -> DataFrame:
+    """``texts`` with ``keys``, the hashes of the tokens of ``_text`` in order, instead of it: found once, read by all that follows."""
+    others = [c for c in texts.columns if c != "_text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "_text"):
+                keys, first = _token_keys(part.column("_text"))
+                found = pa.Array.from_buffers(
+                    pa.large_binary(), part.num_rows, [None, pa.py_buffer(first.astype(np.int64) * 8), pa.py_buffer(np.ascontiguousarray(keys))])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), found.cast(pa.binary())], [*others, "keys"])
+
+    kinds = "".join(f"{c} {texts.schema[c].dataType.simpleString()}, " for c in others)
+    return texts.mapInArrow(run, f"{kinds}keys binary")
+
+
+def count_tokens(tokens: DataFrame) -> DataFrame:
+    """key, n of all tokens of ``keys`` (see ``hashed``); the end has ``END_KEY``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, ends = [], [], 0
@@ -53,8 +69,8 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             ends += batch.num_rows
-            for part in pieces(batch, "_text"):
-                key, n = np.unique(_token_keys(part.column("_text"))[0], return_counts=True)
+            for part in pieces(batch, "keys"):
+                key, n = np.unique(_stored_keys(part.column("keys"))[0], return_counts=True)
                 keys.append(key)
                 counts.append(n.astype(np.float64))
             if sum(map(len, keys)) > 3_000_000:
@@ -66,7 +82,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
         key, n = merged()
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[key, END_KEY]), pa.array(np.r_[n, ends])], ["key", "n"])
 
-    return texts.select("_text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0")
+    return tokens.select("keys").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def _token_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +91,11 @@ def _token_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.where(keys == END_KEY, END_KEY + 1, keys), words.first
 
 
+def _stored_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, at = text_bytes(column)
+    return data.view(np.int64), at // 8
+
+
 class Vocabulary:
     """The known words, by falling count: the end first, then ids up to ``HEAD``, then the bands; ``keys`` are sorted for look-up."""
 
@@ -123,9 +144,9 @@ class Vocabulary:
         return self.keys, self.ids, self.counts, self.share
 
 
-def encode(texts: DataFrame, words: Vocabulary) -> DataFrame:
-    """One row per document: uid, doc_id, held_out, n_tokens, ids, what the known words add up to, and the hashes of the others."""
-    shared = texts.sparkSession.sparkContext.broadcast(words.arrays())  # KNOWN words at most
+def encode(tokens: DataFrame, words: Vocabulary) -> DataFrame:
+    """One row per document of ``hashed`` texts: uid, doc_id, held_out, n_tokens, ids, what the known words add up to, and the hashes of the others."""
+    shared = tokens.sparkSession.sparkContext.broadcast(words.arrays())  # KNOWN words at most
     ends = float(words.head_counts[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +154,8 @@ def encode(texts: DataFrame, words: Vocabulary) -> DataFrame:
         logs = np.log10(counts + 1.0)
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in pieces(batch, "_text"):
-                keys, first = _token_keys(part.column("_text"))
+            for part in pieces(batch, "keys"):
+                keys, first = _stored_keys(part.column("keys"))
                 size, text = np.diff(first), np.repeat(np.arange(part.num_rows), np.diff(first))
                 if len(known):
                     place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
@@ -162,8 +183,8 @@ def encode(texts: DataFrame, words: Vocabulary) -> DataFrame:
                 )
                 uid += n
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.mapInArrow(
         run,
         f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, log_counts double, log_shares double, "
         "ids binary, rare array<long>",
@@ -256,9 +277,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), (held_out(id_col) if held is None else held).alias("held_out")
     )
-    counts = stored(count_tokens(texts.where("NOT held_out")), "token-counts")
+    tokens = stored(hashed(texts), "token-hashes")
+    counts = stored(count_tokens(tokens.where("NOT held_out")), "token-counts")
     words = Vocabulary(counts)
-    encoded = stored(encode(texts, words), "encoded")
+    encoded = stored(encode(tokens, words), "encoded")
     flat = train(encoded, recurrent.start(words.head_counts, words.mass))
     rare = encoded.select("uid", F.explode("rare").alias("key")).join(counts, "key", "left")
     seen = F.coalesce("n", F.lit(0))

@@ -69,21 +69,29 @@ def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
     return [rng.permutation(dealt[i]).tolist() for i in order]
 
 
-def layout(documents: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids (steps x lanes, padded with the end), the document of each place (-1: padding), and the lanes' lengths."""
-    lengths = np.array([len(d) for d in documents])
-    dealt = lanes_of(lengths, lanes)
-    size = np.array([int(lengths[lane].sum()) for lane in dealt])
-    steps = -(-int(size[0]) // WINDOW) * WINDOW
-    ids = np.zeros((len(dealt), steps), np.int32)
-    owner = np.full((len(dealt), steps), -1, np.int32)
-    for i, lane in enumerate(dealt):
-        at = 0
-        for d in lane:
-            ids[i, at : at + lengths[d]] = documents[d]
-            owner[i, at : at + lengths[d]] = d
-            at += int(lengths[d])
-    return ids.T.copy(), owner.T.copy(), size
+class Lanes:
+    """Documents in lanes, one after another in flat arrays: a long document takes its own room only. Longest lane first."""
+
+    def __init__(self, documents: list[np.ndarray], lanes: int):
+        lengths = np.array([len(d) for d in documents])
+        dealt = lanes_of(lengths, lanes)
+        order = np.array([d for lane in dealt for d in lane], np.int64)
+        self.ids = np.concatenate([documents[d] for d in order]) if len(order) else np.zeros(0, np.uint16)
+        self.owner = np.repeat(order.astype(np.int32), lengths[order])
+        self.size = np.array([int(lengths[lane].sum()) for lane in dealt])
+        self.first = np.cumsum(self.size) - self.size
+        self.steps = -(-int(self.size[0]) // WINDOW) * WINDOW
+
+    def live(self, lo: int) -> int:
+        """How many lanes go on at a step."""
+        return int(np.searchsorted(-self.size, -lo, "left"))
+
+    def window(self, lo: int, hi: int, live: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (steps x lanes, ends beyond a lane) and the document of each place (-1 beyond a lane)."""
+        step = np.arange(lo, min(hi, self.steps))[:, None]
+        inside = step < self.size[:live]
+        at = np.where(inside, self.first[:live] + step, 0)
+        return np.where(inside, self.ids[at], END).astype(np.int32), np.where(inside, self.owner[at], -1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -149,11 +157,12 @@ def score(flat: np.ndarray, documents: list[np.ndarray]) -> np.ndarray:
     if not documents:
         return out
     p = views(flat)
-    ids, owner, size = layout(documents, SCORE_LANES)
-    h = np.zeros((ids.shape[1], STATE), np.float32)
-    for lo in range(0, len(ids), WINDOW):
-        live = int(np.searchsorted(-size, -lo, "left"))  # lanes that go on
-        part, own = ids[lo : lo + WINDOW, :live], owner[lo : lo + WINDOW, :live].ravel()
+    lanes = Lanes(documents, SCORE_LANES)
+    h = np.zeros((len(lanes.size), STATE), np.float32)
+    for lo in range(0, lanes.steps, WINDOW):
+        live = lanes.live(lo)
+        part, own = lanes.window(lo, lo + WINDOW, live)
+        own = own.ravel()
         states, h = _steps(p, part, h[:live], None)
         held = np.flatnonzero(own >= 0)
         value = likelihood(p, states.reshape(-1, STATE)[held], part.ravel()[held])
@@ -222,18 +231,19 @@ def train(flat: np.ndarray, blocks) -> tuple[np.ndarray, int]:
     mean, seen = np.zeros(SIZE), 0.0  # of the parameters on the way, the late ones most
     made = tokens = 0
     for documents in blocks:
-        ids, owner, size = layout(documents, TRAIN_LANES)
-        h = np.zeros((ids.shape[1], STATE), np.float32)
+        lanes = Lanes(documents, TRAIN_LANES)
+        h = np.zeros((len(lanes.size), STATE), np.float32)
         lo = 0
-        while lo < len(ids):
-            live = int(np.searchsorted(-size, -lo, "left"))
+        while lo < lanes.steps:
+            live = lanes.live(lo)
             if not live:
                 break
             # The last lanes, of the longest documents, take longer windows: about as many tokens to a step as before.
             hi = lo + min(WINDOW * max(TRAIN_LANES // live, 1), LONG_WINDOW)
-            weight = (owner[lo:hi, :live] >= 0).astype(np.float32)
+            ids, owner = lanes.window(lo, hi, live)
+            weight = (owner >= 0).astype(np.float32)
             slope[:] = 0
-            h = gradient(p, g, ids[lo:hi, :live], weight, h[:live])
+            h = gradient(p, g, ids, weight, h[:live])
             lo = hi
             norm = float(np.sqrt(slope @ slope))
             if norm > CLIP:

@@ -127,3 +127,18 @@ def test_empty_and_all_held_out(spark):
     held = [i for i in range(200) if plain.base_scores([(i, "a")])[1][0][0]][:3]
     rows = [(i, "some words") for i in held]
     check(rows, lm_scoring.score_documents(plain.small(spark, rows)).collect())
+
+
+def test_a_long_document_takes_its_own_room_only():
+    """600 short documents beside one of 60,000 tokens: lanes padded to the longest would hold 30 million places."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    flat = recurrent.start(np.ones(recurrent.HEAD), np.ones(recurrent.BANDS))
+    documents = [np.r_[rng.integers(1, recurrent.HEAD, 20), 0].astype("<u2") for _ in range(600)]
+    documents.append(np.r_[rng.integers(1, recurrent.HEAD, 60_000), 0].astype("<u2"))
+    tracemalloc.start()
+    scores = recurrent.score(flat, documents)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and np.allclose(scores[:600], recurrent.score(flat, documents[:600]), rtol=1e-4)
