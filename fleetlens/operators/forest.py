@@ -6,7 +6,8 @@ Two uses:
   on small samples in parallel, the node table is small, and every snapshot is scored by a
   vectorised lookup. This is the form for large data.
 * ``per_message_decision``: refit on the last entries of the agent for every message. Exact
-  to the per-message rule, but each message costs a whole forest.
+  to the per-message rule, but each message costs a whole forest; ``moving_forest`` gives the
+  same rows from trees that follow the window.
 
 Random numbers are hashes of (seed, tree, node), so results do not depend on how the rows
 are partitioned.
@@ -60,25 +61,40 @@ def _draw(ident: np.ndarray, tree: int, seed: int) -> np.ndarray:
     return (_mixed(_mixed(x)) >> np.uint64(2)).astype(np.int64)
 
 
-def grow(points: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, limits: np.ndarray):
+def varying_within(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which features vary among the points of each tree."""
+    starts = np.cumsum(sizes) - sizes
+    if not len(points):
+        return np.zeros((len(sizes), points.shape[1]), dtype=bool)
+    return np.maximum.reduceat(points, starts) > np.minimum.reduceat(points, starts)
+
+
+def grow(points: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, limits: np.ndarray,
+         top: np.ndarray | None = None, varying: np.ndarray | None = None):
     """Split the points of many trees level by level.
 
-    The points of a tree follow each other; ``sizes``, ``seeds`` and ``limits`` are per tree.
-    Returns the path length per point and the nodes (tree, node, feature, split, path); the
-    children of node ``k`` are ``2k`` and ``2k + 1``, leaves have feature -1.
+    The points of a tree follow each other, one at least; ``sizes``, ``seeds`` and ``limits`` are per tree. To grow a part of a
+    tree again, ``top`` is the node that the points belong to and ``varying`` tells which features vary in the whole tree.
+    What grows below a node depends on its points, its number and the varying features only.
+    Returns the path length and the leaf per point, and the nodes (tree, node, feature, split, path, low, high); the
+    children of node ``k`` are ``2k`` and ``2k + 1``, leaves have feature -1. ``low`` and ``high`` bound the chosen feature
+    within the node; they are NaN for leaves and where the feature was drawn again.
     """
     paths, rows = np.zeros(len(points)), np.arange(len(points))
-    tree, node = np.arange(len(sizes)), np.ones(len(sizes), dtype=np.int64)
+    leaves = np.zeros(len(points), dtype=np.int64)
+    tree, node = np.arange(len(sizes)), np.ones(len(sizes), dtype=np.int64) if top is None else top
+    varying = varying_within(points, sizes) if varying is None else varying
+    choices, n_choices = np.argsort(~varying, axis=1, kind="stable"), varying.sum(axis=1)
     found: list[tuple[np.ndarray, ...]] = []
-    depth = 0
+    depth = np.frexp(node)[1] - 1
     while len(rows):
         starts, member = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
         seed = seeds[tree]
         may_split = (sizes > 1) & (depth < limits[tree])
-        feature = np.floor(_uniform(seed, node, 0) * points.shape[1]).astype(int)
+        feature = choices[tree, np.floor(_uniform(seed, node, 0) * n_choices[tree]).astype(int)]
         value = points[rows, feature[member]]
         low, high = np.minimum.reduceat(value, starts), np.maximum.reduceat(value, starts)
-        constant = may_split & (low == high)
+        constant = may_split & ~(low < high)
         if constant.any():
             # Draw again, among the features that vary within the node.
             inside, n = constant[member], sizes[constant]
@@ -90,12 +106,14 @@ def grow(points: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, limits: np.nd
             one = np.arange(len(chosen))
             feature[constant], low[constant], high[constant] = chosen, lows[one, chosen], highs[one, chosen]
             value[inside] = values[np.arange(len(values)), np.repeat(chosen, n)]
-        splits = may_split & (high > low)
+        splits = may_split & (high > low) & np.isfinite(low) & np.isfinite(high)
         cut = np.minimum(low + _uniform(seed, node, 1) * (high - low), np.nextafter(high, low))
         path = depth + average_path(sizes)
-        found.append((tree, node, np.where(splits, feature, -1), np.where(splits, cut, 0.0), path))
+        firm = splits & ~constant
+        found.append((tree, node, np.where(splits, feature, -1), np.where(splits, cut, 0.0), path,
+                      np.where(firm, low, np.nan), np.where(firm, high, np.nan)))
         kept = splits[member]
-        paths[rows[~kept]] = path[member[~kept]]
+        paths[rows[~kept]], leaves[rows[~kept]] = path[member[~kept]], node[member[~kept]]
         if not kept.any():
             break
         # Both children of a node are never empty. Left points move before right ones.
@@ -110,15 +128,20 @@ def grow(points: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, limits: np.nd
         moved[target] = rows
         rows, sizes = moved, np.column_stack([n_left, n - n_left]).ravel()
         tree, node = np.repeat(tree[splits], 2), np.column_stack([2 * node[splits], 2 * node[splits] + 1]).ravel()
-        depth += 1
-    return paths, [np.concatenate(column) for column in zip(*found)]
+        depth = np.repeat(depth[splits] + 1, 2)
+    return paths, leaves, [np.concatenate(column) for column in zip(*found)]
 
 
-def _depth_limit(n: np.ndarray) -> np.ndarray:
+def depth_limit(n: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(n, 2))).astype(int)
 
 
-def _complete(features: list[str]) -> Column:
+def tree_seeds(trees: int, seed: int) -> np.ndarray:
+    """The seeds of the trees over the last entries of an agent."""
+    return seed * 1009 + np.arange(trees)
+
+
+def complete_in(features: list[str]) -> Column:
     out = F.lit(True)
     for name in features:
         out = out & F.col(name).isNotNull()
@@ -132,7 +155,7 @@ def fit_forest(df: DataFrame, features: list[str], trees: int, sample: int = SAM
     The rule is the same at every size. Each task passes on its smallest lots per tree, so ``trees`` x ``sample`` rows
     at most leave a task. Without usable rows the table is empty.
     """
-    usable = df.where(_complete(features)).select(F.col(ident).cast("bigint").alias(ident), *[F.col(f).cast("double").alias(f) for f in features])
+    usable = df.where(complete_in(features)).select(F.col(ident).cast("bigint").alias(ident), *[F.col(f).cast("double").alias(f) for f in features])
 
     def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame | None] = [None] * trees
@@ -161,8 +184,8 @@ def fit_forest(df: DataFrame, features: list[str], trees: int, sample: int = SAM
         rows = rows.sort_values(ident)
         number = int(rows["tree"].iloc[0])
         size, key = np.array([len(rows)]), np.array([seed * 1_000_003 + number])
-        _, nodes = grow(rows[features].to_numpy(float), size, key, _depth_limit(size))
-        _, node, feature, split, path = nodes
+        _, _, nodes = grow(rows[features].to_numpy(float), size, key, depth_limit(size))
+        _, node, feature, split, path, _, _ = nodes
         return pd.DataFrame({
             "tree": number, "node": node, "feature": feature, "split": split, "path": path, "size": len(rows),
         })
@@ -207,7 +230,7 @@ def score_forest(df: DataFrame, nodes: DataFrame, features: list[str]) -> DataFr
                 node = np.where(inner, 2 * node + (value > flat_split[base + node]), node)
             yield pd.Series(-np.exp2(-flat_path[base + node].mean(axis=1) / scale))
 
-    whole = _complete(features)
+    whole = complete_in(features)
     inputs = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
     # Declared nondeterministic so that later uses of the column do not score again.
     return df.withColumn("score", score.asNondeterministic()(*inputs)).withColumn("score", F.when(whole, F.col("score")))
@@ -219,6 +242,20 @@ def forest_offset(scored: DataFrame, contamination: float) -> float | None:
     return found["q"] if found else None
 
 
+def window_decisions(paths: np.ndarray, present: np.ndarray, last: int | np.ndarray, share: float) -> np.ndarray:
+    """How far the score of row ``last`` of each window lies above the quantile ``share`` of the scores in it.
+
+    ``paths`` is windows x trees x rows, ``present`` windows x rows. The quantile is interpolated.
+    """
+    n = present.sum(axis=1)
+    scores = -np.exp2(-paths.mean(axis=1) / average_path(n)[:, None])
+    ranked = np.sort(np.where(present, scores, np.inf), axis=1)
+    place, each = share * (n - 1), np.arange(len(n))
+    below = np.floor(place).astype(int)
+    lower, upper = ranked[each, below], ranked[each, np.minimum(below + 1, n - 1)]
+    return scores[each, last] - (lower + (upper - lower) * (place - below))
+
+
 def decide(scored: DataFrame, offset: float | None) -> DataFrame:
     return scored.withColumn("decision", F.col("score") - F.lit(offset).cast("double"))
 
@@ -262,9 +299,10 @@ def per_message_decision(df: DataFrame, features: list[str], trees: int, depth:
                          seed: int = 42, order: Order = AGENT_SERIES) -> DataFrame:
     """Decision per message from a forest fitted on the last ``depth`` entries of its agent.
 
-    Needs more than ``depth`` entries of history and more than 10 complete ones.
+    Needs more than ``depth`` entries of history and more than 10 complete ones. The draws are the same for every window.
+    ``moving_forest.decisions`` gives the same rows and grows only what changes from one message to the next.
     """
-    entry = F.when(_complete(features), F.array(*[F.col(f).cast("double") for f in features]))
+    entry = F.when(complete_in(features), F.array(*[F.col(f).cast("double") for f in features]))
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
         return rows.withColumns({
@@ -275,26 +313,22 @@ def per_message_decision(df: DataFrame, features: list[str], trees: int, depth:
     width = len(features)
 
     @F.pandas_udf("double")
-    def decision(entries: pd.Series, ident: pd.Series) -> pd.Series:
-        out = []
-        for start in range(0, len(entries), 16):
-            windows = [np.asarray(e, dtype=float).reshape(-1, width) for e in entries[start:start + 16]]
-            sizes = np.array([len(w) for w in windows])
-            points = np.concatenate([np.tile(w, (trees, 1)) for w in windows])
-            keys = ident.to_numpy()[start:start + 16].astype(np.int64)
-            seeds = (keys[:, None] * 1009 + np.arange(trees) + seed).ravel()
-            paths, _ = grow(points, np.repeat(sizes, trees), seeds, np.repeat(_depth_limit(sizes), trees))
-            first = 0
-            for n in sizes:
-                mean = paths[first:first + trees * n].reshape(trees, n).mean(axis=0)
-                first += trees * n
-                scores = -np.exp2(-mean / average_path(np.array([n]))[0])
-                out.append(scores[-1] - np.percentile(scores, 100 * contamination))
-        return pd.Series(out, dtype=float)
+    def decision(entries: pd.Series) -> pd.Series:
+        out = np.empty(len(entries))
+        windows = [np.asarray(e, dtype=float).reshape(-1, width) for e in entries]
+        lengths = np.array([len(w) for w in windows], dtype=int)
+        for n in np.unique(lengths):
+            same = np.flatnonzero(lengths == n)
+            for at in (same[i:i + 16] for i in range(0, len(same), 16)):
+                sizes = np.full(len(at) * trees, n)
+                points = np.concatenate([np.tile(windows[i], (trees, 1)) for i in at])
+                paths, _, _ = grow(points, sizes, np.tile(tree_seeds(trees, seed), len(at)), depth_limit(sizes))
+                out[at] = window_decisions(paths.reshape(len(at), trees, n), np.ones((len(at), n), dtype=bool), n - 1, contamination)
+        return pd.Series(out)
 
     rows = trailing(df.select(*IDS, *features), depth + 1, build, order)
-    ready = (F.col("_history") > depth) & (F.size("_entries") > 10) & _complete(features)
+    ready = (F.col("_history") > depth) & (F.size("_entries") > 10) & complete_in(features)
     # Fitting costs far more than moving the rows, so spread them evenly, whatever their agent.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = rows.where(ready).select(*IDS, F.flatten("_entries").alias("_entries")).repartition(parts, "event_id")
-    return spread.select(*IDS, decision.asNondeterministic()("_entries", "event_id").alias("decision"))
+    return spread.select(*IDS, decision.asNondeterministic()("_entries").alias("decision"))

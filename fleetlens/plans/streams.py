@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import constants as C
-from fleetlens.operators import detect, flatten, forest
+from fleetlens.operators import detect, flatten, forest, moving_forest
 from fleetlens.operators.slices import micros
 from fleetlens.plans import detection, inventory
 from fleetlens.plans import views as V
@@ -293,6 +293,20 @@ def forest_network_per_message(spark: SparkSession, sf: str) -> DataFrame:
     return _network_anomalies(_per_message(_network_rows(spark, sf), NETWORK, C.NETWORK_FOREST))
 
 
+def _moving(rows: DataFrame, features: list[str], settings: dict) -> DataFrame:
+    return moving_forest.decisions(rows, features, settings["trees"], settings["window"], settings["contamination"])
+
+
+def forest_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of ``forest_system_per_message``, from trees that follow the window."""
+    return _system_anomalies(_moving(_system_rows(spark, sf), SYSTEM, C.SYSTEM_FOREST))
+
+
+def forest_incremental_network(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of ``forest_network_per_message``, from trees that follow the window."""
+    return _network_anomalies(_moving(_network_rows(spark, sf), NETWORK, C.NETWORK_FOREST))
+
+
 # A forest written by hand, so that SQL can walk it too: tree, node, feature, split, path, rows grown on.
 FIXED_NODES = [
     (0, 1, 0, 250.0, 0.0, 256), (0, 2, 3, 150.0, 0.0, 256), (0, 3, -1, 0.0, 2.5, 256), (0, 4, -1, 0.0, 9.0, 256), (0, 5, -1, 0.0, 11.5, 256),
@@ -405,6 +419,8 @@ QUERIES = {
     "forest_network": (forest_network, None),
     "forest_system_per_message": (forest_system_per_message, None),
     "forest_network_per_message": (forest_network_per_message, None),
+    "forest_incremental": (forest_incremental, None),
+    "forest_incremental_network": (forest_incremental_network, None),
     "forest_score_fixed": (forest_score_fixed, sql(f"WITH {_FIXED}\nSELECT event_id, score FROM fixed", "snap")),
     "forest_offset_flags": (forest_offset_flags, _FLAGS),
     "forest_reloaded": (forest_reloaded, _FLAGS),

@@ -108,22 +108,22 @@ def test_save_and_load(spark, points, nodes):
 def test_growth_isolates_every_point_without_a_limit():
     rng = np.random.default_rng(2)
     values = rng.random((64, 3))
-    paths, (_, node, feature, split, path) = forest.grow(values, np.array([64]), np.array([7]), np.array([60]))
+    paths, leaves, (_, node, feature, split, path, _, _) = forest.grow(values, np.array([64]), np.array([7]), np.array([60]))
     assert (feature < 0).sum() == 64
     # Walking down the stored nodes reaches the same path lengths.
     table = dict(zip(node.tolist(), zip(feature, split, path)))
-    for value, expected in zip(values, paths):
+    for value, expected, leaf in zip(values, paths, leaves):
         at = 1
         while table[at][0] >= 0:
             at = 2 * at + int(value[table[at][0]] > table[at][1])
-        assert table[at][2] == expected
+        assert table[at][2] == expected and at == leaf
 
 
 def test_mean_path_is_near_its_theory():
     rng = np.random.default_rng(4)
     n, trees = 256, 200
     values = np.tile(rng.random((n, 4)), (trees, 1))
-    paths, _ = forest.grow(values, np.full(trees, n), np.arange(trees) * 31, np.full(trees, 60))
+    paths, _, _ = forest.grow(values, np.full(trees, n), np.arange(trees) * 31, np.full(trees, 60))
     assert paths.mean() == pytest.approx(float(forest.average_path(np.array([n]))[0]), rel=0.03)
 
 
