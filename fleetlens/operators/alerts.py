@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens import constants as C
@@ -14,6 +14,7 @@ from fleetlens.sources.tables import constant_table
 ALERT_ORDER = Order(keys=("type", "agent_id"), ident="_order")
 # At equal times anomalies come before resolutions.
 RESOLVE_OFFSET = 1 << 61
+RULE_CELLS = 256
 
 
 def _with_episodes(anomalies: DataFrame, resolves: DataFrame) -> DataFrame:
@@ -181,6 +182,46 @@ def rule_matches(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
     return long.join(table, "metric").where(F.col("value") > F.col("threshold"))
 
 
+def _number_below(sorted_values: Column, value: Column) -> Column:
+    """How many of the sorted values are less than ``value``, by bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(sorted_values, n + step - 1) < value, n + step).otherwise(n))
+
+
+def rules_crossed(df: DataFrame, table: DataFrame, metrics: list[str], cells: int = RULE_CELLS) -> DataFrame:
+    """Per snapshot value how many rules of a caller's ``table`` (rule, metric, threshold) lie below it, and the highest of them.
+
+    Those rules are the first ``n_rules`` of their metric in the order of thresholds, so no pair of value and rule is made. Equal
+    thresholds count once each and are kept as one entry. Thresholds are cut at approximate quantiles into at most ``cells``
+    cells a metric; a value meets the entries of its own cell only, found by bisection, and the counts of the cells below.
+    The join is on metric and cell, and Spark chooses it by size. Values and thresholds that are NULL match nothing; of equal thresholds the
+    greatest rule id is named. Without rules there are no rows.
+    """
+    known = table.where(F.col("metric").isin(metrics) & F.col("threshold").isNotNull()).groupBy("metric", F.col("threshold").cast("double").alias("threshold")).agg(
+        F.count("*").alias("n"), F.max("rule").alias("rule"))
+    places = [i / cells for i in range(1, cells)]
+    bounds = known.groupBy("metric").agg(F.array_sort(F.array_distinct(F.percentile_approx("threshold", places, 20 * cells))).alias("_bounds"))
+    bounds = F.broadcast(bounds)  # a row per metric in the list, of fewer than ``cells`` numbers
+    entry = F.struct("threshold", "n", "rule")
+    filled = known.join(bounds, "metric").groupBy("metric", _number_below(F.col("_bounds"), F.col("threshold")).alias("_cell")).agg(
+        F.sort_array(F.collect_list(entry)).alias("_entries"), F.sum("n").alias("_n"), F.max(entry).alias("_top"))
+    every = bounds.select("metric", F.explode(F.sequence(F.lit(0), F.size("_bounds"))).alias("_cell"))
+    lower = Window.partitionBy("metric").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    index = every.join(filled, ["metric", "_cell"], "left").select(
+        "metric", "_cell", F.transform("_entries", lambda e: e["threshold"]).alias("_thresholds"), "_entries",
+        F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"), F.max("_top").over(lower).alias("_highest"))
+    total = F.aggregate("_entries", F.array(F.lit(0).cast("bigint")), lambda sums, e: F.concat(sums, F.array(F.element_at(sums, -1) + e["n"])))
+    index = index.withColumn("_sums", F.when(F.col("_entries").isNotNull(), total))
+    long = df.unpivot(["event_id", "ts", "agent_id"], metrics, "metric", "value").where("value IS NOT NULL")
+    placed = long.join(bounds, "metric").withColumn("_cell", _number_below(F.col("_bounds"), F.col("value"))).drop("_bounds")
+    at = F.coalesce(_number_below(F.col("_thresholds"), F.col("value")), F.lit(0))
+    found = placed.join(index, ["metric", "_cell"]).withColumn("_at", at)
+    highest = F.when(F.col("_at") > 0, F.get("_entries", F.col("_at") - 1)).otherwise(F.col("_highest"))
+    found = found.withColumns({"n_rules": F.col("_before") + F.coalesce(F.get("_sums", F.col("_at")), F.lit(0)), "_found": highest})
+    return found.where("n_rules > 0").select(
+        "event_id", "ts", "agent_id", "metric", "value", "n_rules", F.col("_found.threshold").alias("threshold"), F.col("_found.rule").alias("rule"))
+
+
 def sustained_breaches(df: DataFrame, table: list[tuple] = C.ALERT_RULES, order: Order = AGENT_SERIES) -> DataFrame:
     """Unbroken runs above a rule's threshold that last at least the rule's duration.
 

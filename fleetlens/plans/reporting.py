@@ -12,6 +12,7 @@ from fleetlens.operators import alerts as L
 from fleetlens.operators import detect, flatten, health, report
 from fleetlens.plans import views as V
 from fleetlens.plans.views import sql
+from fleetlens.session import written
 
 USAGE = ["cpu_usage", "memory_usage", "disk_usage"]
 ALL_METRICS = [*USAGE, "network_latency"]
@@ -176,6 +177,16 @@ def distinct_agents(spark: SparkSession, sf: str) -> DataFrame:
     return V.tel(spark, sf).select("agent_id").distinct()
 
 
+def distinct_agents_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Agents seen in the seven days up to each day, merged from stored sketches, next to the exact count."""
+    sketches = written(report.distinct_sketches(V.tel(spark, sf), "agent_id"), "sketches")
+    seen = V.tel(spark, sf).select("agent_id", F.to_date("ts").alias("day")).distinct()
+    days = F.explode(F.sequence("day", F.date_add("day", 6))).alias("day")
+    exact = seen.select("agent_id", days).groupBy("day").agg(F.countDistinct("agent_id").alias("exact"))
+    near = F.abs(F.col("n") - F.col("exact")) <= 0.03 * F.col("exact")
+    return report.distinct_in_spans(sketches, 7).join(exact, "day").select("day", "exact", near.alias("within_3_percent"))
+
+
 def severity_timeline(spark: SparkSession, sf: str) -> DataFrame:
     rows = report.severity_timeline(_anomalies(spark, sf).select(
         (F.col("event_id") * 4 + F.length("type") % 4).alias("event_id"), "ts", "agent_id", "severity"))
@@ -259,6 +270,12 @@ def rule_matches(spark: SparkSession, sf: str) -> DataFrame:
     return L.rule_matches(V.tel_gap(spark, sf)).select("event_id", "agent_id", "rule", "metric", "value", "severity")
 
 
+def rule_matches_many(spark: SparkSession, sf: str) -> DataFrame:
+    """A caller's rules, one per order: as many as there are orders, on three metrics."""
+    rows = L.rules_crossed(V.tel_gap(spark, sf), V.order_rules(spark, sf), ["cpu_usage", "memory_usage", "disk_usage"])
+    return rows.select("event_id", "agent_id", "metric", "value", "n_rules", "threshold", "rule")
+
+
 def notifications_outbox(spark: SparkSession, sf: str) -> DataFrame:
     return L.notifications(_anomalies(spark, sf), V.resolve_events(spark, sf))
 
@@ -466,6 +483,10 @@ WITH {_FLAGGED.strip()}
 SELECT count(*) AS points, count(DISTINCT agent_id) AS agents, count_if(is_anomaly) AS anomalies,
        (epoch_us(max(ts)) - epoch_us(min(ts))) / CAST(1000000 AS DOUBLE) AS span_seconds, concat(CAST(count(*) AS VARCHAR), ' points') AS time_span FROM flagged""", "tel")),
     "distinct_agents": (distinct_agents, sql("SELECT DISTINCT agent_id FROM tel", "tel")),
+    "distinct_agents_sketch": (distinct_agents_sketch, sql("""
+WITH seen AS (SELECT DISTINCT agent_id, CAST(ts AS DATE) AS day FROM tel),
+spread AS (SELECT agent_id, CAST(day + to_days(CAST(d AS INT)) AS DATE) AS day FROM seen, (SELECT unnest(range(0, 7)) AS d) r)
+SELECT day, count(DISTINCT agent_id) AS exact, true AS within_3_percent FROM spread WHERE day <= (SELECT max(day) FROM seen) GROUP BY day""", "tel")),
     "severity_timeline": (severity_timeline, sql(f"""
 SELECT event_id, agent_id, severity, row_number() OVER (PARTITION BY severity ORDER BY ts, event_id) - 1 AS occurrence, {_ORDINAL} AS level
 FROM (SELECT event_id * 4 + length(type) % 4 AS event_id, ts, agent_id, severity FROM anomaly_events)""", "anomaly_events")),
@@ -525,6 +546,12 @@ GROUP BY agent_id, rule, metric, severity, duration_s, island HAVING epoch_us(ma
 WITH long AS (SELECT event_id, agent_id, 'cpu_usage' AS metric, cpu_usage AS value FROM tel_gap UNION ALL SELECT event_id, agent_id, 'memory_usage', memory_usage FROM tel_gap
   UNION ALL SELECT event_id, agent_id, 'disk_usage', disk_usage FROM tel_gap)
 SELECT event_id, agent_id, rule, l.metric AS metric, value, severity FROM long l JOIN rules r ON l.metric = r.metric AND l.value > r.threshold""", "tel_gap", "rules")),
+    "rule_matches_many": (rule_matches_many, sql("""
+WITH long AS (SELECT event_id, agent_id, 'cpu_usage' AS metric, cpu_usage AS value FROM tel_gap UNION ALL SELECT event_id, agent_id, 'memory_usage', memory_usage FROM tel_gap
+  UNION ALL SELECT event_id, agent_id, 'disk_usage', disk_usage FROM tel_gap),
+found AS (SELECT v.metric, value, count(*) AS n_rules, max(threshold) AS threshold, arg_max(rule, (threshold, rule)) AS rule
+  FROM (SELECT DISTINCT metric, value FROM long) v JOIN order_rules r ON v.metric = r.metric AND v.value > r.threshold GROUP BY v.metric, value)
+SELECT event_id, agent_id, l.metric AS metric, l.value AS value, n_rules, threshold, rule FROM long l JOIN found f ON l.metric = f.metric AND l.value = f.value""", "tel_gap", "order_rules")),
     "notifications_outbox": (notifications_outbox, sql(f"""
 WITH {_EPISODES.strip()}
 SELECT n.event_id, n.ts, e.alert_id, n.agent_id, e.description, channel

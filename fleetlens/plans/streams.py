@@ -10,12 +10,12 @@ from fleetlens.operators import detect, flatten, forest, moving_forest
 from fleetlens.operators.slices import micros
 from fleetlens.plans import detection, inventory
 from fleetlens.plans import views as V
-from fleetlens.plans.reporting import _EPISODES
+from fleetlens.plans.reporting import _EPISODES, MISSED
 from fleetlens.plans.reporting import QUERIES as REPORTS
 from fleetlens.plans.views import sql
 from fleetlens.session import shared_dir, written
 from fleetlens.sources.tables import constant_table
-from fleetlens.streaming import jobs, state
+from fleetlens.streaming import jobs, liveness, state
 from fleetlens.streaming.sources import json_stream, table_stream
 
 SYSTEM = [s[0] for s in flatten.SYSTEM_SLOTS]
@@ -231,6 +231,13 @@ def stream_agent_registry(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.newest_version(spark, path).select("agent_id", "hostname", "platform", "status", "first_connected", "last_seen")
 
 
+def stream_liveness(spark: SparkSession, sf: str) -> DataFrame:
+    """Agents that fall silent and return, up to the watermark."""
+    path = shared_dir(spark, "liveness")
+    _finished(liveness.watch_liveness(event_stream(spark, sf), path, MISSED, jobs.ALL_NOW))
+    return spark.read.parquet(f"{path}/rows")
+
+
 def stream_anomalies_24h(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_dir(spark, "last-day")
     _finished(jobs.anomalies_last_day(detect.threshold_anomalies(event_stream(spark, sf)), path, jobs.ALL_NOW))
@@ -414,6 +421,8 @@ found AS (
          'Unusual system behavior detected by ML model', 'investigate_system_resources' FROM walked WHERE decision < 0)"""
 _SENT = """'anomaly_detected' AS type, kind, severity, value, threshold, description, suggested_action FROM found"""
 
+_SILENCE_S = MISSED * C.SNAPSHOT_INTERVAL_S
+
 QUERIES = {
     "forest_system": (forest_system, None),
     "forest_network": (forest_network, None),
@@ -475,6 +484,14 @@ SELECT event_id, ts, agent_id, cpu_usage FROM (SELECT *, row_number() OVER (PART
     "stream_agent_registry": (stream_agent_registry, sql("""
 SELECT agent_id, CAST(agent_id AS VARCHAR) AS hostname, 'Unknown' AS platform, 'healthy' AS status, min(ts) AS first_connected, max(ts) AS last_seen
 FROM conn_events WHERE kind = 'connect' GROUP BY agent_id""", "conn_events")),
+    "stream_liveness": (stream_liveness, sql(f"""
+WITH g AS (SELECT agent_id, ts, lag(epoch_us(ts)) OVER w AS earlier, lead(epoch_us(ts)) OVER w AS later FROM tel WINDOW w AS (PARTITION BY agent_id ORDER BY ts, event_id)),
+mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 600 SECOND AS until FROM tel)
+SELECT agent_id, 'online' AS status, ts AS since, ts AS last_seen FROM g, mark
+WHERE coalesce(epoch_us(ts) - earlier > {_SILENCE_S * 1_000_000}, true) AND ts < until
+UNION ALL
+SELECT agent_id, 'offline', ts + INTERVAL {_SILENCE_S} SECOND, ts FROM g, mark
+WHERE coalesce(later - epoch_us(ts) > {_SILENCE_S * 1_000_000}, true) AND ts + INTERVAL {_SILENCE_S} SECOND < until""", "tel")),
     "stream_anomalies_24h": (stream_anomalies_24h, sql("""
 WITH hours AS (SELECT date_trunc('hour', ts) + to_hours(CAST(h AS BIGINT)) AS hour_end FROM anomaly_events, (SELECT unnest(range(1, 25)) AS h) r)
 SELECT hour_end, count(*) AS n FROM hours GROUP BY hour_end HAVING hour_end <= (SELECT max(ts) FROM anomaly_events) - INTERVAL 10 MINUTE""", "anomaly_events")),

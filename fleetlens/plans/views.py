@@ -107,6 +107,13 @@ def processes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def order_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule per order: on one of three metrics, with a threshold in hundredths."""
+    metric = F.when(F.col("o_orderkey") % 3 == 0, "cpu_usage").when(F.col("o_orderkey") % 3 == 1, "memory_usage").otherwise("disk_usage")
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("rule"), metric.alias("metric"), _hundredths(cents, 10001).alias("threshold"))
+
+
 def counters(spark: SparkSession, sf: str) -> DataFrame:
     return running(
         tel(spark, sf).select("event_id", "ts", "agent_id", "v"), {"bytes_sent_total": F.col("v")}
@@ -360,6 +367,10 @@ UNION ALL SELECT 'cpu_critical', 'cpu_usage', 95, 60, 'critical'
 UNION ALL SELECT 'memory_high', 'memory_usage', 85, 300, 'warning'
 UNION ALL SELECT 'memory_critical', 'memory_usage', 95, 60, 'critical'
 UNION ALL SELECT 'disk_critical', 'disk_usage', 90, 0, 'critical'"""),
+    "order_rules": ((), """
+SELECT o_orderkey AS rule, CASE o_orderkey % 3 WHEN 0 THEN 'cpu_usage' WHEN 1 THEN 'memory_usage' ELSE 'disk_usage' END AS metric,
+       (CAST(round(o_totalprice * 100) AS BIGINT) % 10001) / CAST(100 AS DOUBLE) AS threshold
+FROM orders"""),
     "commands": (("tel",), """
 SELECT event_id, ts, agent_id + 20 AS agent_id,
        CASE v % 5 WHEN 0 THEN 'cpu_threshold_breach' WHEN 1 THEN 'memory_threshold_breach'

@@ -135,3 +135,23 @@ def test_zero_sized_partition(spark):
     row = inventory.disk_rollup(df).first()
     # The first partition decides, and it has no usage.
     assert (row["total_gb"], row["used_gb"], row["usage_percent"]) == (1.0, 0.5, 0.0)
+
+
+def test_rules_crossed_equal_a_plain_join(spark):
+    """Equal thresholds, thresholds equal to values, one huge level, values below and above all, NULL on both sides, a metric without rules."""
+    rows = [(i, 1, None if i % 11 == 0 else float(i % 40), float(-i), 7.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id bigint, agent_id bigint, a double, b double, c double").withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    rules = [(i, "a", float(i % 37)) for i in range(500)] + [(1000 + i, "a", 20.0) for i in range(400)]
+    rules += [(3000, "b", -150.5), (3001, "a", None), (3002, "other", 1.0), (3003, "b", -1000.0)]
+    table = spark.createDataFrame(rules, "rule bigint, metric string, threshold double")
+    want = []
+    for event, _, *values in rows:
+        for metric, value in zip("abc", values):
+            below = [(t, r) for r, m, t in rules if m == metric and t is not None and value is not None and t < value]
+            if below:
+                want.append((event, metric, value, len(below), *max(below)))
+    for cells in (2, 8, 256):
+        got = alerts.rules_crossed(df, table, ["a", "b", "c"], cells).collect()
+        assert sorted((r["event_id"], r["metric"], r["value"], r["n_rules"], r["threshold"], r["rule"]) for r in got) == sorted(want)
+    assert alerts.rules_crossed(df, table.limit(0), ["a", "b", "c"]).count() == 0
+    assert alerts.rules_crossed(df.limit(0), table, ["a", "b", "c"]).count() == 0
