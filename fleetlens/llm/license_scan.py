@@ -39,35 +39,55 @@ def _rule_array() -> Column:
     ])
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _before(values: Column, merge) -> Column:
+    """For each of the values, 0 merged with all values before it.
+
+    Appending copies an array, so values are taken in blocks of about the square root of their number: within blocks first, then over
+    the blocks. The work grows with the power 1.5 of their number, and by few copies.
+    """
+    state = lambda: F.struct(F.lit(0).alias("all"), F.array().cast("array<int>").alias("before"))
+    step = lambda a, x: F.struct(merge(a["all"], x).alias("all"), F.concat(a["before"], F.array(a["all"])).alias("before"))
+
+    def by_blocks(v: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        return _let(F.struct(v.alias("v"), width.alias("w")), lambda x: _let(
+            F.transform(
+                F.filter(F.sequence(F.lit(0), F.ceil(F.size(x["v"]) / x["w"]).cast("int")), lambda i: i * x["w"] < F.size(x["v"])),
+                lambda i: F.aggregate(F.slice(x["v"], i * x["w"] + 1, x["w"]), state(), step),
+            ),
+            lambda blocks: F.flatten(F.zip_with(
+                blocks, F.aggregate(blocks, state(), lambda a, block: step(a, block["all"]))["before"],
+                lambda block, earlier: F.transform(block["before"], lambda y: merge(earlier, y)),
+            )),
+        ))
+
+    return _let(values, by_blocks)
+
+
 def _places(text: Column, rule: Column) -> Column:
     """Start, minus the length, rule and end of each match: lengths of the matches and of the texts between them, added up."""
     between = F.split(text, rule["pattern"], -1)
     matches = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-    lengths = F.zip_with(between, matches, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m")))
-    found = F.aggregate(
-        F.filter(lengths, lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PLACE}>").alias("found")),
-        lambda a, x: F.struct(
-            (a["at"] + x["b"] + x["m"]).alias("at"),
-            F.concat(a["found"], F.array(F.struct(
-                (a["at"] + x["b"]).alias("start"), (-x["m"]).alias("back"), rule["rule"].alias("rule"), (a["at"] + x["b"] + x["m"]).alias("end"),
-            ))).alias("found"),
+    lengths = F.filter(
+        F.zip_with(between, matches, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m"))), lambda x: x["m"].isNotNull())
+    return _let(lengths, lambda found: F.zip_with(
+        found, _before(F.transform(found, lambda x: x["b"] + x["m"]), lambda x, y: x + y),
+        lambda x, at: F.struct(
+            (at + x["b"]).alias("start"), (-x["m"]).alias("back"), rule["rule"].alias("rule"), (at + x["b"] + x["m"]).alias("end"),
         ),
-    )
-    return found["found"]
+    ))
 
 
 def _outermost(places: Column) -> Column:
     """Of places sorted by start and falling length, those that do not lie inside an earlier one."""
-    swept = F.aggregate(
-        places,
-        F.struct(F.lit(-1).alias("to"), F.array().cast(f"array<{_PLACE}>").alias("kept")),
-        lambda a, x: F.struct(
-            F.greatest(a["to"], x["end"]).alias("to"),
-            F.when(x["end"] > a["to"], F.concat(a["kept"], F.array(x))).otherwise(a["kept"]).alias("kept"),
-        ),
-    )
-    return swept["kept"]
+    reached = _before(F.transform(places, lambda x: x["end"]), F.greatest)
+    seen = F.zip_with(places, reached, lambda x, to: F.struct(x.alias("x"), to.alias("to")))
+    return F.transform(F.filter(seen, lambda x: x["x"]["end"] > x["to"]), lambda x: x["x"])
 
 
 def _phrase_starts(words: Column, phrase: str) -> Column:

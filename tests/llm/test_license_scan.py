@@ -2,6 +2,7 @@ import re
 
 import plain
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from fleetlens.llm import license_scan
 from fleetlens.llm.license_rules import FAMILIES, rules
@@ -81,3 +82,19 @@ def test_hundreds_of_rules_and_no_python(spark):
 
 def test_empty_table(spark):
     assert license_scan.scan(plain.frame(spark, [])).count() == 0
+
+
+def test_a_megabyte_of_notices(spark):
+    """Work must not grow with the square of the matches of a text; places stay exact."""
+    n = 80_000
+    row = license_scan.scan(spark.createDataFrame([(1, "mit license " * n)], "doc_id bigint, text string")).collect()[0]
+    assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"], row["labels"]) == (2 * n, n, 0, 2 * n - 2, "mit")
+    assert [d["start"] for d in row["detections"]] == list(range(0, 12 * n, 12))
+
+
+def test_sums_before_by_blocks(spark):
+    for n in (0, 1, 2, 3, 10, 101):
+        df = spark.range(1).select(F.expr(f"transform(filter(sequence(0, {n}), i -> i < {n}), i -> i * 7 % 5)").alias("v"))
+        values = [i * 7 % 5 for i in range(n)]
+        row = df.select(license_scan._before(F.col("v"), lambda x, y: x + y).alias("s"), license_scan._before(F.col("v"), F.greatest).alias("m")).first()
+        assert row["s"] == [sum(values[:i]) for i in range(n)] and row["m"] == [max([0, *values[:i]]) for i in range(n)]
