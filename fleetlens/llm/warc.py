@@ -379,8 +379,9 @@ def register(spark: SparkSession) -> None:
 def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id") -> None:
     """Write a record per page. Of equal payloads of ``least_bytes`` or more, the largest id is the response; others revisit it.
 
-    Null html counts as empty. A null id never is the response of others, and its record's id is empty. Rows that repeat
-    the largest id are all responses. A null URL gives a record without target.
+    Null html counts as empty. Ids may be of any type that has a text; they are written percent-encoded. A null id never is the
+    response of others, and its record's id is empty, as is that of an empty text. Rows that repeat the largest id are all
+    responses. A null URL gives a record without target.
     """
     spark = pages.sparkSession
     register(spark)
@@ -394,7 +395,7 @@ def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str
     )
     keyed = rows.withColumn("_sha", F.sha1("_html"))
     out = keyed.join(revisits, keyed["_page"].eqNullSafe(revisits["_id"]) & (keyed["_sha"] == revisits["payload_sha1"]), "left")
-    name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.url_encode(F.col(c).cast("string")), F.lit("")))
     out.select(
         name("_page").alias("record_id"), F.col("_url").alias("target_uri"),
         F.when(F.col("_keep").isNull(), F.col("_html")).alias("payload"),
@@ -402,22 +403,26 @@ def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str
     ).write.format("warc").mode("append").option("path", path).save()
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """The records of ``archive_pages``, each payload inflated and held against its digest."""
+def read_pages(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """The records of ``archive_pages``, each payload inflated and held against its digest.
+
+    Ids come back as ``id_type``; one that cannot be read as such is an error. An empty id is null.
+    """
     register(spark)
     columns = "record_id string, record_type string, refers_to string, payload_digest string, payload_bytes long"
     found = spark.read.format("warc").schema(columns).option("verify", "true").load(path)
-    number = lambda c: F.substring_index(c, ":", -1).try_cast("long")
+    ident = lambda c: F.url_decode(F.nullif(F.substring(c, len("urn:page:") + 1, 1 << 30), F.lit(""))).cast(id_type)
     return found.select(
-        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-        number("refers_to").alias("refers_to"),
+        ident("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        ident("refers_to").alias("refers_to"),
     )
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc-pages")
-    archive_pages(documents(spark, sf_dir, "pages"), path)
-    return read_pages(spark, path)
+    pages = documents(spark, sf_dir, "pages")
+    archive_pages(pages, path)
+    return read_pages(spark, path, pages.schema["page_id"].dataType.simpleString())
 
 
 _BITS = "list_aggregate(list_transform(range(40), lambda i: bin4[CAST(strpos('0123456789abcdef', substr(h, CAST(i AS BIGINT) + 1, 1)) AS BIGINT)]), 'string_agg', '')"

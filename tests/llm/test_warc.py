@@ -132,3 +132,19 @@ def test_files_outside_the_manifest_are_ignored_and_empty_tables_work(spark):
     with store.open_output_stream(f"{folder}/part-lost.warc") as f:
         f.write(b"WARC/1.1\r\nhalf a rec")
     assert warc.read_pages(spark, path).count() == 0
+
+
+def test_ids_that_are_texts_come_back(spark):
+    path = shared_dir(spark, "test-warc")
+    ids = ["a1", "a2", "x:y z", "é\nnext", "10%", "", None]
+    rows = [(i, f"http://x/{n}", "same" if n < 3 else f"page {n}") for n, i in enumerate(ids)]
+    warc.archive_pages(spark.createDataFrame(rows, "page_id string, url string, html string"), path)
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_pages(spark, path, "string").collect()}
+    assert got == {("a1", "revisit", "x:y z"), ("a2", "revisit", "x:y z"), ("x:y z", "response", None),
+                   ("é\nnext", "response", None), ("10%", "response", None), (None, "response", None)}
+    try:
+        warc.read_pages(spark, path).collect()
+    except Exception as e:
+        assert "CAST_INVALID_INPUT" in str(e)
+    else:
+        raise AssertionError("ids lost")
