@@ -7,7 +7,7 @@ holds one. Earlier rules have priority.
 
 from __future__ import annotations
 
-# Label, keys (one of them is in every name, identifier and address), SPDX identifiers (pattern), names (pattern), address (pattern or "").
+# Own choice of rules: label, keys (one of them is in every name, identifier and address), SPDX identifiers (pattern), names (pattern), address (pattern or "").
 FAMILIES = [
     ("agpl", "affero agpl", r"agpl-[13]\.0", r"(gnu )?affero general public licen[sc]e|(gnu )?agpl", r"gnu\.org/licenses/agpl"),
     ("lgpl", "lesser library lgpl", r"lgpl-[23]\.[01]", r"(gnu )?(lesser|library) general public licen[sc]e|(gnu )?lgpl", r"gnu\.org/licenses/lgpl"),
@@ -51,7 +51,7 @@ FAMILIES = [
     ("polyform", "polyform", r"polyform-[a-z-]+", r"polyform (noncommercial|small business|shield|strict) licen[sc]e", r"polyformproject\.org/licenses"),
 ]
 
-# Wording, gate, weight; {n} is the family's name, {s} its identifier, {a} its address.
+# Own choice of wordings: wording, gate, weight; {n} is the family's name, {s} its identifier, {a} its address.
 WORDINGS = [
     ("tag", r"spdx-license-identifier: ?({s})\b", "spdx-license-identifier", 1.0),
     ("granted", r"\b(is|are) (hereby )?licensed (to you )?under (the )?(terms of (the )?)?({n})\b(( licen[sc]e)?,? (version|v\.?) ?[0-9](\.[0-9])?| [0-9]\.[0-9])?", "licensed", 0.95),
@@ -80,7 +80,7 @@ PASSAGES = [
     ("own-terms", "unknown-license", "licen", r"\b(see|under) the (enclosed |attached |accompanying )?licen[sc]e (file|agreement|terms)\b", 0.3),
 ]
 
-# Every match of any rule contains one of these, or fits DOCUMENT_PATTERN; all other documents are not scanned.
+# Own choice of gates: every match of any rule contains one of these, or fits DOCUMENT_PATTERN; all other documents are not scanned.
 DOCUMENT_GATES = [
     "licen", "gpl", "gfdl", "mpl", "wtfpl", "odbl", "commons", "rail", "://", "permission", "redistribut", "endorse", "later", "compliance",
     "mozilla", "as-is", "unencumbered", "domain", "warrant", "reserved", "proprietary",
