@@ -1,9 +1,12 @@
 """Language-model scores of whole documents, by the recurrent model of ``recurrent``.
 
 1. Words are found and hashed once. Those of the training documents are counted, all of them, summed per task and then by Spark.
-2. The most frequent words, fewer than ``KNOWN``, go to all tasks. Documents become ids; words beyond those are listed by hash.
-3. Training, in ``ROUNDS`` rounds that together read every training document once: each task trains on its documents from
-   the common parameters, and the results are averaged by Spark, weighted by tokens (parallel gradient descent with averaging).
+2. The most frequent words, fewer than ``KNOWN``, go to all tasks; of equally frequent ones those of the smaller hashes.
+   Documents become ids; words beyond those are listed by hash.
+3. Training, in ``ROUNDS`` rounds that together read every training document once: documents are dealt by a hash of id and
+   text to learners of about ``LEARNER_TOKENS`` tokens, each of which trains from the common parameters, and the results are
+   averaged by Spark, weighted by tokens (parallel gradient descent with averaging). Learners, their documents and the order
+   of both follow from the table alone, not from its partitions.
 4. Scoring runs over every whole document, the state carried from window to window. The listed words are joined with the
    counts, where their share of the rarest band comes from.
 
@@ -18,6 +21,8 @@ id is treated as empty text where documents are split. Repeated rows are scored
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -32,6 +37,8 @@ from fleetlens.llm.words import SPACE_BYTES, find_words, pieces, text_bytes
 
 KNOWN = recurrent.HEAD << (recurrent.BANDS - 1)  # words that every task knows: the model's head and its bands
 ROUNDS, BLOCK_TOKENS, SLICE = 3, 4_000_000, 4096
+LEARNER_TOKENS = 2_000_000  # what one learner trains on in a round, about
+TASKS = 50_000  # beyond it a task holds several learners, one after the other; results do not depend on it
 END_KEY = -1  # the end of a document among the counts
 
 
@@ -122,20 +129,29 @@ class Vocabulary:
 
     @staticmethod
     def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts by falling count: all words down to the level of counts at which ``KNOWN`` would be passed.
+        """Keys and counts of the first ``KNOWN`` - 1 words by falling count, then by key.
 
-        Levels are eighths of a power of two, a few hundred at most, so that no task ranks the words of all others.
+        Words are cut by levels of counts (eighths of a power of two, a few hundred at most), the level that does not fit by
+        counts, the count that does not fit by the first 12 bits of its keys, and only what is left of one such part is sorted:
+        no task ranks the words of all others, and at most ``KNOWN`` rows come to the driver.
         """
-        level = F.floor(F.log2("n") * 8)
-        lowest, total = None, 0
-        for size in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
-            total += size["count"]
-            if total >= KNOWN:
+        room = KNOWN - 1
+        tied, chosen = F.lit(True), F.lit(False)
+        for part in (F.floor(F.log2("n") * 8), F.col("n"), -F.shiftright("key", 52)):
+            over = None
+            for row in sorted(counts.where(tied).groupBy(part.alias("part")).count().collect(), reverse=True):
+                if row["count"] > room:
+                    over = row["part"]
+                    break
+                room -= row["count"]
+            if over is None:
+                tied, chosen = F.lit(False), chosen | tied
                 break
-            lowest = size["level"]
-        if lowest is None:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        top = counts.where(level >= lowest).select("key", "n").toArrow()  # fewer than KNOWN
+            tied, chosen = tied & (part == over), chosen | (tied & (part > over))
+        top = counts.where(chosen).select("key", "n")
+        if over is not None and room:
+            top = top.unionByName(counts.where(tied).select("key", "n").orderBy("key").limit(room))
+        top = top.toArrow()  # fewer than KNOWN
         keys, n = (top.column(c).to_numpy() for c in ("key", "n"))
         order = np.lexsort((keys, -n))
         return keys[order], n[order]
@@ -191,12 +207,11 @@ def encode(tokens: DataFrame, words: Vocabulary) -> DataFrame:
     )
 
 
-def _blocks(rows: Iterator[list[bytes]]) -> Iterator[list[np.ndarray]]:
+def _blocks(texts: Iterator[bytes]) -> Iterator[list[np.ndarray]]:
     held, size = [], 0
-    for some in rows:
-        for ids in some:
-            held.append(np.frombuffer(ids, "<u2"))
-            size += len(held[-1])
+    for ids in texts:
+        held.append(np.frombuffer(ids, "<u2"))
+        size += len(held[-1])
         if size >= BLOCK_TOKENS:
             yield held
             held, size = [], 0
@@ -204,35 +219,55 @@ def _blocks(rows: Iterator[list[bytes]]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def train(encoded: DataFrame, flat: np.ndarray) -> np.ndarray:
+def dealt(encoded: DataFrame, train_tokens: int) -> tuple[DataFrame, int]:
+    """The training documents with ``round``, ``learner`` and ``lot`` (their place in a learner), and the number of learners.
+
+    All of it follows from ids, texts and their number. Rows equal in id and text share a learner, which reads them in turn.
+    """
+    learners = max(1, round(train_tokens / ROUNDS / LEARNER_TOKENS))
+    lot = F.xxhash64(F.col("doc_id").cast("string"), "ids")
+    rows = encoded.where("NOT held_out").select("ids", lot.alias("lot"))
+    return rows.select(
+        "ids", "lot", F.pmod("lot", F.lit(ROUNDS)).cast("int").alias("round"),
+        F.pmod(F.xxhash64("lot"), F.lit(learners)).cast("int").alias("learner"),
+    ), learners
+
+
+def train(encoded: DataFrame, flat: np.ndarray, train_tokens: int) -> np.ndarray:
     """The parameters after all rounds. A round reads its share of the training documents, one in ``ROUNDS``."""
     spark = encoded.sparkSession
-    training = encoded.where("NOT held_out").select("uid", "ids")
+    training, learners = dealt(encoded, train_tokens)
     slices = -(-recurrent.SIZE // SLICE)
+    shape = "slice int, part int, learner int, tokens double, weights binary"
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast(flat.tobytes())  # of fixed size
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             begin = np.frombuffer(shared.value, np.float32)
-            after, tokens = recurrent.train(begin, _blocks(b.column("ids").to_pylist() for b in batches))
-            if tokens:
+            rows = (row for b in batches for row in zip(b.column("learner").to_pylist(), b.column("ids").to_pylist()))
+            for learner, texts in groupby(rows, itemgetter(0)):  # sorted, so a learner's documents follow each other
+                after, tokens = recurrent.train(begin, _blocks(ids for _, ids in texts))
                 cut = [after[i * SLICE : (i + 1) * SLICE].tobytes() for i in range(slices)]
-                task = [TaskContext.get().partitionId() % 64] * slices
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(slices), pa.int32()), pa.array(task, pa.int32()), pa.array([float(tokens)] * slices), pa.array(cut, pa.binary())],
-                    ["slice", "task", "tokens", "weights"],
+                    [
+                        pa.array(range(slices), pa.int32()), pa.array([learner % 64] * slices, pa.int32()),
+                        pa.array([learner] * slices, pa.int32()), pa.array([float(tokens)] * slices), pa.array(cut, pa.binary()),
+                    ],
+                    ["slice", "part", "learner", "tokens", "weights"],
                 )
 
         def mean(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["part", "learner"])  # sums of floats depend on their order
             total = rows["tokens"].sum()
             weights = sum(t / total * np.frombuffer(w, np.float32).astype(np.float64) for t, w in zip(rows["tokens"], rows["weights"]))
             return pd.DataFrame({
-                "slice": [rows["slice"].iloc[0]], "task": [0], "tokens": [total], "weights": [weights.astype(np.float32).tobytes()],
+                "slice": [rows["slice"].iloc[0]], "part": [rows["part"].iloc[0]], "learner": [0], "tokens": [total],
+                "weights": [weights.astype(np.float32).tobytes()],
             })
 
-        shape = "slice int, task int, tokens double, weights binary"
-        made = training.where(F.pmod(F.xxhash64("uid"), F.lit(ROUNDS)) == turn).mapInArrow(run, shape)
-        made = made.groupBy("slice", "task").applyInPandas(mean, shape).groupBy("slice").applyInPandas(mean, shape)
+        read = training.where(F.col("round") == turn).select("learner", "lot", "ids")
+        made = read.repartition(min(learners, TASKS), "learner").sortWithinPartitions("learner", "lot", "ids").mapInArrow(run, shape)
+        made = made.groupBy("slice", "part").applyInPandas(mean, shape).groupBy("slice").applyInPandas(mean, shape)
         parts = {r["slice"]: r["weights"] for r in made.collect()}  # the parameters, once
         shared.destroy()
         if len(parts) == slices:
@@ -281,7 +316,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = stored(count_tokens(tokens.where("NOT held_out")), "token-counts")
     words = Vocabulary(counts)
     encoded = stored(encode(tokens, words), "encoded")
-    flat = train(encoded, recurrent.start(words.head_counts, words.mass))
+    flat = train(encoded, recurrent.start(words.head_counts, words.mass), words.tokens)
     rare = encoded.select("uid", F.explode("rare").alias("key")).join(counts, "key", "left")
     seen = F.coalesce("n", F.lit(0))
     rare = rare.groupBy("uid").agg(

@@ -122,6 +122,44 @@ def test_each_word_of_the_head_has_its_own_id(spark):
     assert lm_scoring.KNOWN == 262_144
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LEARNER_TOKENS", 8_000)  # so that there are several learners
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    copies = docs.unionByName(docs.where("doc_id % 3 = 0"))  # repeated rows among them
+    found = []
+    for n in (1, 3, 7):
+        got = lm_scoring.score_documents(copies.repartition(n)).collect()
+        found.append(sorted((r.doc_id, r.n_tokens, r.score) for r in got))
+    for other in found[1:]:
+        assert [r[:2] for r in other] == [r[:2] for r in found[0]]
+        assert [r[2] for r in other] == pytest.approx([r[2] for r in found[0]], rel=1e-5)
+
+
+def test_learners_follow_from_the_table(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LEARNER_TOKENS", 100)
+    rows = [(i, False, bytes([i % 256, i // 256]) * 10) for i in range(900)] + [(1, True, b"xx")]
+    encoded = spark.createDataFrame(rows, "doc_id long, held_out boolean, ids binary")
+    dealt, learners = lm_scoring.dealt(encoded, 9000)
+    sizes = {(r["round"], r["learner"]): r["count"] for r in dealt.groupBy("round", "learner").count().collect()}
+    assert learners == 30 and sum(sizes.values()) == 900 and max(sizes.values()) < 40
+
+
+@pytest.mark.parametrize("kind", ["equal", "levels", "one_level", "all"])
+def test_vocabulary_fills_up_among_equal_counts(spark, monkeypatch, kind):
+    """The first words by count, then key, however many share the count at which there is no more room."""
+    monkeypatch.setattr(lm_scoring, "KNOWN", 500)
+    rng = np.random.default_rng(8)
+    keys = rng.choice(2**63 - 1, 3000, replace=False) * rng.choice([-1, 1], 3000)
+    n = {
+        "equal": np.ones(3000, int), "levels": rng.integers(1, 40, 3000), "one_level": rng.integers(1_000_000, 1_000_400, 3000),
+        "all": rng.integers(1, 9, 3000),
+    }[kind]
+    rows = list(zip(keys.tolist(), n.tolist()))[: 400 if kind == "all" else None]
+    got = lm_scoring.Vocabulary._most_frequent(spark.createDataFrame(rows, "key long, n long"))
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))[:499]
+    assert list(zip(*(g.tolist() for g in got))) == want
+
+
 def test_empty_and_all_held_out(spark):
     assert lm_scoring.score_documents(plain.frame(spark, [])).count() == 0
     held = [i for i in range(200) if plain.base_scores([(i, "a")])[1][0][0]][:3]
