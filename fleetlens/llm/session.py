@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.session import with_defaults, written
+from fleetlens.session import shared_dir, with_defaults, written
 
 # A batch handed to Python holds at most this many rows and bytes, so that a few long texts cannot fill a worker.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 * 1024 * 1024
@@ -17,9 +17,13 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, compression: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and safe from lost executors."""
-    return written(df, purpose)
+    if compression is None:
+        return written(df, purpose)
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
