@@ -217,6 +217,18 @@ class CountTree:
             self._update(leaf, sum(leaves.tokens(leaf)))
 
 
+def _laid_out(text: str, count) -> tuple:
+    """The row of a text's tree, without the tree."""
+    parts = stretches(text)
+    n = len(parts)
+    tokens = np.fromiter(map(count.__getitem__, parts), np.int32, n)
+    if not n:
+        return text, tokens, tokens, np.zeros(1, np.int32), np.zeros(1, np.int64), 0, 0
+    first = np.arange(0, n, LEAF)
+    leaf_tokens = np.add.reduceat(tokens, first, dtype=np.int64)
+    return text, np.fromiter(map(len, parts), np.int32, n), tokens, np.diff(np.r_[first, n]), leaf_tokens, int(leaf_tokens.sum()), len(text)
+
+
 _TREE_KINDS = [pa.string(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int64()), pa.int64(), pa.int64()]
 _TREE_NAMES = [field.split()[0] for field in TREE.split(", ")]
 
@@ -231,7 +243,7 @@ def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = stretch_counts(path)
         for batch in batches:
-            rows = [CountTree(text or "", count).row() for text in batch.column("_text").to_pylist()]
+            rows = [_laid_out(text or "", count) for text in batch.column("_text").to_pylist()]
             yield _rows_of(batch, others, rows, _TREE_KINDS, _TREE_NAMES)
 
     kinds = ", ".join(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in others)
@@ -273,9 +285,15 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return np.split(column.values.to_numpy(), ends)[1:-1]
 
 
+def _list_array(lists: tuple[np.ndarray, ...], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+    values = np.concatenate(lists) if len(lists) else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(kind.value_type.to_pandas_dtype(), copy=False)), type=kind)
+
+
 def _rows_of(batch: pa.RecordBatch, others: list[str], rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [[]] * len(kinds)
-    arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds)]
+    arrays = [_list_array(c, kind) if pa.types.is_list(kind) else pa.array(c, kind) for c, kind in zip(columns, kinds)]
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *arrays], [*others, *names])
 
 

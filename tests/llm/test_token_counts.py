@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import plain
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -116,6 +117,7 @@ def test_random_edits_of_stored_trees():
     for n in [0, 1, 40, 600, 3000] * 8:
         text = "".join(rng.choice(marks) for _ in range(n))
         tree = token_counts.CountTree(text, count)
+        assert [np.array(a).tolist() for a in tree.row()] == [np.array(a).tolist() for a in token_counts._laid_out(text, count)]
         for _ in range(6):
             tree = token_counts.CountTree.stored(*tree.row()[:5], count)
             for _ in range(rng.choice([1, 2, 4])):
