@@ -10,7 +10,7 @@ from fleetlens.operators import detect, flatten, forest, moving_forest
 from fleetlens.operators.slices import micros
 from fleetlens.plans import detection, inventory
 from fleetlens.plans import views as V
-from fleetlens.plans.reporting import _EPISODES, MISSED
+from fleetlens.plans.reporting import _EPISODES, MISSED, last_ts
 from fleetlens.plans.reporting import QUERIES as REPORTS
 from fleetlens.plans.views import sql
 from fleetlens.session import shared_dir, written
@@ -125,6 +125,14 @@ def stream_notifications(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/notifications").drop("batch")
 
 
+def stream_alerts_purged(spark: SparkSession, sf: str) -> DataFrame:
+    """Late rows, many batches: what is left of the alerts a day after they were resolved."""
+    path = shared_dir(spark, "alerts-purged")
+    _finished(jobs.track_alerts_purged(_alert_events(_delayed(spark, sf)), path, jobs.ALL_NOW, DELAY_S))
+    state.finish(spark, path, state.follow_alerts(path, 24))
+    return jobs.kept_alerts(spark, path, last_ts(V.tel(spark, sf))).select("alert_id", "episode", "status", "resolved_at")
+
+
 def stream_alert_episodes(spark: SparkSession, sf: str) -> DataFrame:
     return _tracked(spark, event_stream(spark, sf), 600, "alerts")
 
@@ -454,6 +462,7 @@ seen AS (SELECT feed, max(max(epoch_us(ts))) OVER (ORDER BY feed) - 3600000000 A
 SELECT event_id, ts, agent_id FROM f JOIN seen s ON s.feed = f.feed - 1 WHERE epoch_us(ts) < until""", "tel")),
     "stream_alert_episodes": (stream_alert_episodes, _ALERTS),
     "stream_alerts_late": (stream_alerts_late, _ALERTS),
+    "stream_alerts_purged": (stream_alerts_purged, REPORTS["alerts_resolved_purge"][1]),
     "stream_notifications": (stream_notifications, REPORTS["notifications_outbox"][1]),
     "stream_all_anomalies": (stream_all_anomalies, sql(f"WITH {_FOUND}\nSELECT event_id, agent_id, {_SENT}", "snap")),
     "stream_messages_all_anomalies": (stream_messages_all_anomalies, sql(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -120,6 +120,18 @@ def track_alerts(events: DataFrame, path: str, trigger: dict = EVERY_30_S, laten
     return in_order(events, path, follow_alerts(path), trigger, lateness_s)
 
 
+def track_alerts_purged(events: DataFrame, path: str, trigger: dict = EVERY_30_S, lateness_s: int = 600, keep_hours: int = 24) -> StreamingQuery:
+    """As ``track_alerts``, but alerts resolved longer ago than ``keep_hours`` leave the state (see ``kept_alerts``)."""
+    return in_order(events, path, follow_alerts(path, keep_hours), trigger, lateness_s)
+
+
+def kept_alerts(spark: SparkSession, path: str, asof: Column, keep_hours: int = 24) -> DataFrame:
+    """Open alerts, and those resolved within ``keep_hours`` before ``asof``, which is no earlier than the stream has come."""
+    versions = Versions(spark, path)
+    every = versions.newest("resolved").unionByName(alerts.open_episodes(versions.newest("open")))
+    return alerts.purge(every, asof, keep_hours)
+
+
 def tracked_alerts(spark: SparkSession, path: str) -> DataFrame:
     """All episodes that ``track_alerts`` has seen, open and closed."""
     return spark.read.parquet(f"{path}/closed").drop("batch").unionByName(alerts.open_episodes(Versions(spark, path).newest("open")))

@@ -182,15 +182,26 @@ def send_all_anomalies(path: str, prepare: Callable[[DataFrame], DataFrame], for
     return process
 
 
-def follow_alerts(path: str):
-    """Alert episodes and notifications over anomalies and resolutions in order, with the open alerts carried from batch to batch."""
+def follow_alerts(path: str, keep_hours: int | None = None):
+    """Alert episodes and notifications over anomalies and resolutions in order, with the open alerts carried from batch to batch.
+
+    Closed episodes are appended for ever, or, with ``keep_hours``, are a table of those not resolved more than
+    that many hours of event time before the rows of the batch.
+    """
     def process(rows: DataFrame, number: int, since: int | None, versions: Versions) -> None:
         last, _ = versions.pointer(number)
         closed, state, notices = alerts.continue_episodes(
             rows.where("resolve = 0").drop("resolve"), rows.where("resolve = 1").select("event_id", "ts", "agent_id", "type"),
             versions.read("open", last))
         versions.write("open", number, state)
-        closed.write.mode("overwrite").parquet(f"{path}/closed/batch={number}")
+        if keep_hours is None:
+            closed.write.mode("overwrite").parquet(f"{path}/closed/batch={number}")
+        else:
+            resolved = versions.read("resolved", last)
+            resolved = closed if resolved is None else resolved.unionByName(closed)
+            if since is not None:
+                resolved = alerts.purge(resolved, F.timestamp_micros(F.lit(since)).cast("timestamp_ntz"), keep_hours)
+            versions.write("resolved", number, resolved)
         notices.write.mode("overwrite").parquet(f"{path}/notifications/batch={number}")
 
     return process

@@ -90,6 +90,20 @@ def test_late_alerts(spark, disordered):
     assert want.where("status = 'resolved'").count() > 0
 
 
+def test_purged_alerts_leave_the_state(spark, disordered):
+    mixed, stream = disordered
+    path = shared_dir(spark, "t")
+    finish(jobs.track_alerts_purged(streams._alert_events(stream), path, jobs.ALL_NOW, DAY, keep_hours=2))
+    state.finish(spark, path, state.follow_alerts(path, 2))
+    resolves = mixed.where("event_type = 'signup'").select("event_id", "ts", "agent_id", F.lit(V.CPU_BREACH).alias("type"))
+    every = alerts.alert_episodes(detect.threshold_anomalies(mixed), resolves)
+    now = F.lit(mixed.agg(F.max("ts")).first()[0])
+    want = alerts.purge(every, now, 2)
+    assert rows(jobs.kept_alerts(spark, path, now, 2).select(want.columns)) == rows(want)
+    stored = state.Versions(spark, path).newest("resolved").count()
+    assert stored < every.where("status = 'resolved'").count()
+
+
 def test_rows_beyond_the_lateness_are_kept_apart(spark, disordered):
     mixed, stream = disordered
     path = shared_dir(spark, "t")
