@@ -138,3 +138,57 @@ def plain_id():
 
 def test_empty_table(spark):
     assert results(plain.frame(spark, [])) == []
+
+
+def agrees(found, text, encoders):
+    want = plain.alignment(text, *encoders)
+    if want is None:
+        return found is None
+    held = plain.collections.Counter(x << 32 | y for left, right in want[2] for x in left for y in right)
+    return found and (*found[:3], found[4], dict(zip(found[5].tolist(), found[6].tolist()))) == (len(want[0]), len(want[1]), len(want[2]), said(want[2]), held)
+
+
+@pytest.mark.parametrize("word, long", [(4, 30), (alignment.WORD, 200), (alignment.WORD, alignment.LONG)])
+def test_parts_of_a_batch_from_its_distinct_stretches(encoders, known, monkeypatch, word, long):
+    """Also where few stretches stand together, and where some of them, at any place, have other bytes."""
+    monkeypatch.setattr(alignment, "WORD", word)
+    monkeypatch.setattr(alignment, "LONG", long)
+    rng = random.Random(4)
+    words = [*plain.VOCABULARY, "don't", "end.\n", "\n", "", "(a", "x;y", "漢字", "naïve", "a▁b", "▁", "b\u00a0c", "…x", "é…é", "<s>", "=" * 90, "ﬁx", "½", "x\x1cy", "\t", "👍a", "a👍b",
+             "Ünï", "x" * 40]
+    texts = ["".join(rng.choice(words) + rng.choice("    \n") for _ in range(rng.randint(1, 12))) for _ in range(800)]
+    texts += [t for _, t, *_ in plain.awkward() if t] + [" ", "a", "é", " a ", "\n", "a ▁ b", "a b", "b a"]
+    found = known.align_all([" " + t for t in texts])
+    assert [t for t, f in zip(texts, found) if not agrees(f, t, encoders)] == []
+    assert any(f is None for f in found)
+
+
+def test_a_piece_across_blanks_keeps_texts_whole(encoders, known, monkeypatch):
+    monkeypatch.setattr(known, "parts", False)
+    texts = ["the stone walks", "the stone walks slowly", "the  stone\n"]
+    _, stretches, _ = known.stretches("".join(" " + t for t in texts).encode(), np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    assert [s.decode() for s in stretches.to_pylist()] == [" " + t for t in texts]
+    assert all(agrees(f, t, encoders) for f, t in zip(known.align_all([" " + t for t in texts]), texts))
+
+
+def test_repeated_words_of_a_batch_are_encoded_once(known, monkeypatch):
+    rng = random.Random(6)
+    texts = [" " + plain.sentence(rng, 300) for _ in range(100)]
+    encoded = []
+    monkeypatch.setattr(known, "quick", lambda text, ids=known.quick: encoded.append(text) or ids(text))
+    known.align_all(texts)
+    assert sum(map(len, encoded)) < len(texts[0])
+
+
+def test_lots_do_not_change_results(spark, encoders):
+    """A long text lies in several lots, and its repeated pairs are added up over them."""
+    rng = random.Random(8)
+    rows = [(r[0], r[1]) for r in plain.awkward()] + [(40, plain.sentence(rng, 60_000)), (41, plain.sentence(rng, 60_000) + " ▁ " + plain.sentence(rng, 60_000)), (42, "a ▁ b")]
+    docs = plain.small(spark, rows)
+    few, many = (sorted(map(str, alignment.align(docs, together=n, groups=True).collect())) for n in (50, alignment.TOGETHER))
+    assert few == many
+    (row,) = alignment.align(docs.where("doc_id = 40"), together=50).collect()
+    want = plain.alignment(rows[-3][1], *encoders)[2]
+    assert row.groups_sha256 == plain.hashlib.sha256(said(want).encode()).hexdigest() and sum(row.times) == row.n_links
+    assert [r.n_a for r in alignment.align(docs.where("doc_id in (41, 42)"), together=50).collect()] == [0, 0]
+    assert [len(lot) for lot in alignment.lots(((i, "abc") for i in range(5)), 6)] == [2, 2, 1]
